@@ -5,10 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratalog.llm.shared import table
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm import near_dup as m
+
+    return m.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm import language as m
+
+    docs = table(spark, sf_dir, "documents")
+    found = m.identify(docs, m.fit(docs, "crc32(cast(doc_id as string)) % 4 <> 2"))
+    return found.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)").alias("held_out"), "lang_pred", "score")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm import decontaminate as m
 
