@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.shared import table
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm import quality as m
+
+    docs = table(spark, sf_dir, "documents")
+    found = m.score(docs, m.fit(docs, table(spark, sf_dir, "labels"), "crc32(cast(doc_id as string)) % 5 <> 0"))
+    return found.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out"), "score", "predicted")
+
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm import near_dup as m
@@ -16,6 +26,14 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from stratalog.llm import packing as m
+
+    return m.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm import language as m
 
