@@ -26,6 +26,14 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from stratalog.llm import token_counts as m
+
+    return m.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +56,28 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.report(m.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from stratalog.llm import shards as m
+    from stratalog.llm.shared import shared_dir
+
+    at, rows = m.sharded(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    version = at.manifest()["version"]
+    return rows.select(
+        "doc_id", F.octet_length("text").cast("long").alias("text_bytes"), F.md5("text").alias("text_md5"),
+        F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long").alias("shard"), F.lit(version).cast("long").alias("version"),
+    )
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm import lm_score as m
+
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").filter("quality > 0").select("doc_id")
+    return m.score(docs, m.fit(docs, good))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
