@@ -20,6 +20,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out"), "score", "predicted")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm import nearest as m
+
+    return m.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm import near_dup as m
 
