@@ -22,7 +22,6 @@ the links of each row; a row whose id is null links with nothing, has no compone
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,7 +122,7 @@ def _likely(pairs: DataFrame, minis: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (written table) that are links by their full sets."""
     ids = pairs.selectExpr("explode(array(a, b)) id").distinct()
-    own = texts.join(_looked_up(ids), "id", "left_semi").dropDuplicates()
+    own = written(texts.join(_looked_up(ids), "id", "left_semi"), "texts")
     both = pairs.join(own.selectExpr("id a", "text ta"), "a").join(own.selectExpr("id b", "text tb"), "b")
 
     def run(batches):
@@ -142,35 +141,75 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _inside(buckets: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """buckets(key, part, side, id, n, mini, root): pairs across roots that may link, in each part: of side 0 with
-    side 1, or within side 0 where side 1 is empty. With `best`, only that many of the likeliest per member."""
+def _inside(parts: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """parts(key, part, side, id, n, mini, root): pairs across roots that may link, in each part of a bucket; where
+    a part has both sides, one of each. With `best`, only that many of the likeliest for each larger id."""
     least = least_agreement(percent)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        left = frame[frame.side == 0]
-        right = frame[frame.side == 1] if (frame.side == 1).any() else left
-        x, y = (np.frombuffer(b"".join(f.mini), np.uint8).reshape(-1, BINS) for f in (left, right))
-        out = []
-        for i in range(len(left)):
-            n, m = int(left.n.iat[i]), right.n.to_numpy()
-            ok = (left.root.iat[i] != right.root.to_numpy()) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            at = np.flatnonzero(ok)
-            agree = (y[at] == x[i]).sum(1)
-            at, agree = at[agree >= least], agree[agree >= least]
-            if best is not None and len(at) > best:
-                at = at[np.argsort(-agree, kind="stable")[:best]]
-            ids = right.id.to_numpy()[at]
-            out.append(pd.DataFrame({"a": np.maximum(ids, left.id.iat[i]), "b": np.minimum(ids, left.id.iat[i])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
-
-    return buckets.groupBy("key", "part").applyInPandas(run, "a long, b long").distinct()
-
-
-def _dealt(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Buckets in parts: those of more than BLOCK members become pairs of blocks, each block a few times BLOCK."""
-    blocks = members.join(sizes.selectExpr("key", f"cast(ceil(count / {BLOCK}) as int) s"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
+    def pairs(key, part, side, ids, n, mini, root):
+        """Rows sorted by key and part are compared with those 1, 2, ... places on, all parts at once."""
+        new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(key)))
+        left = (size - 1).repeat(size) - (np.arange(len(key)) - begin.repeat(size))  # rows of the part still to come
+        two = np.maximum.reduceat(side, begin).repeat(size) > 0
+        found = []
+        at = np.flatnonzero(left > 0)
+        step = 1
+        while len(at):
+            to = at + step
+            ok = (root[at] != root[to]) & (ids[at] != ids[to]) & (~two[at] | (side[at] != side[to]))
+            ok &= 100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to])
+            x, y = at[ok], to[ok]
+            agree = (mini[x] == mini[y]).sum(1)
+            ok = agree >= least
+            found.append((x[ok], y[ok], agree[ok]))
+            step += 1
+            at = at[left[at] >= step]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        x, y, agree = (np.concatenate(f) for f in zip(*found))
+        a, b = np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
+        if best is not None and len(a):
+            order = np.lexsort((b, -agree, a, part[x], key[x]))
+            a, b, k, p = a[order], b[order], key[x][order], part[x][order]
+            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (k[1:] != k[:-1]) | (p[1:] != p[:-1])))
+            place = np.arange(len(a)) - first.repeat(np.diff(np.append(first, len(a))))
+            a, b = a[place < best], b[place < best]
+        return a, b
+
+    def run(batches):
+        names = ["key", "part", "side", "id", "n", "root"]
+        held = None
+        for b in _with_end(batches):
+            if b is not None:
+                cols = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
+                cols["mini"] = np.frombuffer(b"".join(b.column("mini").to_pylist()), np.uint8).reshape(-1, BINS)
+                held = cols if held is None else {c: np.concatenate([held[c], cols[c]]) for c in cols}
+                if not len(held["key"]):
+                    continue
+                # the last part may go on in the next batch
+                end = int(np.flatnonzero((held["key"] != held["key"][-1]) | (held["part"] != held["part"][-1]))[-1:].sum()) + 1
+                if held["key"][0] == held["key"][-1] and held["part"][0] == held["part"][-1]:
+                    continue
+                now, held = {c: v[:end] for c, v in held.items()}, {c: v[end:] for c, v in held.items()}
+            else:
+                now, held = held, None
+            if now is not None and len(now["key"]):
+                a, c = pairs(now["key"], now["part"], now["side"], now["id"], now["n"], now["mini"], now["root"])
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
+
+    return parts.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "id", "n", "root", "mini").mapInArrow(run, "a long, b long").distinct()
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """members(key, count, ...) of buckets in parts: those of more than BLOCK members become pairs of blocks."""
+    blocks = members.withColumn("s", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
     parts = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     return parts.withColumn("part", low.cast("long") * F.lit(1 << 32) + high).withColumn("side", F.when(F.col("block") == low, 0).otherwise(1))
@@ -185,28 +224,26 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     reps = sig.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").filter("n > 0").dropDuplicates(["id", "h1", "h2"])
     minis = written(reps.select("id", "n", "mini", "bands"), "sketches")
     members = minis.select("id", F.explode("bands").alias("key"))
-    sizes = written(members.groupBy("key").agg(F.count("id").alias("count"), F.min("id").alias("pivot")).filter("count > 1"), "buckets")
-    shared = members.join(sizes, "key")
+    sizes = members.groupBy("key").agg(F.count("id").alias("count"), F.min("id").alias("pivot")).filter("count > 1")
+    shared = written(members.join(sizes, "key"), "buckets")
+    minis = minis.select("id", "n", "mini")
 
     # the rows of one id may hold several sets: those link through the id itself
     star = shared.groupBy("id").agg(F.min("pivot").alias("b")).filter("id <> b").selectExpr("id a", "b")
-    tried = written(_likely(star, minis.select("id", "n", "mini"), percent), "likely")
+    tried = written(_likely(star, minis, percent), "likely")
     found = written(_verified(tried, texts, shingle, percent), "links")
     roots = components(found)
     for best in (BEST, None):
-        now = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = now.groupBy("key").agg(F.count("id").alias("count"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
-        open_ = written(open_.select("key", "count"), "open")
-        inside = minis.select("id", "n", "mini", F.explode("bands").alias("key")).join(open_, "key", "left_semi")
-        inside = inside.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        pairs = written(_inside(_dealt(inside, open_), percent, best).join(tried, ["a", "b"], "left_anti"), "likely")
+        now = written(shared.drop("pivot").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+        open_ = now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+        inside = _dealt(now.join(open_, "key", "left_semi").join(minis, "id"))
+        pairs = written(_inside(inside, percent, best).join(tried, ["a", "b"], "left_anti"), "likely")
         more = written(_verified(pairs, texts, shingle, percent), "links")
-        all_links = more.unionByName(roots.selectExpr("node a", "root b"))
-        new_roots = components(all_links)
-        discard(spark, roots, open_, more)
+        new_roots = components(more.unionByName(roots.selectExpr("node a", "root b")))
+        discard(spark, roots, now, more)
         tried, old, roots = written(tried.unionByName(pairs), "likely"), (tried, pairs), new_roots
         discard(spark, *old)
-    discard(spark, minis, sizes, tried, found)
+    discard(spark, shared, tried, found)
     return sig, classes, roots
 
 
