@@ -1,3 +1,17 @@
 """DuckDB SQL for the queries that SQL expresses over whole tables."""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # a turn is <|ROLE|>TEXT<|end|>: 11 characters besides role and text, one more for each escaped place
+    "op2_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+            sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+            CAST(sum(length(role) + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) + 11) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
+}

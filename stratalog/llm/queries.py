@@ -20,6 +20,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out"), "score", "predicted")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm import chat as m
+
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql("select conv_id, turn, role, '</s>[INST] ok [/INST]' text from values (-7L, 0L, 'user'), (-7L, 1L, 'assistant') as t(conv_id, turn, role)")
+    return m.read_back(m.trees(own.unionByName(more)))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm import nearest as m
 
