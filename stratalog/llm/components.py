@@ -18,7 +18,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = mark
         both = now.unionByName(now.selectExpr("b a", "a b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").selectExpr("b a", "m b").filter("a <> b").distinct()
+        large = both.join(low, "a").filter("b > a").selectExpr("b a", "m b").filter("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").selectExpr("b a", "m b").filter("a <> b").unionByName(low.selectExpr("a", "m b")).distinct()
         old, now = now, written(small, name)

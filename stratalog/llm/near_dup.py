@@ -8,10 +8,12 @@ similarity with concentration bounds.
 
 1. Equal sets form a class (one hash aggregation); only each class's smallest id goes on.
 2. Bands of coordinates are hashed to buckets. Each id is compared with the smallest id of its buckets.
-3. Buckets that still hold several components are searched inside: sketches are compared block by block
-   in memory and pairs across components that agree on enough coordinates (seven standard deviations
-   below the threshold's mean) are verified, first each member's best ones and then all that remain.
-   Buckets are dealt out in blocks, so none lands whole in a task; no pair is skipped by a cap.
+3. Buckets that still hold several components are searched inside. Sketches are compared in memory; only
+   pairs across components that agree on enough coordinates (seven standard deviations below the threshold's
+   mean) go on. From buckets of up to SMALL members they are emitted and verified by a join. Larger buckets
+   carry the full sets along and verify in place, so only links leave them; a pair is looked at in the first
+   bucket that it shares, and not at all once a link has joined its components there. Large buckets are dealt
+   out in pairs of blocks, so none lands whole in a task. No cap skips a pair.
 Every link is verified on the full sets: 100 * |A and B| >= percent * |A or B|.
 
 Defined cases: null and empty texts and those without words have the empty set and link with nothing;
@@ -34,8 +36,7 @@ BINS, ROWS = 128, 4
 SHINGLE, PERCENT = 5, 80
 #: ids up to which a lookup table is broadcast (8 bytes each); more are joined by shuffle
 BROADCAST_IDS = 1_000_000
-BLOCK = 1024
-BEST = 2
+SMALL, BLOCK = 64, 512
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -141,65 +142,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _inside(parts: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """parts(key, part, side, id, n, mini, root): pairs across roots that may link, in each part of a bucket; where
-    a part has both sides, one of each. With `best`, only that many of the likeliest for each larger id."""
-    least = least_agreement(percent)
-
-    def pairs(key, part, side, ids, n, mini, root):
-        """Rows sorted by key and part are compared with those 1, 2, ... places on, all parts at once."""
-        new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
-        begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, len(key)))
-        left = (size - 1).repeat(size) - (np.arange(len(key)) - begin.repeat(size))  # rows of the part still to come
-        two = np.maximum.reduceat(side, begin).repeat(size) > 0
-        found = []
-        at = np.flatnonzero(left > 0)
-        step = 1
-        while len(at):
-            to = at + step
-            ok = (root[at] != root[to]) & (ids[at] != ids[to]) & (~two[at] | (side[at] != side[to]))
-            ok &= 100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to])
-            x, y = at[ok], to[ok]
-            agree = (mini[x] == mini[y]).sum(1)
-            ok = agree >= least
-            found.append((x[ok], y[ok], agree[ok]))
-            step += 1
-            at = at[left[at] >= step]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        x, y, agree = (np.concatenate(f) for f in zip(*found))
-        a, b = np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
-        if best is not None and len(a):
-            order = np.lexsort((b, -agree, a, part[x], key[x]))
-            a, b, k, p = a[order], b[order], key[x][order], part[x][order]
-            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (k[1:] != k[:-1]) | (p[1:] != p[:-1])))
-            place = np.arange(len(a)) - first.repeat(np.diff(np.append(first, len(a))))
-            a, b = a[place < best], b[place < best]
-        return a, b
-
-    def run(batches):
-        names = ["key", "part", "side", "id", "n", "root"]
-        held = None
-        for b in _with_end(batches):
-            if b is not None:
-                cols = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
-                cols["mini"] = np.frombuffer(b"".join(b.column("mini").to_pylist()), np.uint8).reshape(-1, BINS)
-                held = cols if held is None else {c: np.concatenate([held[c], cols[c]]) for c in cols}
-                if not len(held["key"]):
-                    continue
-                # the last part may go on in the next batch
-                end = int(np.flatnonzero((held["key"] != held["key"][-1]) | (held["part"] != held["part"][-1]))[-1:].sum()) + 1
-                if held["key"][0] == held["key"][-1] and held["part"][0] == held["part"][-1]:
-                    continue
-                now, held = {c: v[:end] for c, v in held.items()}, {c: v[end:] for c, v in held.items()}
-            else:
-                now, held = held, None
-            if now is not None and len(now["key"]):
-                a, c = pairs(now["key"], now["part"], now["side"], now["id"], now["n"], now["mini"], now["root"])
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
-
-    return parts.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "id", "n", "root", "mini").mapInArrow(run, "a long, b long").distinct()
+def _parts(batches, names: list[str]):
+    """Rows sorted by key and part as numpy columns, whole parts at a time; binary columns become lists."""
+    held = None
+    for b in _with_end(batches):
+        if b is not None:
+            cols = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
+            held = cols if held is None else {c: np.concatenate([held[c], cols[c]]) for c in cols}
+            if not len(held["key"]):
+                continue
+            # the last part may go on in the next batch
+            same = (held["key"] == held["key"][-1]) & (held["part"] == held["part"][-1])
+            if same[0]:
+                continue
+            end = int(np.flatnonzero(~same)[-1]) + 1
+            now, held = {c: v[:end] for c, v in held.items()}, {c: v[end:] for c, v in held.items()}
+        else:
+            now, held = held, None
+        if now is not None and len(now["key"]):
+            yield now
 
 
 def _with_end(batches):
@@ -207,6 +168,78 @@ def _with_end(batches):
     yield None
 
 
+def _bytes(column: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+
+
+def _pairs_inside(members: DataFrame, percent: int) -> DataFrame:
+    """members(key, part, id, n, root, mini) of small buckets: pairs across roots that may link."""
+
+    def run(batches, least=least_agreement(percent)):
+        for now in _parts(batches, ["key", "part", "id", "n", "root", "mini"]):
+            key, ids, n, root, mini = (now[c] for c in ("key", "id", "n", "root", "mini"))
+            mini = _bytes(mini)
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(begin, len(key)))
+            left = (size - 1).repeat(size) - (np.arange(len(key)) - begin.repeat(size))  # rows of the bucket still to come
+            step, at, out = 1, np.flatnonzero(left > 0), []
+            while len(at):  # every row with the one `step` places on, all buckets at once
+                to = at + step
+                ok = (root[at] != root[to]) & (100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to]))
+                x, y = at[ok], to[ok]
+                ok = (mini[x] == mini[y]).sum(1) >= least
+                out.append((ids[x[ok]], ids[y[ok]]))
+                step += 1
+                at = at[left[at] >= step]
+            x, y = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(x, y), pa.int64()), "b": pa.array(np.minimum(x, y), pa.int64())})
+
+    own = members.repartition("key").sortWithinPartitions("key").select("key", F.lit(0).cast("long").alias("part"), "id", "n", "root", "mini")
+    return own.mapInArrow(run, "a long, b long").distinct()
+
+
+def _links_inside(parts: DataFrame, percent: int) -> DataFrame:
+    """parts(key, part, side, id, n, root, mini, bands, members) of large buckets: links across roots, verified."""
+
+    def run(batches, least=least_agreement(percent)):
+        names = ["key", "part", "side", "id", "n", "root", "mini", "bands", "members"]
+        for now in _parts(batches, names):
+            cut = np.flatnonzero(np.append(True, (now["key"][1:] != now["key"][:-1]) | (now["part"][1:] != now["part"][:-1])))
+            for a, b in zip(cut, np.append(cut[1:], len(now["key"]))):
+                found = list(_search_part({c: v[a:b] for c, v in now.items()}, percent, least))
+                yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    own = parts.repartition("key", "part").sortWithinPartitions("key", "part")
+    return own.select("key", "part", "side", "id", "n", "root", "mini", "bands", "members").mapInArrow(run, "a long, b long").distinct()
+
+
+def _search_part(rows: dict, percent: int, least: int):
+    key, side, ids, n, root = rows["key"][0], rows["side"], rows["id"], rows["n"], rows["root"].copy()
+    mini, bands, sets = _bytes(rows["mini"]), np.stack(rows["bands"]), [np.frombuffer(m, np.uint64) for m in rows["members"]]
+    two = bool((side == 1).any())
+    band = int(np.flatnonzero(bands[0] == key)[0])
+    for i in range(len(ids) - 1):
+        j = np.arange(i + 1, len(ids))
+        ok = (root[j] != root[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        if two:
+            ok &= side[j] != side[i]
+        j = j[ok]
+        if not len(j):
+            continue
+        j = j[(mini[j] == mini[i]).sum(1) >= least]
+        if len(j) and band:
+            j = j[~(bands[j, :band] == bands[i, :band]).any(1)]  # else an earlier bucket holds both
+        if not len(j):
+            continue
+        flat = np.concatenate([sets[k] for k in j])
+        at = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+        same = np.add.reduceat(sets[i][at] == flat, np.append(0, np.cumsum(n[j])[:-1]), dtype=np.int64)
+        for k in j[100 * same >= percent * (n[i] + n[j] - same)]:
+            if root[k] != root[i]:
+                root[root == root[k]] = root[i]
+                yield max(ids[i], ids[k]), min(ids[i], ids[k])
+
+
 def _dealt(members: DataFrame) -> DataFrame:
     """members(key, count, ...) of buckets in parts: those of more than BLOCK members become pairs of blocks."""
     blocks = members.withColumn("s", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
@@ -226,25 +259,39 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     members = minis.select("id", F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count("id").alias("count"), F.min("id").alias("pivot")).filter("count > 1")
     shared = written(members.join(sizes, "key"), "buckets")
-    minis = minis.select("id", "n", "mini")
 
     # the rows of one id may hold several sets: those link through the id itself
     star = shared.groupBy("id").agg(F.min("pivot").alias("b")).filter("id <> b").selectExpr("id a", "b")
-    tried = written(_likely(star, minis, percent), "likely")
+    tried = written(_likely(star, minis.select("id", "n", "mini"), percent), "likely")
     found = written(_verified(tried, texts, shingle, percent), "links")
     roots = components(found)
-    for best in (BEST, None):
-        now = written(shared.drop("pivot").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-        open_ = now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-        inside = _dealt(now.join(open_, "key", "left_semi").join(minis, "id"))
-        pairs = written(_inside(inside, percent, best).join(tried, ["a", "b"], "left_anti"), "likely")
-        more = written(_verified(pairs, texts, shingle, percent), "links")
-        new_roots = components(more.unionByName(roots.selectExpr("node a", "root b")))
-        discard(spark, roots, now, more)
-        tried, old, roots = written(tried.unionByName(pairs), "likely"), (tried, pairs), new_roots
-        discard(spark, *old)
-    discard(spark, shared, tried, found)
-    return sig, classes, roots
+    now = written(shared.drop("pivot").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    open_ = now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+    inside = written(now.join(open_, "key", "left_semi"), "open")
+    pairs = _pairs_inside(inside.filter(f"count <= {SMALL}").join(minis.select("id", "n", "mini"), "id"), percent)
+    pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "likely")
+    small = _verified(pairs, texts, shingle, percent)
+    large = inside.filter(f"count > {SMALL}")
+    sets = _sets(texts.join(_looked_up(large.select("id").distinct()), "id", "left_semi"), shingle)
+    large = _links_inside(_dealt(large).join(minis, "id").join(sets, ["id", "n"]), percent)
+    more = written(small.unionByName(large).unionByName(roots.selectExpr("node a", "root b")), "links")
+    final = components(more)
+    discard(spark, shared, tried, found, roots, now, inside, pairs, more)
+    return sig, classes, final
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, n, members): the sorted hashes of each text's shingles."""
+
+    def run(batches):
+        for b in batches:
+            raw, offsets = utf8(b.column("text"))
+            for x, y in slices(offsets):
+                values, at = sets_of(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], shingle)
+                data = values.tobytes()
+                yield pa.RecordBatch.from_pydict({"id": b.column("id").slice(x, y - x), "n": pa.array(np.diff(at), pa.int64()), "members": pa.array([data[8 * p : 8 * q] for p, q in zip(at, at[1:])], pa.binary())})
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, members binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
