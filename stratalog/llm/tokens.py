@@ -2,16 +2,34 @@
 
 A byte-level BPE whose pre-tokens are ` ?letters`, ` ?digits`, ` ?others` or white space always starts a
 new token at a single space between two non-space characters, so a text can be cut there and each stretch
-(with the space before it) encoded by itself. Stretches that recur are encoded once per worker.
+(with the space before it) encoded by itself. Within a stretch it also starts one where a run of letters ends
+and on both sides of a lone line break, so an unknown stretch is put together from parts that mostly are known.
+Stretches and parts that recur are encoded once per worker.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 
 import numpy as np
 
-CACHED, LONGEST = 300_000, 48
+CACHED, LONGEST = 600_000, 48
+#: letters only, though not all letters: a run is cut off where what follows is no letter at all
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write each of those letters: printable bytes as themselves, the n-th other
+    byte as character 256 + n."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in plain]
+    shown = {b: chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)}
+    return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(256) if chr(c).isalpha()}
+
+
+_SHOWN = _byte_letters()
+_SPACE = "\u0120"  # the byte of a space
 
 
 class Encoder(dict):
@@ -24,21 +42,59 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.offsets = offsets
+        self.parts: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model.tokenize
+
+    def word(self, letters: str, space: str) -> bytes:
+        """A run of letters is one pre-token, so its ids come from the merges alone."""
+        if self.offsets:
+            return self.direct((" " if space else "") + letters)
+        return array("I", [t.id for t in self.merges(space + letters.translate(_SHOWN))]).tobytes()
 
     def direct(self, text: str) -> bytes:
         e = self.tokenizer.encode(text, add_special_tokens=False)
         return array("I", [a for a, _ in e.offsets] if self.offsets else e.ids).tobytes()
 
+    def moved(self, values: bytes, by: int) -> bytes:
+        if not self.offsets or not by:
+            return values
+        return array("I", [x + by for x in array("I", values)]).tobytes()
+
     def __missing__(self, stretch: str) -> bytes | None:
-        value = None if not stretch or stretch[0].isspace() or stretch[-1].isspace() else self.direct(" " + stretch)
+        if not stretch or stretch[0].isspace() or stretch[-1].isspace():
+            value = None
+        else:
+            m = _LETTERS.match(stretch)
+            cut = m.end() if m else 0
+            if cut and cut < len(stretch) and not stretch[cut].isalpha():
+                value = self[stretch[:cut]] + self.moved(self.bare(stretch[cut:]), cut + 1)
+            else:
+                value = self.word(stretch, _SPACE) if cut == len(stretch) else self.direct(" " + stretch)
         if len(stretch) <= LONGEST:
             self[stretch] = value
         return value
 
+    def bare(self, text: str) -> bytes:
+        """The values of a stretch, or a part of one, that no space precedes."""
+        if (value := self.parts.get(text)) is not None:
+            return value
+        before, line, after = text.partition("\n")
+        m = _LETTERS.match(text)
+        cut = m.end() if m else 0
+        if line and before and after and not before[-1].isspace() and not after[0].isspace():
+            value = self.bare(before) + self.moved(self.bare(line), len(before)) + self.moved(self.bare(after), len(before) + 1)
+        elif cut and cut < len(text) and not text[cut].isalpha():
+            value = self.bare(text[:cut]) + self.moved(self.bare(text[cut:]), cut)
+        else:
+            value = self.word(text, "") if cut == len(text) else self.direct(text)
+        if len(text) <= LONGEST:
+            self.parts[text] = value
+        return value
+
     def values(self, text: str) -> np.ndarray:
         """Ids, or with `offsets` the place of each token's first character."""
-        if len(self) > CACHED:
-            self.clear()
+        if len(self) > CACHED or len(self.parts) > CACHED:
+            self.clear(), self.parts.clear()
         parts = text.split(" ")
         head, found = parts[0], [self[p] for p in parts[1:]]
         if (not head or head[0].isspace() or head[-1].isspace()) or None in found:
