@@ -12,18 +12,15 @@ def _c(x: Column | str) -> Column:
 
 def friendly(path: Column | str) -> Column:
     """Without the verbatim prefixes \\\\?\\ and \\\\?\\UNC\\."""
-    p = F.regexp_replace(_c(path), r"^\\\\\?\\UNC\\", r"\\\\\\\\")
+    p = F.regexp_replace(_c(path), r"^\\\\\?\\UNC\\", r"\\\\")
     return F.regexp_replace(p, r"^\\\\\?\\", "")
 
 
 def extended(path: Column | str) -> Column:
-    """With the verbatim prefix: drive paths get \\\\?\\, network paths \\\\?\\UNC\; others stay."""
+    """With the verbatim prefix: drive paths get \\\\?\\, network paths \\\\?\\UNC\\; others stay."""
     p = _c(path)
-    return F.when(p.rlike(r"^\\\\\?\\"), p).when(p.rlike(r"^\\\\"), F.concat(F.lit("\\\\?\\UNC\\"), F.expr("substring(%s, 3)" % _sql(path)) if isinstance(path, str) else F.substring(p, 3, 1 << 30))).when(p.rlike(r"^[A-Za-z]:\\"), F.concat(F.lit("\\\\?\\"), p)).otherwise(p)
-
-
-def _sql(name: str) -> str:
-    return f"`{name}`"
+    network = F.concat(F.lit("\\\\?\\UNC\\"), F.regexp_replace(p, r"^\\\\", ""))
+    return F.when(p.rlike(r"^\\\\\?\\"), p).when(p.rlike(r"^\\\\"), network).when(p.rlike(r"^[A-Za-z]:\\"), F.concat(F.lit("\\\\?\\"), p)).otherwise(p)
 
 
 def slashed(path: Column | str) -> Column:

@@ -130,13 +130,13 @@ def imported_list(text: Column | str) -> Column:
     t = _c(text)
     split = F.split(t, "[;,；，\r\n]+")
     found = F.coalesce(F.from_json(t, "array<string>"), F.when(t.rlike(r"^\s*\{"), F.from_json(t, "tags array<string>")["tags"]), split)
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def imported_pairs(text: Column | str) -> Column:
     """A JSON object, one under `translations`, or lines `key=value` (or tab, or comma); # starts a comment."""
     t = _c(text)
-    lines = F.filter(F.transform(F.split(t, "\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split(t, "\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^\t=,]+)[\t=,](.*)$", 1)).alias("key"), F.trim(F.regexp_extract(x, r"^([^\t=,]+)[\t=,](.*)$", 2)).alias("value")))
     pairs = F.filter(pairs, lambda e: (e["key"] != "") & (e["value"] != ""))
     last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda o: o["key"] == e["key"]))
