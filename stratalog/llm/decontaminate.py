@@ -228,5 +228,5 @@ def report(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ","), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"), "match_words", "match_item",
+        (F.size("spans") > 0).alias("contaminated"),
     )

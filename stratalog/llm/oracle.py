@@ -14,4 +14,40 @@ SQL: dict[str, str] = {
             CAST(sum(length(role) + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) + 11) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id
     """,
+    # files and versions are the table's own; what it holds must be what was appended
+    "op9_shards": """
+        SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS text_bytes, md5(text) AS text_md5 FROM documents
+    """,
+    "op4_near_dup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+                WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+        u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT r.d, u.y FROM r JOIN u ON u.x = r.m)
+        SELECT d AS doc_id, coalesce(max(n), 0) AS n_shingles, min(m) AS component_id, d = min(m) AS kept FROM r LEFT JOIN n ON n.doc_id = d GROUP BY d
+    """,
+    "op8_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+        ),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+        ),
+        v AS (SELECT item_id, ws, least(len(ws), 10) AS size FROM b WHERE len(ws) > 0),
+        k AS (SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM v)),
+        z AS (SELECT DISTINCT size FROM k),
+        p AS (SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS win FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, z WHERE len(ws) >= size)),
+        h AS (SELECT p.doc_id, p.i, p.size, k.item_id FROM p JOIN k ON p.size = k.size AND p.win = k.win),
+        t AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS q FROM h) GROUP BY 1),
+        m AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+    """,
 }

@@ -76,12 +76,8 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm import shards as m
     from stratalog.llm.shared import shared_dir
 
-    at, rows = m.sharded(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    version = at.manifest()["version"]
-    return rows.select(
-        "doc_id", F.octet_length("text").cast("long").alias("text_bytes"), F.md5("text").alias("text_md5"),
-        F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long").alias("shard"), F.lit(version).cast("long").alias("version"),
-    )
+    _, rows = m.sharded(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    return rows.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("text_bytes"), F.md5("text").alias("text_md5"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
