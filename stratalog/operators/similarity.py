@@ -71,3 +71,7 @@ def groups(clustered: DataFrame, bits: int) -> DataFrame:
     """Per head of more than one file: n_files and similarity in percent, by the file farthest from it."""
     g = clustered.groupBy("head").agg(F.count(F.lit(1)).alias("n_files"), F.max("head_distance").alias("farthest")).filter("n_files > 1")
     return g.withColumn("similarity", values.similarity(F.col("farthest"), F.lit(bits)))
+
+
+def at_least(grouped: DataFrame, percent: int) -> DataFrame:
+    return grouped.filter(F.col("similarity") >= percent)

@@ -78,6 +78,11 @@ def rollback_events(plan: DataFrame, failed: DataFrame, at: int) -> DataFrame:
     return out.select("id", "record_id", ok.alias("rollback_success"), F.coalesce("_e", "message").alias("rollback_error"), F.lit(at).cast("long").alias("updated_at"))
 
 
+def with_item_ids(plan: DataFrame, items: DataFrame) -> DataFrame:
+    """Plan rows with the id of the item that has their old path."""
+    return plan.join(items.select("old_path", "id"), "old_path", "left")
+
+
 def status_of(success: Column, failed: Column, skipped: Column) -> Column:
     return F.when((success > 0) & (failed == 0) & (skipped == 0), "rolled_back").when(success > 0, "partially_rolled_back").otherwise("applied")
 

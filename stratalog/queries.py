@@ -406,17 +406,20 @@ def hamming_pairs(spark, sf_dir):
     return similarity.near_pairs(_signatures(spark, sf_dir), DISTANCE, 64)
 
 
-@query("WITH RECURSIVE " + _BITS + f""", o AS (SELECT vec_id, s, row_number() OVER (ORDER BY vec_id) AS i FROM b),
+_LEADERS = "WITH RECURSIVE " + _BITS + f""", o AS (SELECT vec_id, s, row_number() OVER (ORDER BY vec_id) AS i FROM b),
 r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(v BIGINT, s BIT)[]) AS heads, CAST(NULL AS BIGINT) AS ordinal, CAST(NULL AS BIGINT) AS head, CAST(NULL AS BIGINT) AS head_distance
     UNION ALL SELECT o.i, CASE WHEN m IS NULL THEN list_append(r.heads, {{'v': o.vec_id, 's': o.s}}) ELSE r.heads END, o.vec_id, coalesce(m.v, o.vec_id), coalesce(bit_count(xor(m.s, o.s)), 0)
     FROM r JOIN o ON o.i = r.i + 1, LATERAL (SELECT list_filter(r.heads, lambda h: bit_count(xor(h.s, o.s)) <= {DISTANCE})[1] AS m))
-SELECT ordinal, head, head_distance FROM r WHERE ordinal IS NOT NULL
-""")
+"""
+
+
+@query(_LEADERS + "SELECT ordinal, head, head_distance FROM r WHERE ordinal IS NOT NULL")
 def leader_cluster(spark, sf_dir):
     return similarity.leaders(_signatures(spark, sf_dir), DISTANCE, 64, save).select("ordinal", "head", "head_distance")
 
 
-@query()
+@query(_LEADERS + """SELECT head, count(*) AS n_files, max(head_distance) AS farthest, CAST(round(100 - max(head_distance) * 100.0 / 64) AS INT) AS similarity
+FROM r WHERE ordinal IS NOT NULL GROUP BY head HAVING count(*) > 1""")
 def similarity_groups(spark, sf_dir):
     return similarity.groups(similarity.leaders(_signatures(spark, sf_dir), DISTANCE, 64, save), 64)
 
