@@ -1,6 +1,6 @@
 """Arrow batches as flat byte arrays: word boundaries, hashes and shingles for many documents at once.
 
-Every Python operator of this folder works on slices of a few megabytes, so its memory follows
+Every Python operator of this folder works on slices of half a megabyte, so its memory follows
 SLICE_BYTES and the longest single document, never the partition.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 _M = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_M, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}

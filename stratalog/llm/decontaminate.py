@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.batches import ALNUM, Words, segment_sum, slices, utf8
+from stratalog.llm.shared import small_batches
 
 WINDOW = 10
 BLOCK_BYTES = 32_000_000
@@ -175,6 +176,7 @@ def _merge(old: dict | None, new: dict | None) -> dict | None:
 
 def indexes(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list:
     """Broadcast suffix lists, each over at most about block_bytes of benchmark text."""
+    small_batches(bench.sparkSession)
     spark = bench.sparkSession
     rows = bench.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]

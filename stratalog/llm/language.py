@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.batches import slices, utf8
+from stratalog.llm.shared import small_batches
 
 DOCS, DOC_CHARS, SYMBOLS, WINDOW = 300, 20_000, 40_000, 512
 UNKNOWN = "und"
@@ -167,6 +168,7 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
 
 def fit(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_a_language: int = DOCS) -> Languages:
     """Automata from rows where the SQL condition `learn` on id_col holds and the language isn't null."""
+    small_batches(docs.sparkSession)
     rows = docs.filter(f"({learn}) and {id_col} is not null and {lang_col} is not null")
     counts = {r.lang: r.n for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     place = "pmod(xxhash64(cast(%s as string)), 1000003)" % id_col
@@ -194,6 +196,7 @@ def fit(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "te
 
 def identify(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, lang_pred, score and excess_bits."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -208,6 +211,7 @@ def identify(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col
 
 def keep_languages(docs: DataFrame, model: Languages, text_col: str = "text", excess_bits: float = EXCESS_BITS) -> DataFrame:
     """The rows of docs, whatever their columns, whose text is in one of the languages."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches, at=docs.columns.index(text_col)):

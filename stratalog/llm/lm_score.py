@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.batches import segment_sum, slices, utf8
+from stratalog.llm.shared import small_batches
 
 ORDERS, BUCKETS, KAPPA, BLOCK = 4, 1 << 20, 4.0, 1 << 14
 _BASE = [0, 256, 256 + 65536]
@@ -54,6 +55,7 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.nda
 
 def count(docs: DataFrame, id_col: str, text_col: str, target: DataFrame) -> DataFrame:
     """(model, block, counts): sums of the counters of model 0 (all documents) and 1 (ids in target)."""
+    small_batches(docs.sparkSession)
     ids = target.select(F.col(target.columns[0]).alias("doc_id")).filter("doc_id is not null").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     ids = ids.withColumn("is_target", F.lit(True))
@@ -120,6 +122,7 @@ def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, target_loss, background_loss and score, in bits a byte."""
+    small_batches(docs.sparkSession)
     models = docs.sparkSession.sparkContext.broadcast(models)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 

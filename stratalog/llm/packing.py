@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.shared import written
+from stratalog.llm.shared import small_batches, written
 from stratalog.llm.tokens import encoder
 
 CAPACITY, END_ID, GROUP = 1024, 2, 8192
@@ -30,6 +30,7 @@ CAPACITY, END_ID, GROUP = 1024, 2, 8192
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):

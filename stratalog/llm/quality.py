@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.batches import Words, byte_table, mix, segment_sum, slices, utf8
+from stratalog.llm.shared import small_batches
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 18, 12, 5, 4.0
 TRAIN_DOCS, DOC_CHARS, THRESHOLD, SEED = 5000, 20_000, 0.3, 11
@@ -135,6 +136,7 @@ def hash_of(i: int) -> int:
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: the id, score (0 to 1) and predicted (1 from threshold on)."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -148,6 +150,7 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, model: Classifier, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, whatever their columns, that score threshold or more."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches, at=docs.columns.index(text_col)):

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.tokens import encoder
+from stratalog.llm.shared import small_batches
 
 RULES = ("first", "last", "split")
 
@@ -54,6 +55,7 @@ def attribute(starts: np.ndarray, n_chars: int, spans: list[tuple[int, int]], ru
 
 def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", sections: Callable[[str], list[tuple[int, int]]] = lines, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, n_sections, n_crossing and section_tokens, in the order of the sections."""
+    small_batches(docs.sparkSession)
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
