@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.batches import segment_sum, slices, utf8
+from stratalog.llm.batches import SLICE_BYTES, segment_sum, slices, utf8
 from stratalog.llm.shared import small_batches
 
 ORDERS, BUCKETS, KAPPA, BLOCK = 4, 1 << 20, 4.0, 1 << 14
@@ -66,7 +66,7 @@ def count(docs: DataFrame, id_col: str, text_col: str, target: DataFrame) -> Dat
         for b in batches:
             raw, offsets = utf8(b.column("text"))
             wanted = b.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
-            for x, y in slices(offsets):
+            for x, y in slices(offsets, 4 * SLICE_BYTES):
                 own, at = raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
                 mask = np.repeat(wanted[x:y], np.diff(at))
                 for n, (code, ok) in enumerate(grams(own, at)):
