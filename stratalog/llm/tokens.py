@@ -48,7 +48,10 @@ class Encoder(dict):
     def word(self, letters: str, space: str) -> bytes:
         """A run of letters is one pre-token, so its ids come from the merges alone."""
         if self.offsets:
-            return self.direct((" " if space else "") + letters)
+            if not letters.isascii():
+                return self.direct((" " if space else "") + letters)
+            # the merges count bytes, of which the space's stand-in has two
+            return array("I", [max(t.offsets[0] - len(space), 0) for t in self.merges(space + letters)]).tobytes()
         return array("I", [t.id for t in self.merges(space + letters.translate(_SHOWN))]).tobytes()
 
     def direct(self, text: str) -> bytes:
