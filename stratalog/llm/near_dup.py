@@ -304,6 +304,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, whatever their columns, without those whose component has a smaller id."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, percent).filter("not kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(_looked_up(written(gone, "gone")), id_col, "left_anti").select(*docs.columns)
+    """The rows of docs, whatever their columns, without those whose component has a smaller id; of rows that repeat
+    both id and text, one stays."""
+    gone = near_duplicates(docs, id_col, text_col, shingle, percent).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(_looked_up(written(gone, "gone")), id_col, "left_anti").select(*docs.columns)
+    again = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(id_col)
+    if not (again := written(again, "again")).limit(1).count():
+        return kept
+    once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, id_col, "left_anti").unionByName(once).select(*docs.columns)

@@ -66,6 +66,8 @@ def test_near_duplicates_of_nothing_and_null_ids(spark, docs):
     assert got == {(None, None, True), (7, 3, False), (3, 3, True)}
     kept = near_dup.keep_one(docs(["a b c", "a b c", "d"], [9, 4, 5]))
     assert kept.columns == docs([]).columns and {r.doc_id for r in kept.collect()} == {4, 5}
+    again = near_dup.keep_one(docs(["a b c", "a b c", "d", None, None], [4, 4, 4, None, None]))
+    assert sorted(str(r.text) for r in again.collect()) == ["None", "None", "a b c", "d"]
 
 
 # decontamination
