@@ -54,7 +54,7 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.nda
 
 
 def count(docs: DataFrame, id_col: str, text_col: str, target: DataFrame) -> DataFrame:
-    """(model, block, counts): sums of the counters of model 0 (all documents) and 1 (ids in target)."""
+    """(model, block, at, counts): sums of the counters of model 0 (all documents) and 1 (ids in target)."""
     small_batches(docs.sparkSession)
     ids = target.select(F.col(target.columns[0]).alias("doc_id")).filter("doc_id is not null").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -86,9 +86,10 @@ def count(docs: DataFrame, id_col: str, text_col: str, target: DataFrame) -> Dat
         for b in batches:
             for at, counts in zip(b.column("at").to_pylist(), b.column("counts").to_pylist()):
                 total[np.frombuffer(at, "<u2")] += np.frombuffer(counts, "<i8")
-        yield pa.RecordBatch.from_pydict({"model": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([total.astype("<i8").tobytes()])})
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "at": pa.array([own.astype("<u2").tobytes()]), "counts": pa.array([total[own].astype("<i8").tobytes()])})
 
-    return rows.mapInArrow(run, "model int, block long, at binary, counts binary").groupBy("model", "block").applyInArrow(add, "model int, block long, counts binary")
+    return rows.mapInArrow(run, "model int, block long, at binary, counts binary").groupBy("model", "block").applyInArrow(add, "model int, block long, at binary, counts binary")
 
 
 class Models:
@@ -114,9 +115,8 @@ class Models:
 def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
     """The models of all docs and of those whose ids are in target's first column."""
     counts = np.zeros((2, SIZE), np.int64)
-    for r in count(docs, id_col, text_col, target).toLocalIterator():  # at most 2 * SIZE / BLOCK rows of 8 * BLOCK bytes
-        own = np.frombuffer(r.counts, "<i8")[: SIZE - r.block]
-        counts[r.model, r.block : r.block + len(own)] = own
+    for r in count(docs, id_col, text_col, target).toLocalIterator():  # at most 2 * SIZE / BLOCK rows of 10 * BLOCK bytes
+        counts[r.model, r.block + np.frombuffer(r.at, "<u2").astype(np.int64)] = np.frombuffer(r.counts, "<i8")
     return Models(counts)
 
 
