@@ -1,15 +1,14 @@
 """Cross-entropy difference: two n-gram models over one vocabulary score each document.
 
 The shared vocabulary is the 256 bytes of UTF-8, so the models are matched by construction and have no
-unknown words. Each model counts the n-grams of orders 1 to ORDERS over all its documents; orders above 2
-are hashed into BUCKETS counters. A byte's probability at order n backs off to order n - 1 with a weight of
-KAPPA counts. A document's score is its loss under the target model less its loss under the background
-model, in bits a byte: the lower, the more it is like the target.
+unknown words. Each model counts the n-grams of orders 1 to ORDERS over all its documents. A byte's
+probability at order n backs off to order n - 1 with a weight of KAPPA counts. A document's score is its loss
+under the target model less its loss under the background model, in bits a byte: the lower, the more it is
+like the target.
 
-Every task adds up its own documents and passes on the counters that aren't 0; counters are summed by
-blocks of BLOCK. Their number is fixed by ORDERS and BUCKETS (about 2.2 million for each model), so the
-model that is collected and broadcast is bounded, whatever the corpus; how much is counted and shuffled
-grows with the corpus.
+Counts are exact: the model is a written table with a row for each n-gram that occurs, in the size of the
+corpus's distinct n-grams, and is nowhere held as a whole. For scoring, documents are dealt into slices of
+SLICE bytes; each slice asks for its own n-grams by a join with the table and is met again with the answers.
 
 Defined cases: null and empty texts have no losses and no score (null) and 0 tokens; with no target
 document the target model knows nothing and all bytes are equally likely; equal ids stay separate rows.
@@ -17,44 +16,54 @@ document the target model knows nothing and all bytes are equally likely; equal
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.batches import SLICE_BYTES, segment_sum, slices, utf8
-from stratalog.llm.shared import small_batches
+from stratalog.llm.batches import segment_sum, slices, utf8
+from stratalog.llm.shared import small_batches, written
 
-ORDERS, BUCKETS, KAPPA, BLOCK = 4, 1 << 20, 4.0, 1 << 14
-_BASE = [0, 256, 256 + 65536]
-BASE = np.array([*_BASE, *(_BASE[-1] + BUCKETS * k for k in range(1, ORDERS - 1))])
-SIZE = int(BASE[-1])
+#: an n-gram's key holds its bytes after a leading 1, so ORDERS is 7 at most
+ORDERS, KAPPA, SLICE = 4, 4.0, 4 << 20
+#: pairs up to which distinct ones are told by a flag for each possible pair; beyond, by sorting
+DENSE = 1 << 24
 #: ids up to which a lookup table is broadcast; more are joined by shuffle
 BROADCAST_IDS = 1_000_000
 
 
-def grams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the counter of the n-gram that ends at each byte, and whether it lies in one document."""
-    out, ok = [], np.ones(len(raw), bool)
-    code = raw.astype(np.uint32)
-    begins = offsets[:-1]
+def grams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order: the keys of the distinct n-grams, the place of an occurrence's last byte for each, and for
+    each byte the index of the n-gram that ends there, -1 where it would begin before its document."""
+    out = []
+    place = np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets))
     for n in range(1, ORDERS + 1):
-        if n > 1:
-            shifted = np.zeros(len(raw), np.uint32)
-            shifted[n - 1 :] = raw[: len(raw) - n + 1]
-            code = code | (shifted << np.uint32(8 * (n - 1)))
-            ok = ok.copy()
-            at = begins + n - 2
-            ok[at[at < offsets[1:]]] = False  # also for all longer ones
-        at = code if n < 3 else (code * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        out.append((at.astype(np.int64) + BASE[n - 1], ok))
+        at = np.flatnonzero(place >= n - 1)
+        before, index = out[-1][::2] if out else (np.ones(1, np.int64), None)
+        pair = raw[at].astype(np.int64)
+        if index is not None:
+            pair += index[at - 1].astype(np.int64) << 8
+        if len(before) << 8 <= DENSE:
+            number = np.zeros(len(before) << 8, np.int32)
+            number[pair] = 1
+            found = np.flatnonzero(number)
+            number[found] = np.arange(len(found))
+            own = number[pair]
+        else:
+            found, own = np.unique(pair, return_inverse=True)
+        index = np.full(len(raw), -1, np.int32)
+        index[at] = own
+        last = np.zeros(len(found), np.int64)
+        last[own] = at
+        out.append((before[found >> 8] << 8 | found & 255, last, index))
     return out
 
 
 def count(docs: DataFrame, id_col: str, text_col: str, target: DataFrame) -> DataFrame:
-    """(model, block, at, counts): sums of the counters of model 0 (all documents) and 1 (ids in target)."""
+    """(key, background, target): how often each n-gram occurs in all documents and in those whose ids are in target."""
     small_batches(docs.sparkSession)
     ids = target.select(F.col(target.columns[0]).alias("doc_id")).filter("doc_id is not null").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -62,78 +71,100 @@ def count(docs: DataFrame, id_col: str, text_col: str, target: DataFrame) -> Dat
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
 
     def run(batches):
-        totals = np.zeros((2, SIZE), np.int64)
         for b in batches:
             raw, offsets = utf8(b.column("text"))
             wanted = b.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
-            for x, y in slices(offsets, 4 * SLICE_BYTES):
+            for x, y in slices(offsets, SLICE):
                 own, at = raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
                 mask = np.repeat(wanted[x:y], np.diff(at))
-                for n, (code, ok) in enumerate(grams(own, at)):
-                    low, width = BASE[n], (256, 65536)[n] if n < 2 else BUCKETS
-                    totals[0, low : low + width] += np.bincount(code[ok] - low, minlength=width)
-                    if mask.any():
-                        totals[1, low : low + width] += np.bincount(code[ok & mask] - low, minlength=width)
-        for m in range(2):
-            for k in range(0, SIZE, BLOCK):
-                part = totals[m, k : k + BLOCK]
-                at = np.flatnonzero(part)
-                if len(at):
-                    yield pa.RecordBatch.from_pydict({"model": pa.array([m], pa.int32()), "block": pa.array([k], pa.int64()), "at": pa.array([at.astype("<u2").tobytes()]), "counts": pa.array([part[at].astype("<i8").tobytes()])})
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BLOCK, np.int64)
-        for b in batches:
-            for at, counts in zip(b.column("at").to_pylist(), b.column("counts").to_pylist()):
-                total[np.frombuffer(at, "<u2")] += np.frombuffer(counts, "<i8")
-        own = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"model": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "at": pa.array([own.astype("<u2").tobytes()]), "counts": pa.array([total[own].astype("<i8").tobytes()])})
+                for keys, _, index in grams(own, at):
+                    all_, some = (np.bincount(i[i >= 0], minlength=len(keys)) for i in (index, index[mask]))
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "background": pa.array(all_), "target": pa.array(some)})
 
-    return rows.mapInArrow(run, "model int, block long, at binary, counts binary").groupBy("model", "block").applyInArrow(add, "model int, block long, at binary, counts binary")
+    return rows.mapInArrow(run, "key long, background long, target long").groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
+@dataclass
 class Models:
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.float32)
-        self.totals = counts[:, :256].sum(1).astype(np.float64)
-
-    def losses(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """2 x documents: bits of each whole document under the background and the target model."""
-        out, found = [], grams(raw, offsets)
-        for m in range(2):
-            p, before = np.full(len(raw), 1 / 256, np.float32), None
-            for n, (code, ok) in enumerate(found):
-                c = self.counts[m].take(code)
-                context = np.full(len(raw), self.totals[m], np.float32) if n == 0 else np.append(np.float32(0), before[:-1])
-                better = np.minimum((c + np.float32(KAPPA) * p) / (np.maximum(context, c) + np.float32(KAPPA)), 1)
-                p = better if n == 0 else np.where(ok, better, p)
-                before = c
-            out.append(segment_sum(-np.log2(p, dtype=np.float64), offsets))
-        return np.array(out)
+    """The counts of every n-gram, as a written table, and how many bytes the models have seen."""
+
+    table: DataFrame
+    totals: tuple[int, int]
 
 
 def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
     """The models of all docs and of those whose ids are in target's first column."""
-    counts = np.zeros((2, SIZE), np.int64)
-    for r in count(docs, id_col, text_col, target).toLocalIterator():  # at most 2 * SIZE / BLOCK rows of 10 * BLOCK bytes
-        counts[r.model, r.block + np.frombuffer(r.at, "<u2").astype(np.int64)] = np.frombuffer(r.counts, "<i8")
-    return Models(counts)
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    counts = written(count(docs, id_col, text_col, target), "ngrams")
+    seen = counts.filter("key < 512").agg(F.sum("background"), F.sum("target")).first()  # keys of single bytes
+    return Models(counts, (seen[0] or 0, seen[1] or 0))
+
+
+def losses(raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray, counts: list[np.ndarray], totals: tuple[int, int]) -> np.ndarray:
+    """Models x documents: bits of each whole document, where n-gram keys[i] (sorted) occurs counts[m][i] times."""
+    found, out = grams(raw, offsets), []
+    for total, known in zip(totals, counts):
+        bits, p, before = np.zeros(len(raw)), None, None
+        for n, (own, last, index) in enumerate(found):
+            c = np.zeros(len(own))
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                c = np.where(keys[at] == own, known[at], 0).astype(np.float64)
+            context = before[found[n - 1][2][last - 1]] if n else np.full(len(own), float(total))
+            lower = p[found[n - 1][2][last]] if n else 1 / 256
+            p, before = np.minimum((c + KAPPA * lower) / (np.maximum(context, c) + KAPPA), 1), c
+            ok = index >= 0
+            bits[ok] = -np.log2(p)[index[ok]]
+        out.append(segment_sum(bits, offsets))
+    return np.array(out)
+
+
+def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE) -> DataFrame:
     """Per row: doc_id, n_tokens, target_loss, background_loss and score, in bits a byte."""
     small_batches(docs.sparkSession)
-    models = docs.sparkSession.sparkContext.broadcast(models)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind, totals = dict(rows.dtypes)["doc_id"], models.totals
 
-    def run(batches):
+    def cut(batches):
+        now, filled = TaskContext.get().partitionId() << 32, 0
         for b in batches:
-            raw, offsets = utf8(b.column("text"))
-            for x, y in slices(offsets):
-                at = offsets[x : y + 1] - offsets[x]
-                n = np.diff(at)
-                bits = models.value.losses(raw[offsets[x] : offsets[y]], at) / np.maximum(n, 1)
-                none = n == 0
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(x, y - x), "n_tokens": pa.array(n, pa.int64())} | {k: pa.array(v, pa.float64(), mask=none) for k, v in (("target_loss", bits[1]), ("background_loss", bits[0]), ("score", bits[1] - bits[0]))})
-
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, target_loss double, background_loss double, score double")
+            own = []
+            for n in np.diff(utf8(b.column("text"))[1]).tolist():
+                if filled and filled + n > slice_bytes:
+                    now, filled = now + 1, 0
+                filled += n
+                own.append(now)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(own, pa.int64()), "doc_id": b.column("doc_id"), "text": b.column("text")})
+
+    def ask(batches):
+        held, now = [], None
+
+        def keys():
+            raw, offsets = utf8(pa.concat_arrays(held))
+            for found, *_ in grams(raw, offsets):
+                yield pa.RecordBatch.from_pydict({"slice": pa.array(np.full(len(found), now)), "key": pa.array(found)})
+
+        for b in batches:
+            own = b.column("slice").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            for x, y in zip(cuts, cuts[1:]):
+                if x < y:
+                    if held and own[x] != now:
+                        yield from keys()
+                        held = []
+                    now = int(own[x])
+                    held.append(b.column("text").slice(x, y - x).cast(pa.large_string()))
+        if held:
+            yield from keys()
+
+    def answer(own: pa.Table, known: pa.Table) -> pa.Table:
+        own, known = own.combine_chunks(), known.sort_by("key")
+        raw, offsets = utf8(pa.concat_arrays([c.cast(pa.large_string()) for c in own.column("text").chunks]))
+        n = np.diff(offsets)
+        counts = [known.column(c).to_numpy() for c in ("background", "target")]
+        bits = losses(raw, offsets, known.column("key").to_numpy(), counts, totals) / np.maximum(n, 1)
+        none = n == 0
+        return pa.table({"doc_id": own.column("doc_id"), "n_tokens": pa.array(n, pa.int64())} | {k: pa.array(v, pa.float64(), mask=none) for k, v in (("target_loss", bits[1]), ("background_loss", bits[0]), ("score", bits[1] - bits[0]))})
+
+    dealt = written(rows.mapInArrow(cut, f"slice long, doc_id {kind}, text string"), "slices")
+    known = dealt.select("slice", "text").mapInArrow(ask, "slice long, key long").join(models.table, "key")
+    return dealt.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(answer, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")

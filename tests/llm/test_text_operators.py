@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and its defined cases."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -284,3 +285,27 @@ def test_losses_equal_a_plain_model(spark, docs):
         assert got[i].target_loss == pytest.approx(wanted(texts[i]), rel=1e-5)
         assert got[i].score == pytest.approx(got[i].target_loss - got[i].background_loss)
     assert got[2].score is None and got[3].n_tokens == 0
+
+
+def test_every_ngram_has_its_own_count(spark, docs):
+    import collections
+    import random
+
+    r = random.Random(8)
+    texts = ["".join(chr(r.randint(33, 126)) for _ in range(2000)) for _ in range(100)]
+    counts = collections.Counter(t[i : i + n] for t in texts for n in range(1, lm_score.ORDERS + 1) for i in range(len(t) - n + 1))
+    target = spark.createDataFrame([(0,), (7,)], "doc_id long")
+    model = lm_score.fit(docs(texts), target)
+    got = {x.doc_id: x for x in lm_score.score(docs(texts), model).collect()}
+    for i in (0, 50, 99):
+        t, bits = texts[i], 0.0
+        for k in range(len(t)):
+            p = 1 / 256
+            for n in range(1, min(k + 1, lm_score.ORDERS) + 1):
+                gram = t[k - n + 1 : k + 1]
+                p = min(1, (counts[gram] + lm_score.KAPPA * p) / ((counts[gram[:-1]] if n > 1 else 200_000) + lm_score.KAPPA))
+            bits -= math.log2(p)
+        assert got[i].background_loss == pytest.approx(bits / len(t), rel=1e-6)
+    assert model.table.count() == len(counts)  # follows the input
+    again = {x.doc_id: x for x in lm_score.score(docs(texts), model, slice_bytes=5000).collect()}
+    assert all(again[i].score == pytest.approx(got[i].score, rel=1e-12) for i in got)
