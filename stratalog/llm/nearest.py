@@ -8,8 +8,10 @@ is indexed. Two neighbouring codes form a byte, so a query needs one table of 25
 every two subspaces and one look-up in it per vector.
 
 Queries and vectors are packed into blocks, every block of queries meets every block of vectors of the same
-length, and only each meeting's RERANK best by the codes are scored exactly, in double precision; a query's
-results of all meetings are merged by rank. Work is the product of both, memory that of two blocks.
+length. A block holds equal vectors once, with all their ids. A meeting scores its RERANK best vectors by the
+codes exactly, in double precision, and then every other one whose product by the codes, with the most that
+its residual can add, reaches the k-th row so far; so nothing of the result is lost to the codes or to ties. A
+query's results of all meetings are merged by rank. Work is the product of both, memory that of two blocks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without
 an id, take no part as query or candidate; a candidate with the query's own id isn't one; repeated ids are
@@ -90,6 +92,12 @@ class Quantiser:
             along[m] = ((v - self.books[m][codes[row, m]]) * u).sum(1)
             total = rest + along[m]
 
+    def error(self, vectors: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """For each vector, by how much of a query's length scan() can be too low at most, with its rounding."""
+        near = self.books[np.arange(self.parts), codes]
+        left = np.sqrt(((self._cut(vectors) - near) ** 2).sum((1, 2)))
+        return left + (self.parts + 4) * 1.2e-7 * np.sqrt((near**2).sum((1, 2)))
+
     def packed(self, codes: np.ndarray) -> np.ndarray:
         """Two four-bit codes a byte, one row per pair of subspaces."""
         return np.ascontiguousarray((codes[:, 0::2] | codes[:, 1::2] << 4).T)
@@ -116,7 +124,8 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict[int, Quantiser]:
 
 
 def _blocks(rows: DataFrame, size: int, quantisers, name: str) -> DataFrame:
-    """(dim, block, ids, vectors, codes): rows packed by a hash of their id, with codes where quantisers are given."""
+    """(dim, block, ids, counts, vectors, codes, errors): rows packed by a hash of their id. Where quantisers are
+    given, equal vectors are one, with counts of their ids, which follow one another in order, and have codes."""
     n = max(1, -(-rows.count() // size))
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +137,54 @@ def _blocks(rows: DataFrame, size: int, quantisers, name: str) -> DataFrame:
         ids, vectors = np.concatenate(ids), np.concatenate(vectors)
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
-        own = quantisers.value.get(dim) if quantisers else None
-        codes = own.packed(own.encode(vectors)).tobytes() if own else b""
-        yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "block": pa.array([block], pa.int64()), "ids": [ids.astype("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()], "codes": [codes]})
+        counts, codes, errors, own = np.ones(len(ids), np.int64), b"", b"", None
+        if quantisers:
+            vectors, which, counts = np.unique(vectors, axis=0, return_inverse=True, return_counts=True)
+            ids = ids[np.argsort(which.reshape(-1), kind="stable")]
+            own = quantisers.value.get(dim)
+        if own:
+            found = own.encode(vectors)
+            codes, errors = own.packed(found).tobytes(), own.error(vectors, found).astype("<f8").tobytes()
+        yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "block": pa.array([block], pa.int64()), "ids": [ids.astype("<i8").tobytes()], "counts": [counts.astype("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()], "codes": [codes], "errors": [errors]})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("long"))
-    return written(dealt.groupBy("dim", "block").applyInArrow(run, "dim int, block long, ids binary, vectors binary, codes binary"), name)
+    return written(dealt.groupBy("dim", "block").applyInArrow(run, "dim int, block long, ids binary, counts binary, vectors binary, codes binary, errors binary"), name)
+
+
+def best_of(query: np.ndarray, query_id: int, k: int, rerank: int, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, quantiser: Quantiser | None, codes: np.ndarray | None, errors: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and products of a block's k best rows for a query, by product and then id."""
+    begins = np.cumsum(counts) - counts
+    same = np.flatnonzero(ids == query_id)
+    free = counts - np.bincount(np.searchsorted(begins, same, "right") - 1, minlength=len(counts)) if len(same) else counts
+    # row by row, so that equal vectors have equal products in all blocks
+    exact = lambda at: (vectors[at] * query).sum(1)
+
+    def bar(at: np.ndarray, products: np.ndarray) -> float:
+        """The product of the k-th row."""
+        order = np.argsort(-products)
+        rows = np.cumsum(free[at[order]])
+        return products[order[np.searchsorted(rows, k)]] if len(rows) and rows[-1] >= k else -np.inf
+
+    most = rerank + len(same)
+    if quantiser and len(vectors) > most:
+        by_code = quantiser.scan(query, codes)
+        at = np.argpartition(by_code, -most)[-most:]
+        products = exact(at)
+        able = ~(by_code + np.sqrt(query @ query) * errors < bar(at, products))
+        able[at] = False
+        more = np.flatnonzero(able)
+        at, products = np.append(at, more), np.append(products, exact(more))
+    else:
+        at = np.arange(len(vectors))
+        products = exact(at)
+    good = products >= bar(at, products)
+    at, products = at[good], products[good]
+    n = np.minimum(counts[at], k + len(same))  # ids are in order, so further copies can't be among the k
+    place = np.repeat(begins[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    found, products = ids[place], np.repeat(products, n)
+    found, products = found[found != query_id], products[found != query_id]
+    best = np.lexsort((found, -products))[:k]
+    return found[best], products[best]
 
 
 def search(rows: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
@@ -141,11 +192,11 @@ def search(rows: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id",
     own = usable(rows, id_col, vec_col)
     quantisers = own.sparkSession.sparkContext.broadcast(fit(own))
     data = _blocks(own, BLOCK, quantisers, "index")
-    asked = _blocks(own.filter(is_query), QUERY_BLOCK, None, "queries").drop("codes")
+    asked = _blocks(own.filter(is_query), QUERY_BLOCK, None, "queries").drop("counts", "codes", "errors")
     n = asked.count()
-    meet = data.select("dim", *(F.col(c).alias(f"d_{c}") for c in ("ids", "vectors", "codes")), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("q"))
+    meet = data.select("dim", *(F.col(c).alias(f"d_{c}") for c in ("ids", "counts", "vectors", "codes", "errors")), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("q"))
     numbered = asked.withColumn("q", F.row_number().over(Window.orderBy("dim", "block")) - 1)  # one row per QUERY_BLOCK queries
-    both = meet.join(numbered, ["q", "dim"]).select("dim", "d_ids", "d_vectors", "d_codes", "ids", "vectors").repartition(max(1, n * data.count()))
+    both = meet.join(numbered, ["q", "dim"]).select("dim", "d_ids", "d_counts", "d_vectors", "d_codes", "d_errors", "ids", "vectors").repartition(max(1, n * data.count()))
 
     def run(batches):
         for b in batches:
@@ -153,18 +204,12 @@ def search(rows: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id",
                 dim, own = r["dim"], quantisers.value.get(r["dim"])
                 ids, vectors = np.frombuffer(r["d_ids"], "<i8"), np.frombuffer(r["d_vectors"], "<f8").reshape(-1, dim)
                 q_ids, queries = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"], "<f8").reshape(-1, dim)
-                codes = np.frombuffer(r["d_codes"], np.uint8).reshape(-1, len(ids)) if own else None
+                counts, errors = np.frombuffer(r["d_counts"], "<i8"), np.frombuffer(r["d_errors"], "<f8")
+                codes = np.frombuffer(r["d_codes"], np.uint8).reshape(-1, len(vectors)) if own else None
                 out = []
                 for i, q in zip(q_ids, queries):
-                    most = rerank + int((ids == i).sum())
-                    if own and len(ids) > most:
-                        at = np.argpartition(own.scan(q, codes), -most)[-most:]
-                    else:
-                        at = np.arange(len(ids))
-                    at = at[ids[at] != i]
-                    exact = vectors[at] @ q
-                    best = np.lexsort((ids[at], -exact))[:k]
-                    out.append((np.full(len(best), i), ids[at[best]], exact[best]))
+                    best, exact = best_of(q, i, k, rerank, ids, counts, vectors, own, codes, errors)
+                    out.append((np.full(len(best), i), best, exact))
                 q, v, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 

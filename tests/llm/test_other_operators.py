@@ -64,6 +64,22 @@ def test_nearest_finds_the_largest_products(spark):
     assert nearest.search(table.limit(0), "id % 20 = 0").count() == 0
 
 
+def test_nearest_keeps_ties_and_neighbours_beside_copies(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(0, 1, (1500, 16))
+    x[r.permutation(1500)[:500]] = x[7]  # copies
+    near = r.permutation(1500)[:400]
+    x[near] = x[9] + r.normal(0, 1e-6, (400, 16))  # all of one code
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for g in nearest.search(table, "id % 50 = 0 or id in (7, 9)", rerank=30).collect():
+        got.setdefault(g.query_id, []).append((g.rank, g.vec_id))
+    for q in (*range(0, 1500, 50), 7, 9):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        assert [v for _, v in sorted(got[q])] == np.lexsort((np.arange(1500), -s))[:20].tolist(), q
+
+
 def test_shards_compact_without_loss(spark, tmp_path, docs):
     table = docs([None, "", "a", "a", *[f"text {i} " * 50 for i in range(400)]], [None, 1, 1, 2, *range(10, 410)])
     at, rows = shards.sharded(table, str(tmp_path / "t"), arrivals=6, target_bytes=1 << 20)
