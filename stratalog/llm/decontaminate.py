@@ -2,7 +2,8 @@
 
 Each slice of documents becomes a shard with its own suffix array: the start positions of its word
 suffixes in lexicographic order. Every suffix of every benchmark item is searched for in it by
-bisection; the hits give the places and, along runs of hits, the longest verbatim matches.
+bisection; the hits give the places and, along runs of hits in an item, the longest verbatim matches (ties:
+the first item of the block, place in it, and place in the document). All items that hold a window count.
 
 A suffix can only match where a run of words that the benchmark knows is as long as the shortest
 window, so the array holds those positions alone and is cut at `window` words, which is what decides
@@ -59,6 +60,8 @@ class Suffixes:
         self.where = np.append(np.flatnonzero(new), len(at))
         self.item = words.doc[at]
         self.word = at - words.first[:-1][self.item] if len(at) else at
+        #: follows on only within an item
+        self.place = at + self.item
         top = np.zeros((len(self.key), window), ">u4")
         top[:] = 0xFFFFFFFF
         low = self.key.view(">u4").reshape(-1, window) if len(self.key) else top
@@ -148,17 +151,35 @@ def _report(pos: np.ndarray, which: np.ndarray, index: Suffixes) -> dict:
     seen = np.unique(which)
     rows = np.concatenate([index.item[index.where[w] : index.where[w + 1]] for w in seen])
     items = np.unique(index.names[rows[index.named[rows]]])
-    first = index.where[which]
-    item, word = index.item[first], index.word[first]
-    order = np.lexsort((pos, pos - word, item))
-    p, q, i, n = pos[order], word[order], item[order], index.length[which][order]
-    begins = np.append(True, (i[1:] != i[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (p[1:] != p[:-1] + 1))
-    group = np.cumsum(begins) - 1
-    last = np.append(np.flatnonzero(begins)[1:] - 1, len(p) - 1)
-    lengths = p[last] + n[last] - p[begins]
-    k = int(np.argmax(lengths))
-    s = int(np.flatnonzero(group == k)[0])
-    return {"spans": spans.tolist(), "items": items.tolist(), "match_words": int(lengths[k]), "match_item": int(index.names[i[s]]) if index.named[i[s]] else None, "match_item_word": int(q[s]), "match_word": int(p[s])}
+    words, row, word, start = _longest(pos, which, index)
+    return {"spans": spans.tolist(), "items": items.tolist(), "match_words": words, "match_item": int(index.names[index.item[row]]) if index.named[index.item[row]] else None, "match_item_word": word, "match_word": start}
+
+
+def _longest(pos: np.ndarray, which: np.ndarray, index: Suffixes) -> tuple[int, int, int, int]:
+    """The longest run of hits over all occurrences of their windows: its words, the row of its last window, and
+    its first word in item and document."""
+    best, found = None, None
+    before, held, starts = -2, None, None
+    cuts = np.append(np.flatnonzero(np.append(True, pos[1:] != pos[:-1])), len(pos))
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        p = int(pos[x])
+        rows = np.concatenate([np.arange(index.where[w], index.where[w + 1]) for w in which[x:y]])
+        n = np.repeat(index.length[which[x:y]], index.where[which[x:y] + 1] - index.where[which[x:y]])
+        if y - x > 1:
+            order = np.argsort(index.place[rows])
+            rows, n = rows[order], n[order]
+        place, start = index.place[rows], np.full(len(rows), p)
+        if p == before + 1:
+            at = np.minimum(np.searchsorted(held, place - 1), len(held) - 1)
+            start = np.where(held[at] == place - 1, starts[at], p)
+        k = int((n - start).argmax())
+        row, first = int(rows[k]), int(start[k])
+        words, word = p + int(n[k]) - first, int(index.word[rows[k]]) - (p - first)
+        rank = (-words, int(index.item[row]), word, first)
+        if best is None or rank < best:
+            best, found = rank, (words, row, word, first)
+        before, held, starts = p, place, start
+    return found
 
 
 def _merge(old: dict | None, new: dict | None) -> dict | None:

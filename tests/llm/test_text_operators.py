@@ -105,6 +105,33 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert decontaminate.matches(docs(["a b c d"]), table.limit(0)).first().spans == []
 
 
+def test_longest_match_where_items_share_passages(spark, docs):
+    import random
+
+    w = "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11".split()
+    table = spark.createDataFrame([(1, " ".join(w[:10])), (2, " ".join(w))], "item_id long, text string")
+    got = decontaminate.matches(docs([" ".join(w)]), table).first()
+    assert (got.match_words, got.match_item, got.match_item_word, got.match_word) == (11, 2, 0, 0)
+
+    r = random.Random(3)
+    some = lambda n: [r.choice("abc") for _ in range(n)]
+    items, texts = [some(r.randint(1, 12)) for _ in range(30)], [some(r.randint(0, 40)) for _ in range(60)]
+    table = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(items)], "item_id long, text string")
+    for size in (1 << 30, 100):
+        for x in decontaminate.matches(docs([" ".join(t) for t in texts]), table, window=3, block_bytes=size).collect():
+            t, most = texts[x.doc_id], 0
+            for b in items:
+                for p in range(len(t)):
+                    for q in range(len(b)):
+                        n = 0
+                        while p + n < len(t) and q + n < len(b) and t[p + n] == b[q + n]:
+                            n += 1
+                        most = max(most, n if n >= min(3, len(b)) else 0)
+            assert x.match_words == most
+            if most:
+                assert items[x.match_item][x.match_item_word :][:most] == t[x.match_word :][:most] and len(t[x.match_word :]) >= most
+
+
 # tokens
 
 
