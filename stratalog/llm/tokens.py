@@ -4,7 +4,8 @@ A byte-level BPE whose pre-tokens are ` ?letters`, ` ?digits`, ` ?others` or whi
 new token at a single space between two non-space characters, so a text can be cut there and each stretch
 (with the space before it) encoded by itself. Within a stretch it also starts one where a run of letters ends
 and on both sides of a lone line break, so an unknown stretch is put together from parts that mostly are known.
-Stretches and parts that recur are encoded once per worker.
+Stretches and parts that recur are encoded once per worker. A text that holds the string of an added token, such
+as the end of a text, is encoded as a whole, so that the string becomes that token as the tokenizer has it.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.offsets = offsets
         self.parts: dict[str, bytes] = {}
         self.merges = self.tokenizer.model.tokenize
@@ -96,6 +97,8 @@ class Encoder(dict):
 
     def values(self, text: str) -> np.ndarray:
         """Ids, or with `offsets` the place of each token's first character."""
+        if any(a in text for a in self.added):
+            return np.frombuffer(self.direct(text), np.uint32)
         if len(self) > CACHED or len(self.parts) > CACHED:
             self.clear(), self.parts.clear()
         parts = text.split(" ")

@@ -144,6 +144,18 @@ def test_values_equal_the_tokenizer():
         assert list(starts.values(t)) == [a for a, _ in e.offsets], t
 
 
+def test_values_equal_an_untouched_tokenizer():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(TOKENIZER)
+    added = [t.content for t in own.get_added_tokens_decoder().values()]
+    assert added
+    ids, starts = tokens.Encoder(TOKENIZER), tokens.Encoder(TOKENIZER, offsets=True)
+    for t in [x for a in added for x in (a, f"one {a} two", f"a{a}b {a}{a}\n c  d", a[:-1])] + ["one two\n\nthree, it's", "", "x  y é"]:
+        e = own.encode(t, add_special_tokens=False)
+        assert ids.values(t).tolist() == e.ids and starts.values(t).tolist() == [a for a, _ in e.offsets], t
+
+
 def test_packing_is_whole_and_tight(spark, docs):
     import random
 
