@@ -2,11 +2,12 @@
 
 Documents are encoded whole, closed by an end id and cut into pieces only if longer than a bin (the first
 piece takes the remainder, the others fill a bin each). Pieces are dealt by a hash of their id to groups of
-about GROUP, packed in parallel; a group loses one bin at most against packing everything at once.
+about GROUP, packed in parallel; each group's last bin may stay partly empty.
 
 Within a group the search takes the least filled bin and moves its pieces into other underfull bins,
-exchanges one for a shorter one, or for two shorter ones. Each step raises the sum of squared fills, so it
-ends; it stops early when there are no more bins than the pieces' total needs.
+exchanges one for a shorter one, or for two shorter ones. Bins without a step are tried again after later
+steps, until none has one. Each step raises the sum of squared fills, so it ends; it stops early when there
+are no more bins than the pieces' total needs.
 
 Defined cases: null and empty texts are the end id alone; rows with equal ids are packed as separate
 documents; a null id is kept as null.
@@ -95,7 +96,7 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> li
         fill[b] += size[i]
         own.pop(a, None), own.pop(b, None)
 
-    view = None
+    view, moved = None, False
     while count > least:
         if view is None:
             under = np.flatnonzero((fill < capacity) & (fill > 0))
@@ -106,6 +107,9 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> li
             s_one, s_two = slack[in_one], slack[in_two]
             view = True
         tries = np.flatnonzero(~stuck[under])
+        if not len(tries) and moved:  # steps since may help those that had none
+            stuck[:], moved = False, False
+            tries = np.arange(len(under))
         if not len(tries) or len(under) < 2:
             break
         k = int(tries[np.argmax(slack[tries])])
@@ -133,7 +137,7 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> li
         else:
             stuck[a] = True
             continue
-        view = None
+        view, moved = None, True
         count -= not bins[a]
     return [b for b in bins if b]
 

@@ -194,6 +194,18 @@ def test_local_search_only_improves():
     assert len(best) < len(first)
 
 
+def test_local_search_ends_where_no_step_is_left():
+    import random
+
+    for seed in range(10):
+        r = random.Random(seed)
+        lengths = [r.randint(260, 500) for _ in range(300)]
+        best = packing.local_search(lengths, packing.best_fit(lengths, 1024), 1024)
+        again = packing.local_search(lengths, best, 1024)
+        fills = [sorted(sum(lengths[i] for i in b) for b in x) for x in (best, again)]
+        assert fills[0] == fills[1], seed
+
+
 def test_token_counts_by_section(spark, docs):
     texts = [*ODD, "one two\nthree\n\nfour", "\n"]
     e = tokens.Encoder(TOKENIZER)
