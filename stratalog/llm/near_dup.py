@@ -6,14 +6,16 @@ keeps the smallest value of the round; in as many further rounds every member fa
 so that every coordinate fills, of whatever size the set. Agreement of coordinates estimates the Jaccard
 similarity with concentration bounds.
 
-1. Equal sets form a class (one hash aggregation); only each class's smallest id goes on.
+1. Equal sets, by a digest of all their members, form a class (one aggregation); only each class's smallest id goes
+   on. An id may stand for several sets, so a set is known by its id and its digest.
 2. Bands of coordinates are hashed to buckets. Each id is compared with the smallest id of its buckets.
 3. Buckets that still hold several components are searched inside. Sketches are compared in memory; only
    pairs across components that agree on enough coordinates (seven standard deviations below the threshold's
    mean) go on. From buckets of up to SMALL members they are emitted and verified by a join. Larger buckets
    carry the full sets along and verify in place, so only links leave them; a pair is looked at in the first
    bucket that it shares, and not at all once a link has joined its components there. Large buckets are dealt
-   out in pairs of blocks, so none lands whole in a task. No cap skips a pair.
+   out in pairs of blocks, so none lands whole in a task, and rows that one component has already joined don't
+   meet again. No cap skips a pair.
 Every link is verified on the full sets: 100 * |A and B| >= percent * |A or B|.
 
 Defined cases: null and empty texts and those without words have the empty set and link with nothing;
@@ -23,14 +25,16 @@ the links of each row; a row whose id is null links with nothing, has no compone
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.batches import SPACED, Words, distinct_sets, mix, segment_sum, slices, utf8
+from stratalog.llm.batches import SPACED, Words, distinct_sets, mix, slices, utf8
 from stratalog.llm.components import components
-from stratalog.llm.shared import discard, written
+from stratalog.llm.shared import discard, salted_join, written
 
 BINS, ROWS = 128, 4
 SHINGLE, PERCENT = 5, 80
@@ -38,6 +42,7 @@ SHINGLE, PERCENT = 5, 80
 BROADCAST_IDS = 1_000_000
 SMALL, BLOCK = 64, 512
 _EMPTY = np.uint32(0xFFFFFFFF)
+PAIR = "a long, ha long, b long, hb long"
 
 
 def sketch(values: np.ndarray, offsets: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -74,27 +79,34 @@ def sets_of(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndar
     return distinct_sets(*words.shingles(shingle), words.n_docs)
 
 
+def digests_of(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two numbers for each set, a cryptographic digest of all its sorted members."""
+    data = values.tobytes()
+    own = b"".join(hashlib.blake2b(data[8 * p : 8 * q], digest_size=16).digest() for p, q in zip(at, at[1:]))
+    return np.frombuffer(own, "<i8").reshape(-1, 2)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Per row: id, n (set size), h1 and h2 (hash of the set), mini (a byte per coordinate), bands (bucket keys)."""
+    """Per row: id, n (set size), h and h2 (digest of the whole set), mini (a byte per coordinate), bands (bucket keys)."""
 
     def run(batches):
         for b in batches:
             raw, offsets = utf8(b.column(1))
             for x, y in slices(offsets):
                 values, at = sets_of(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], shingle)
-                coords = sketch(values, at)
+                coords, digests = sketch(values, at), digests_of(values, at)
                 wide = coords.astype(np.uint64).reshape(y - x, BINS // ROWS, ROWS)
                 key = np.broadcast_to(np.arange(BINS // ROWS, dtype=np.uint64), wide.shape[:2])
                 for j in range(ROWS):
                     key = mix(key * np.uint64(7) + wide[:, :, j] + np.uint64(1))
                 yield pa.RecordBatch.from_pydict({
                     "id": b.column(0).slice(x, y - x).cast(pa.int64()), "n": pa.array(np.diff(at), pa.int64()),
-                    "h1": pa.array(segment_sum(mix(values), at).view(np.int64)), "h2": pa.array(segment_sum(mix(values ^ np.uint64(0xA5A5A5A5)), at).view(np.int64)),
+                    "h": pa.array(digests[:, 0]), "h2": pa.array(digests[:, 1]),
                     "mini": pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS), y - x, [None, pa.py_buffer((coords & np.uint32(255)).astype(np.uint8).tobytes())]).cast(pa.binary()),
                     "bands": pa.ListArray.from_arrays(pa.array(np.arange(y - x + 1) * (BINS // ROWS), pa.int32()), pa.array(key.reshape(-1).view(np.int64))),
                 })
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, h1 long, h2 long, mini binary, bands array<bigint>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, h long, h2 long, mini binary, bands array<bigint>")
 
 
 def least_agreement(percent: int) -> int:
@@ -107,39 +119,46 @@ def _looked_up(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
+def _ends(pairs: DataFrame, of: DataFrame, names: dict[str, str]) -> DataFrame:
+    """pairs(a, ha, b, hb), written, with columns of both ends, each known by id and h. One end may be in any share of
+    the pairs, so both joins are salted."""
+    key = lambda i, h: F.struct(F.col(i).alias("i"), F.col(h).alias("h"))
+    for end in "ab":
+        own = of.select(key("id", "h").alias("_key"), *(F.col(c).alias(f"{new}{end}") for c, new in names.items()))
+        pairs = salted_join(pairs.withColumn("_key", key(end, f"h{end}")), own, "_key", F.xxhash64("a", "ha", "b", "hb")).drop("_key")
+    return pairs
+
+
 def _likely(pairs: DataFrame, minis: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and sketches allow a link."""
-    both = pairs.join(minis.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("mini").alias("ma")), "a").join(minis.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("mini").alias("mb")), "b")
-    both = both.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "ma", "mb")
+    both = _ends(pairs, minis, {"n": "n", "mini": "m"})
+    both = both.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "ha", "b", "hb", "ma", "mb")
 
     def run(batches, least=least_agreement(percent)):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
+            yield b.select(["a", "ha", "b", "hb"]).filter(pa.array((x == y).sum(1) >= least))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, PAIR)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (written table) that are links by their full sets."""
-    ids = pairs.selectExpr("explode(array(a, b)) id").distinct()
-    own = written(texts.join(_looked_up(ids), "id", "left_semi"), "texts")
-    both = pairs.join(own.selectExpr("id a", "text ta"), "a").join(own.selectExpr("id b", "text tb"), "b")
+    ends = pairs.selectExpr("explode(array(struct(a id, ha h), struct(b id, hb h))) e").select("e.*").distinct()
+    own = texts.join(_looked_up(ends.select("id").distinct()), "id", "left_semi")
+    own = written(_sets(own, shingle).join(_looked_up(ends), ["id", "h"], "left_semi").dropDuplicates(["id", "h"]), "sets")
+    both = _ends(pairs, own, {"members": "s"}).select("a", "b", "sa", "sb")
 
     def run(batches):
         for b in batches:
-            (ra, oa), (rb, ob) = utf8(b.column("ta")), utf8(b.column("tb"))
             keep = np.zeros(b.num_rows, bool)
-            for x, y in slices(oa + ob):
-                va, sa = sets_of(ra[oa[x] : oa[y]], oa[x : y + 1] - oa[x], shingle)
-                vb, sb = sets_of(rb[ob[x] : ob[y]], ob[x : y + 1] - ob[x], shingle)
-                for i in range(y - x):
-                    u, v = va[sa[i] : sa[i + 1]], vb[sb[i] : sb[i + 1]]
-                    same = len(np.intersect1d(u, v, assume_unique=True))
-                    keep[x + i] = len(u) > 0 and 100 * same >= percent * (len(u) + len(v) - same)
+            for i, (x, y) in enumerate(zip(b.column("sa"), b.column("sb"))):
+                u, v = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
+                same = len(np.intersect1d(u, v, assume_unique=True))
+                keep[i] = len(u) > 0 and 100 * same >= percent * (len(u) + len(v) - same)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def _parts(batches, names: list[str]):
@@ -173,11 +192,11 @@ def _bytes(column: np.ndarray) -> np.ndarray:
 
 
 def _pairs_inside(members: DataFrame, percent: int) -> DataFrame:
-    """members(key, part, id, n, root, mini) of small buckets: pairs across roots that may link."""
+    """members(key, id, h, n, root, mini) of small buckets: pairs across roots that may link."""
 
     def run(batches, least=least_agreement(percent)):
-        for now in _parts(batches, ["key", "part", "id", "n", "root", "mini"]):
-            key, ids, n, root, mini = (now[c] for c in ("key", "id", "n", "root", "mini"))
+        for now in _parts(batches, ["key", "part", "id", "h", "n", "root", "mini"]):
+            key, ids, h, n, root, mini = (now[c] for c in ("key", "id", "h", "n", "root", "mini"))
             mini = _bytes(mini)
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(begin, len(key)))
@@ -188,14 +207,15 @@ def _pairs_inside(members: DataFrame, percent: int) -> DataFrame:
                 ok = (root[at] != root[to]) & (100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to]))
                 x, y = at[ok], to[ok]
                 ok = (mini[x] == mini[y]).sum(1) >= least
-                out.append((ids[x[ok]], ids[y[ok]]))
+                out.append((x[ok], y[ok]))
                 step += 1
                 at = at[left[at] >= step]
             x, y = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(x, y), pa.int64()), "b": pa.array(np.minimum(x, y), pa.int64())})
+            x, y = np.where(ids[x] >= ids[y], x, y), np.where(ids[x] >= ids[y], y, x)
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in (("a", ids[x]), ("ha", h[x]), ("b", ids[y]), ("hb", h[y]))})
 
-    own = members.repartition("key").sortWithinPartitions("key").select("key", F.lit(0).cast("long").alias("part"), "id", "n", "root", "mini")
-    return own.mapInArrow(run, "a long, b long").distinct()
+    own = members.repartition("key").sortWithinPartitions("key").select("key", F.lit(0).cast("long").alias("part"), "id", "h", "n", "root", "mini")
+    return own.mapInArrow(run, PAIR).distinct()
 
 
 def _links_inside(parts: DataFrame, percent: int) -> DataFrame:
@@ -241,47 +261,64 @@ def _search_part(rows: dict, percent: int, least: int):
 
 
 def _dealt(members: DataFrame) -> DataFrame:
-    """members(key, count, ...) of buckets in parts: those of more than BLOCK members become pairs of blocks."""
-    blocks = members.withColumn("s", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
-    parts = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    """members(key, count, id, h, root) of open buckets in parts, so that any two members of different roots meet in one.
+
+    The root with most rows of a bucket is its body; two rows of the body needn't meet. What is not body is cut into
+    blocks of about BLOCK rows, and so is the body: a part is one block, or two of which one at least isn't body. So
+    where nearly all rows are linked already, each is sent once for each block of the few others."""
+    roots = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
+    body = roots.groupBy("key").agg(F.max("rows").alias("in_body"), F.max_by("root", "rows").alias("body"), F.sum("rows").alias("all"))
+    blocks = F.ceil((F.col("all") - F.col("in_body")) / BLOCK).cast("int")
+    body = written(body.select("key", "body", blocks.alias("rest"), F.ceil(F.col("in_body") / BLOCK).cast("int").alias("own")), "bodies")
+    known = members.join(_looked_up(body), "key").withColumn("in_body", F.col("root") == F.col("body"))
+    block = F.when(F.col("in_body"), F.col("rest") + F.pmod(F.xxhash64("id", "h"), "own")).otherwise(F.pmod(F.xxhash64("id", "h"), "rest")).cast("int")
+    known = known.withColumn("block", block)
+    last = F.when(F.col("in_body"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("own") - 1)
+    parts = known.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    return parts.withColumn("part", low.cast("long") * F.lit(1 << 32) + high).withColumn("side", F.when(F.col("block") == low, 0).otherwise(1))
+    return parts.withColumn("part", low.cast("long") * F.lit(1 << 32) + high).withColumn("side", F.when(F.col("block") == low, 0).otherwise(1)).drop("body", "rest", "own", "in_body", "block", "other")
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signatures of all rows, classes(h1, h2, n, rep), roots(node, root) of the classes' representatives)."""
+    """(signatures of all rows, classes(h, h2, n, rep), roots(node, root) of the classes' representatives)."""
     spark = docs.sparkSession
     sig = written(signatures(docs, id_col, text_col, shingle), "signatures")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    classes = written(sig.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = sig.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").filter("n > 0").dropDuplicates(["id", "h1", "h2"])
-    minis = written(reps.select("id", "n", "mini", "bands"), "sketches")
-    members = minis.select("id", F.explode("bands").alias("key"))
-    sizes = members.groupBy("key").agg(F.count("id").alias("count"), F.min("id").alias("pivot")).filter("count > 1")
+    live = sig.filter("n > 0 and id is not null")
+    classes = written(live.groupBy("h", "h2", "n").agg(F.min("id").alias("rep")), "classes")
+    # rows of one id that hold several sets: the id links the representatives of these
+    several = live.groupBy("id").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("id")
+    own = live.select("id", "h", "h2", "n").distinct().join(_looked_up(written(several, "several")), "id", "left_semi")
+    own = own.join(classes, ["h", "h2", "n"]).selectExpr("id a", "rep b").filter("a <> b")
+    # from here on a set is known by its smallest id and h
+    reps = live.join(classes.withColumnRenamed("rep", "id"), ["id", "h", "h2", "n"], "left_semi").dropDuplicates(["id", "h"])
+    minis = written(reps.select("id", "h", "n", "mini", "bands"), "sketches")
+    members = minis.select("id", "h", F.explode("bands").alias("key"))
+    sizes = members.groupBy("key").agg(F.count("id").alias("count"), F.min("id").alias("pivot"), F.min_by("h", "id").alias("ph")).filter("count > 1")
     shared = written(members.join(sizes, "key"), "buckets")
 
-    # the rows of one id may hold several sets: those link through the id itself
-    star = shared.groupBy("id").agg(F.min("pivot").alias("b")).filter("id <> b").selectExpr("id a", "b")
-    tried = written(_likely(star, minis.select("id", "n", "mini"), percent), "likely")
-    found = written(_verified(tried, texts, shingle, percent), "links")
+    star = shared.groupBy("id", "h").agg(F.min("pivot").alias("b"), F.min_by("ph", "pivot").alias("hb")).filter("id <> b").selectExpr("id a", "h ha", "b", "hb")
+    star = written(star, "star")
+    tried = written(_likely(star, minis, percent), "likely")
+    found = written(_verified(tried, texts, shingle, percent).unionByName(own), "links")
     roots = components(found)
-    now = written(shared.drop("pivot").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    now = written(shared.drop("pivot", "ph").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     open_ = now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
     inside = written(now.join(open_, "key", "left_semi"), "open")
-    pairs = _pairs_inside(inside.filter(f"count <= {SMALL}").join(minis.select("id", "n", "mini"), "id"), percent)
-    pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "likely")
+    pairs = _pairs_inside(inside.filter(f"count <= {SMALL}").join(minis.select("id", "h", "n", "mini"), ["id", "h"]), percent)
+    pairs = written(pairs.join(tried, ["a", "ha", "b", "hb"], "left_anti"), "likely")
     small = _verified(pairs, texts, shingle, percent)
     large = inside.filter(f"count > {SMALL}")
-    sets = _sets(texts.join(_looked_up(large.select("id").distinct()), "id", "left_semi"), shingle)
-    large = _links_inside(_dealt(large).join(minis, "id").join(sets, ["id", "n"]), percent)
+    sets = _sets(texts.join(_looked_up(large.select("id").distinct()), "id", "left_semi"), shingle).dropDuplicates(["id", "h"])
+    large = _links_inside(_dealt(large).join(minis, ["id", "h"]).join(sets.select("id", "h", "members"), ["id", "h"]), percent)
     more = written(small.unionByName(large).unionByName(roots.selectExpr("node a", "root b")), "links")
     final = components(more)
-    discard(spark, shared, tried, found, roots, now, inside, pairs, more)
+    discard(spark, shared, star, tried, found, roots, now, inside, pairs, more, minis)
     return sig, classes, final
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, n, members): the sorted hashes of each text's shingles."""
+    """(id, h, members): the sorted hashes of each text's shingles, and the first number of their digest."""
 
     def run(batches):
         for b in batches:
@@ -289,15 +326,15 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
             for x, y in slices(offsets):
                 values, at = sets_of(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], shingle)
                 data = values.tobytes()
-                yield pa.RecordBatch.from_pydict({"id": b.column("id").slice(x, y - x), "n": pa.array(np.diff(at), pa.int64()), "members": pa.array([data[8 * p : 8 * q] for p, q in zip(at, at[1:])], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": b.column("id").slice(x, y - x), "h": pa.array(digests_of(values, at)[:, 0]), "members": pa.array([data[8 * p : 8 * q] for p, q in zip(at, at[1:])], pa.binary())})
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, members binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, h long, members binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links), kept (it is its own)."""
     sig, classes, roots = links(docs, id_col, text_col, shingle, percent)
-    own = sig.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
+    own = sig.select("id", "n", "h", "h2").join(classes, ["h", "h2", "n"], "left")
     to = own.select("id", "n", F.coalesce("rep", "id").alias("rep")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep"))
     return to.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Rows and bytes of an Arrow batch, on both sides of the pipe to Python, unless the session sets its own.
@@ -19,9 +20,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one under the warehouse."""
+    """The folder of spark.checkpoint.dir; where that is unset and all runs in one JVM, one under the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -47,6 +50,22 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: keys that may be told apart as hot at once, 16 to 40 bytes each in a broadcast
+HOT_KEYS = 100_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "inner", least: int = 128) -> DataFrame:
+    """left (a written table, as it is read three times) joined with right on `key`, where a key may have any share of
+    left's rows: one of more than `least` rows is dealt to several tasks by `spread`, with right's rows repeated for each.
+    Those keys are broadcast; there are HOT_KEYS of them at most, since `least` grows with left."""
+    least = max(least, -(-left.count() // HOT_KEYS))
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(key, F.ceil(F.col("_n") / least).cast("long").alias("_k"))
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_k")), F.lit(0))
+    own = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_k")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_k", F.lit(1)) - 1))
+    return own.join(right.join(F.broadcast(hot), key, "left").withColumn("_salt", copies).drop("_k"), [key, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -360,3 +360,41 @@ def test_every_ngram_has_its_own_count(spark, docs):
     assert model.table.count() == len(counts)  # follows the input
     again = {x.doc_id: x for x in lm_score.score(docs(texts), model, slice_bytes=5000).collect()}
     assert all(again[i].score == pytest.approx(got[i].score, rel=1e-12) for i in got)
+
+
+def test_near_duplicates_of_repeated_ids(spark, docs, monkeypatch):
+    """An id under several texts has the links of each, also where sets of one id are of one size and buckets large."""
+    import random
+
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(5))
+    base, other, texts, ids = [word() for _ in range(80)], [word() for _ in range(80)], [], []
+
+    def variant(w, n):
+        w = list(w)
+        for _ in range(n):
+            w[r.randrange(len(w))] = word()
+        return " ".join(w)
+
+    for k in range(120):
+        texts.append(variant(base, r.randint(0, 6))), ids.append(k)
+        if k < 30:
+            texts.append(variant(base, r.randint(0, 6)) if k % 3 else variant(other, r.randint(0, 9))), ids.append(k)
+    texts += [variant(other, r.randint(0, 9)) for _ in range(40)]
+    ids += range(200, 240)
+    rows = brute_components(texts, 5, 80)
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (_, _, root, _) in enumerate(rows):
+        x, y = find(ids[k]), find(ids[root])
+        parent[max(x, y)] = min(x, y)
+    want = sorted((i, n, find(i), find(i) == i) for i, (_, n, _, _) in zip(ids, rows))
+    got = near_dup.near_duplicates(docs(texts, ids)).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got) == want
