@@ -142,12 +142,18 @@ def _likely(pairs: DataFrame, minis: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, PAIR)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _once(sets: DataFrame, again: DataFrame) -> DataFrame:
+    """sets(id, h, ...), one row for each id and h; only the ids in `again` may have more."""
+    again = _looked_up(again)
+    return sets.join(again, "id", "left_anti").unionByName(sets.join(again, "id", "left_semi").dropDuplicates(["id", "h"]))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, again: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (written table) that are links by their full sets."""
     ends = pairs.selectExpr("explode(array(struct(a id, ha h), struct(b id, hb h))) e").select("e.*").distinct()
     own = texts.join(_looked_up(ends.select("id").distinct()), "id", "left_semi")
-    own = written(_sets(own, shingle).join(_looked_up(ends), ["id", "h"], "left_semi").dropDuplicates(["id", "h"]), "sets")
-    both = _ends(pairs, own, {"members": "s"}).select("a", "b", "sa", "sb")
+    own = written(_sets(own, shingle).join(_looked_up(ends), ["id", "h"], "left_semi"), "sets")
+    both = _ends(pairs, _once(own, again), {"members": "s"}).select("a", "b", "sa", "sb")
 
     def run(batches):
         for b in batches:
@@ -287,12 +293,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     live = sig.filter("n > 0 and id is not null")
     classes = written(live.groupBy("h", "h2", "n").agg(F.min("id").alias("rep")), "classes")
     # rows of one id that hold several sets: the id links the representatives of these
-    several = live.groupBy("id").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("id")
-    own = live.select("id", "h", "h2", "n").distinct().join(_looked_up(written(several, "several")), "id", "left_semi")
+    again = written(live.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id"), "again")
+    own = live.select("id", "h", "h2", "n").join(_looked_up(again), "id", "left_semi").distinct()
     own = own.join(classes, ["h", "h2", "n"]).selectExpr("id a", "rep b").filter("a <> b")
     # from here on a set is known by its smallest id and h
-    reps = live.join(classes.withColumnRenamed("rep", "id"), ["id", "h", "h2", "n"], "left_semi").dropDuplicates(["id", "h"])
-    minis = written(reps.select("id", "h", "n", "mini", "bands"), "sketches")
+    reps = live.join(classes.withColumnRenamed("rep", "id"), ["id", "h", "h2", "n"], "left_semi")
+    minis = written(_once(reps.select("id", "h", "n", "mini", "bands"), again), "sketches")
     members = minis.select("id", "h", F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count("id").alias("count"), F.min("id").alias("pivot"), F.min_by("h", "id").alias("ph")).filter("count > 1")
     shared = written(members.join(sizes, "key"), "buckets")
@@ -300,20 +306,20 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     star = shared.groupBy("id", "h").agg(F.min("pivot").alias("b"), F.min_by("ph", "pivot").alias("hb")).filter("id <> b").selectExpr("id a", "h ha", "b", "hb")
     star = written(star, "star")
     tried = written(_likely(star, minis, percent), "likely")
-    found = written(_verified(tried, texts, shingle, percent).unionByName(own), "links")
+    found = written(_verified(tried, texts, again, shingle, percent).unionByName(own), "links")
     roots = components(found)
     now = written(shared.drop("pivot", "ph").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     open_ = now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
     inside = written(now.join(open_, "key", "left_semi"), "open")
     pairs = _pairs_inside(inside.filter(f"count <= {SMALL}").join(minis.select("id", "h", "n", "mini"), ["id", "h"]), percent)
     pairs = written(pairs.join(tried, ["a", "ha", "b", "hb"], "left_anti"), "likely")
-    small = _verified(pairs, texts, shingle, percent)
+    small = _verified(pairs, texts, again, shingle, percent)
     large = inside.filter(f"count > {SMALL}")
-    sets = _sets(texts.join(_looked_up(large.select("id").distinct()), "id", "left_semi"), shingle).dropDuplicates(["id", "h"])
-    large = _links_inside(_dealt(large).join(minis, ["id", "h"]).join(sets.select("id", "h", "members"), ["id", "h"]), percent)
+    sets = written(_sets(texts.join(_looked_up(large.select("id").distinct()), "id", "left_semi"), shingle), "sets")
+    large = _links_inside(_dealt(large).join(minis, ["id", "h"]).join(_once(sets, again), ["id", "h"]), percent)
     more = written(small.unionByName(large).unionByName(roots.selectExpr("node a", "root b")), "links")
     final = components(more)
-    discard(spark, shared, star, tried, found, roots, now, inside, pairs, more, minis)
+    discard(spark, shared, star, tried, found, roots, now, inside, pairs, more, minis, again, sets)
     return sig, classes, final
 
 
