@@ -1,17 +1,24 @@
-"""Cross-entropy difference: two n-gram models over one vocabulary score each document.
+"""Cross-entropy difference: two word n-gram models over one vocabulary score each document.
 
-The shared vocabulary is the 256 bytes of UTF-8, so the models are matched by construction and have no
-unknown words. Each model counts the n-grams of orders 1 to ORDERS over all its documents. A byte's
-probability at order n backs off to order n - 1 with a weight of KAPPA counts. A document's score is its loss
-under the target model less its loss under the background model, in bits a byte: the lower, the more it is
-like the target.
+Tokens are words (letters and digits, A-Z as a-z). The shared vocabulary is every word of the corpus, so the models have the
+same support; a word of neither falls to a uniform share. Each model counts the n-grams of orders 1 to `orders`: the
+background over all documents, the target over those whose ids are in a table. A score is a document's loss under the target
+model less its loss under the background model, in bits a token: the lower, the more it is like the target.
 
-Counts are exact: the model is a written table with a row for each n-gram that occurs, in the size of the
-corpus's distinct n-grams, and is nowhere held as a whole. For scoring, documents are dealt into slices of
-SLICE bytes; each slice asks for its own n-grams by a join with the table and is met again with the answers.
+The models are matched: background counts are weighed by the ratio of the models' tokens, so both hold equally much evidence
+and the difference shows what they saw, not how much. No document is scored by a model that was fitted on it: its own
+counts are taken off before its loss is computed, in both models. (`own=False` scores documents that are not of the corpus.)
 
-Defined cases: null and empty texts have no losses and no score (null) and 0 tokens; with no target
-document the target model knows nothing and all bytes are equally likely; equal ids stay separate rows.
+Counts are exact. An n-gram is a 64-bit hash of its words; the model is a written table in the size of the corpus's
+distinct n-grams, in parts of about PART n-grams by hash, and is nowhere held as a whole. Documents are dealt into slices of SLICE
+bytes. A slice sends each part its distinct n-grams, as one row of packed numbers; a part merges what it is sent; for
+scoring it answers each slice in the order asked. Frequent n-grams cost one number a slice, so no key is hot.
+
+Smoothing: p1 = (c + ALPHA) / (total + ALPHA * vocabulary), and at higher orders p = (c + KAPPA * lower) / (context + KAPPA).
+
+Defined cases: null and empty texts and those without a word have no losses and no score (null) and 0 tokens; with no target
+document the target model knows nothing and all its words are equally likely; equal ids stay separate rows; a null id is never
+of the target.
 """
 
 from __future__ import annotations
@@ -24,107 +31,79 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.batches import segment_sum, slices, utf8
+from stratalog.llm.batches import ALNUM, Words, mix, segment_sum, utf8
 from stratalog.llm.shared import small_batches, written
 
-#: an n-gram's key holds its bytes after a leading 1, so ORDERS is 7 at most
-ORDERS, KAPPA, SLICE = 4, 4.0, 4 << 20
-#: pairs up to which distinct ones are told by a flag for each possible pair; beyond, by sorting
-DENSE = 1 << 24
+ORDERS, ALPHA, KAPPA = 2, 0.5, 1.0
+SLICE, PART = 6 << 20, 1_500_000
 #: ids up to which a lookup table is broadcast; more are joined by shuffle
 BROADCAST_IDS = 1_000_000
 
 
-def grams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order: the keys of the distinct n-grams, the place of an occurrence's last byte for each, and for
-    each byte the index of the n-gram that ends there, -1 where it would begin before its document."""
-    out = []
-    place = np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets))
-    for n in range(1, ORDERS + 1):
-        at = np.flatnonzero(place >= n - 1)
-        before, index = out[-1][::2] if out else (np.ones(1, np.int64), None)
-        pair = raw[at].astype(np.int64)
-        if index is not None:
-            pair += index[at - 1].astype(np.int64) << 8
-        if len(before) << 8 <= DENSE:
-            number = np.zeros(len(before) << 8, np.int32)
-            number[pair] = 1
-            found = np.flatnonzero(number)
-            number[found] = np.arange(len(found))
-            own = number[pair]
-        else:
-            found, own = np.unique(pair, return_inverse=True)
-        index = np.full(len(raw), -1, np.int32)
-        index[at] = own
-        last = np.zeros(len(found), np.int64)
-        last[own] = at
-        out.append((before[found >> 8] << 8 | found & 255, last, index))
-    return out
-
-
-def count(docs: DataFrame, id_col: str, text_col: str, target: DataFrame) -> DataFrame:
-    """(key, background, target): how often each n-gram occurs in all documents and in those whose ids are in target."""
-    small_batches(docs.sparkSession)
-    ids = target.select(F.col(target.columns[0]).alias("doc_id")).filter("doc_id is not null").distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    ids = ids.withColumn("is_target", F.lit(True))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+class Grams:
+    """The n-grams of a slice: for each order the sorted distinct keys (a hash whose last bits are the order less 1), and for
+    each word the index of the n-gram that ends there, -1 where it would begin before its document."""
 
-    def run(batches):
-        for b in batches:
-            raw, offsets = utf8(b.column("text"))
-            wanted = b.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
-            for x, y in slices(offsets, SLICE):
-                own, at = raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
-                mask = np.repeat(wanted[x:y], np.diff(at))
-                for keys, _, index in grams(own, at):
-                    all_, some = (np.bincount(i[i >= 0], minlength=len(keys)) for i in (index, index[mask]))
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "background": pa.array(all_), "target": pa.array(some)})
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, orders: int):
+        self.words = words = Words(raw, offsets, ALNUM)
+        place = np.arange(len(words.hash)) - words.first[:-1][words.doc] if len(words.hash) else np.zeros(0, np.int64)
+        self.keys, self.index = [], []
+        own = words.hash
+        for n in range(1, orders + 1):
+            if n > 1:
+                own = np.append(np.zeros(1, np.uint64), mix(own[:-1] * np.uint64(3) + words.hash[1:]))[: len(own)]
+            at = np.flatnonzero(place >= n - 1)
+            keys, index = np.unique(own[at] & ~np.uint64(3) | np.uint64(n - 1), return_inverse=True)
+            whole = np.full(len(own), -1, np.int64)
+            whole[at] = index
+            self.keys.append(keys)
+            self.index.append(whole)
+
+    def dealt(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys of all orders, where each part's begin (parts are ranges of keys), and the order that sorts them."""
+        keys = np.concatenate(self.keys)
+        order = np.argsort(keys, kind="stable")
+        begins = np.array([-(-(p << 64) // parts) for p in range(parts)], np.uint64)
+        return keys[order], np.append(np.searchsorted(keys[order], begins), len(keys)), order
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    width = next(w for w in (1, 2, 4, 8) if int(values.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
-    return rows.mapInArrow(run, "key long, background long, target long").groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64) if data else np.zeros(0, np.int64)
 
 
 @dataclass
 class Models:
-    """The counts of every n-gram, as a written table, and how many bytes the models have seen."""
+    """Written n-gram counts (part, words, tokens, target_tokens, keys, background, target), what the smoothing needs, and the ids
+    of the target's documents."""
 
     table: DataFrame
+    parts: int
+    orders: int
+    vocabulary: int
     totals: tuple[int, int]
+    target: DataFrame
 
 
-def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
-    """The models of all docs and of those whose ids are in target's first column."""
-    counts = written(count(docs, id_col, text_col, target), "ngrams")
-    seen = counts.filter("key < 512").agg(F.sum("background"), F.sum("target")).first()  # keys of single bytes
-    return Models(counts, (seen[0] or 0, seen[1] or 0))
-
-
-def losses(raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray, counts: list[np.ndarray], totals: tuple[int, int]) -> np.ndarray:
-    """Models x documents: bits of each whole document, where n-gram keys[i] (sorted) occurs counts[m][i] times."""
-    found, out = grams(raw, offsets), []
-    for total, known in zip(totals, counts):
-        bits, p, before = np.zeros(len(raw)), None, None
-        for n, (own, last, index) in enumerate(found):
-            c = np.zeros(len(own))
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                c = np.where(keys[at] == own, known[at], 0).astype(np.float64)
-            context = before[found[n - 1][2][last - 1]] if n else np.full(len(own), float(total))
-            lower = p[found[n - 1][2][last]] if n else 1 / 256
-            p, before = np.minimum((c + KAPPA * lower) / (np.maximum(context, c) + KAPPA), 1), c
-            ok = index >= 0
-            bits[ok] = -np.log2(p)[index[ok]]
-        out.append(segment_sum(bits, offsets))
-    return np.array(out)
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE) -> DataFrame:
-    """Per row: doc_id, n_tokens, target_loss, background_loss and score, in bits a byte."""
+def _cut(docs: DataFrame, id_col: str, text_col: str, target: DataFrame | None, slice_bytes: int) -> DataFrame:
+    """(slice, doc_id, text, is_target), written: the rows dealt into slices."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind, totals = dict(rows.dtypes)["doc_id"], models.totals
+    if target is None:
+        rows = rows.withColumn("is_target", F.lit(False))
+    else:
+        ids = target.select(F.col(target.columns[0]).alias("doc_id")).filter("doc_id is not null").distinct()
+        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        ids = ids.withColumn("is_target", F.lit(True))
+        rows = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    kind = dict(rows.dtypes)["doc_id"]
 
-    def cut(batches):
+    def run(batches):
         now, filled = TaskContext.get().partitionId() << 32, 0
         for b in batches:
             own = []
@@ -133,38 +112,143 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
                     now, filled = now + 1, 0
                 filled += n
                 own.append(now)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(own, pa.int64()), "doc_id": b.column("doc_id"), "text": b.column("text")})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(own, pa.int64())} | {c: b.column(c) for c in ("doc_id", "text", "is_target")})
 
-    def ask(batches):
-        held, now = [], None
+    return written(rows.mapInArrow(run, f"slice long, doc_id {kind}, text string, is_target boolean"), "slices")
 
-        def keys():
-            raw, offsets = utf8(pa.concat_arrays(held))
-            for found, *_ in grams(raw, offsets):
-                yield pa.RecordBatch.from_pydict({"slice": pa.array(np.full(len(found), now)), "key": pa.array(found)})
 
-        for b in batches:
-            own = b.column("slice").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-            for x, y in zip(cuts, cuts[1:]):
-                if x < y:
-                    if held and own[x] != now:
-                        yield from keys()
-                        held = []
-                    now = int(own[x])
-                    held.append(b.column("text").slice(x, y - x).cast(pa.large_string()))
-        if held:
-            yield from keys()
-
-    def answer(own: pa.Table, known: pa.Table) -> pa.Table:
-        own, known = own.combine_chunks(), known.sort_by("key")
-        raw, offsets = utf8(pa.concat_arrays([c.cast(pa.large_string()) for c in own.column("text").chunks]))
-        n = np.diff(offsets)
-        counts = [known.column(c).to_numpy() for c in ("background", "target")]
-        bits = losses(raw, offsets, known.column("key").to_numpy(), counts, totals) / np.maximum(n, 1)
+def _whole(batches):
+    """Texts and target marks of one slice after another, from rows in the order that _cut wrote them."""
+    held, now = [], None
+    for b in batches:
+        own = b.column("slice").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+        for x, y in zip(cuts, cuts[1:]):
+            if x < y:
+                if held and own[x] != now:
+                    yield now, pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    held = []
+                now = int(own[x])
+                held.append((b.column("text").slice(x, y - x).cast(pa.large_string()), b.column("is_target").slice(x, y - x).to_numpy(zero_copy_only=False)))
+    if held:
+        yield now, pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+
+
+def _asked(dealt: DataFrame, parts: int, orders: int, counted: bool) -> DataFrame:
+    """(part, slice, keys, background, target): a slice's distinct n-grams in each part, with its counts if wanted."""
+
+    def run(batches):
+        for now, texts, wanted in _whole(batches):
+            grams = Grams(*utf8(texts), orders)
+            keys, cuts, order = grams.dealt(parts)
+            some = np.flatnonzero(np.diff(cuts))
+            data = keys.astype("<u8").tobytes()
+            out = {"part": pa.array(some), "slice": pa.array(np.full(len(some), now)), "keys": pa.array([data[8 * cuts[p] : 8 * cuts[p + 1]] for p in some], pa.binary())}
+            if counted:
+                mask = wanted.astype(bool)[grams.words.doc]
+                for name, ok in (("background", np.ones(len(mask), bool)), ("target", mask)):
+                    c = np.concatenate([np.bincount(i[ok & (i >= 0)], minlength=len(k)) for k, i in zip(grams.keys, grams.index)])[order]
+                    out[name] = pa.array([_pack(c[cuts[p] : cuts[p + 1]]) for p in some], pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
+
+    return dealt.select("slice", "text", "is_target").mapInArrow(run, "part long, slice long, keys binary" + ", background binary, target binary" * counted)
+
+
+def _column(table: pa.Table, name: str) -> list[bytes]:
+    return [x.as_py() for x in table.column(name)]
+
+
+def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", orders: int = ORDERS, slice_bytes: int = SLICE, dealt: DataFrame | None = None) -> Models:
+    """The models of all docs and of those whose ids are in target's first column."""
+    dealt = _cut(docs, id_col, text_col, target, slice_bytes) if dealt is None else dealt
+    size = dealt.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size * orders // (6 * PART)))  # about six bytes a word
+
+    def merge(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
+        keys, which = np.unique(np.concatenate([np.frombuffer(k, "<u8") for k in _column(own, "keys")]), return_inverse=True)
+        sums = [np.bincount(which, np.concatenate([_unpack(c) for c in _column(own, name)]), len(keys)).astype(np.int64) for name in ("background", "target")]
+        single = (keys & np.uint64(3)) == 0
+        numbers = {"part": key[0].as_py(), "words": int(single.sum()), "tokens": int(sums[0][single].sum()), "target_tokens": int(sums[1][single].sum())}
+        return pa.table({k: pa.array([v], pa.int64()) for k, v in numbers.items()} | {k: pa.array([v], pa.binary()) for k, v in (("keys", keys.tobytes()), ("background", _pack(sums[0])), ("target", _pack(sums[1])))})
+
+    counts = _asked(dealt, parts, orders, True).groupBy("part").applyInArrow(merge, "part long, words long, tokens long, target_tokens long, keys binary, background binary, target binary")
+    table = written(counts, "ngrams")
+    seen = table.agg(F.sum("words"), F.sum("tokens"), F.sum("target_tokens")).first()
+    return Models(table, parts, orders, seen[0] or 0, (seen[1] or 0, seen[2] or 0), target)
+
+
+def losses(grams: Grams, counts: list[list[np.ndarray]], models: Models, wanted: np.ndarray, own: bool) -> np.ndarray:
+    """Two x documents: bits of each whole document under background and target; counts[m][n] are those of grams.keys[n]."""
+    words = grams.words
+    out = []
+    matched = models.totals[1] / models.totals[0] if models.totals[1] and models.totals[0] else 1.0
+    mine = []  # of the n-gram that ends at each word, how many are the document's own
+    for keys, index in zip(grams.keys, grams.index):
+        at = np.flatnonzero(index >= 0)
+        c = np.zeros(len(index))
+        if own and len(at):
+            _, back, n = np.unique(words.doc[at] * len(keys) + index[at], return_inverse=True, return_counts=True)
+            c[at] = n[back]
+        mine.append(c)
+    for total, known, weight, less in ((models.totals[0], counts[0], matched, np.ones(len(words.hash))), (models.totals[1], counts[1], 1.0, wanted.astype(float)[words.doc])):
+        p, before = None, None
+        for n, index in enumerate(grams.index):
+            ok = index >= 0
+            c = np.zeros(len(index))
+            c[ok] = weight * (known[n][index[ok]] - (less * mine[n])[ok])
+            c = np.maximum(c, 0)
+            if n == 0:
+                rest = weight * np.maximum(total - own * less * words.counts[words.doc], 0)
+                p = (c + ALPHA) / (rest + ALPHA * max(models.vocabulary, 1))
+            else:
+                context = np.append(np.zeros(1), before[:-1])[: len(before)]  # the n-gram that ends a word earlier
+                p = np.where(ok, (c + KAPPA * p) / (np.maximum(context, c) + KAPPA), p)
+            before = c
+        out.append(segment_sum(-np.log2(p), words.first))
+    return np.array(out)
+
+
+def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE, own: bool = True, dealt: DataFrame | None = None) -> DataFrame:
+    """Per row: doc_id, n_tokens, target_loss, background_loss and score, in bits a token. `own`: docs are what the models
+    were fitted on."""
+    dealt = _cut(docs, id_col, text_col, models.target, slice_bytes) if dealt is None else dealt
+    kind, parts = dict(dealt.dtypes)["doc_id"], models.parts
+    few = Models(None, parts, models.orders, models.vocabulary, models.totals, None)
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in (("part", pa.int64()), ("slice", pa.int64()), ("background", pa.binary()), ("target", pa.binary()))})
+        keys = np.frombuffer(_column(known, "keys")[0], "<u8") if known.num_rows else np.zeros(0, np.uint64)
+        counts = {name: _unpack(_column(known, name)[0]) if known.num_rows else np.zeros(0, np.int64) for name in ("background", "target")}
+        got = {"background": [], "target": []}
+        for k in _column(asked, "keys"):
+            k = np.frombuffer(k, "<u8")
+            at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+            for name, c in counts.items():
+                got[name].append(_pack(np.where(keys[at] == k, c[at], 0) if len(keys) else np.zeros(len(k), np.int64)))
+        return pa.table({"part": asked.column("part"), "slice": asked.column("slice")} | {n: pa.array(v, pa.binary()) for n, v in got.items()})
+
+    def judge(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, answers = rows.combine_chunks(), answers.sort_by("part")
+        grams = Grams(*utf8(pa.concat_arrays([c.cast(pa.large_string()) for c in rows.column("text").chunks])), few.orders)
+        _, _, order = grams.dealt(parts)
+        counts = []
+        for name in ("background", "target"):
+            flat = np.zeros(len(order))
+            flat[order] = np.concatenate([_unpack(c) for c in _column(answers, name)]) if answers.num_rows else 0
+            counts.append(np.split(flat, np.cumsum([len(k) for k in grams.keys])[:-1]))
+        wanted = rows.column("is_target").to_numpy().astype(bool)
+        n = grams.words.counts
+        bits = losses(grams, counts, few, wanted, own) / np.maximum(n, 1)
         none = n == 0
-        return pa.table({"doc_id": own.column("doc_id"), "n_tokens": pa.array(n, pa.int64())} | {k: pa.array(v, pa.float64(), mask=none) for k, v in (("target_loss", bits[1]), ("background_loss", bits[0]), ("score", bits[1] - bits[0]))})
+        return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(n, pa.int64())} | {k: pa.array(v, pa.float64(), mask=none) for k, v in (("target_loss", bits[1]), ("background_loss", bits[0]), ("score", bits[1] - bits[0]))})
+
+    asked = _asked(dealt, parts, models.orders, False)
+    answers = asked.groupBy("part").cogroup(models.table.select("part", "keys", "background", "target").groupBy("part")).applyInArrow(answer, "part long, slice long, background binary, target binary")
+    return dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(judge, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+
 
-    dealt = written(rows.mapInArrow(cut, f"slice long, doc_id {kind}, text string"), "slices")
-    known = dealt.select("slice", "text").mapInArrow(ask, "slice long, key long").join(models.table, "key")
-    return dealt.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(answer, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", orders: int = ORDERS, slice_bytes: int = SLICE) -> DataFrame:
+    """score() of docs by the models of the same docs, dealt into slices once."""
+    dealt = _cut(docs, id_col, text_col, target, slice_bytes)
+    return score(docs, fit(docs, target, id_col, text_col, orders, slice_bytes, dealt), id_col, text_col, slice_bytes, True, dealt)

@@ -85,7 +85,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").filter("quality > 0").select("doc_id")
-    return m.score(docs, m.fit(docs, good))
+    return m.cross_entropy_difference(docs, good)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

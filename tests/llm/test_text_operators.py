@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and its defined cases."""
 
+import collections
 import hashlib
 import math
 import re
@@ -301,65 +302,64 @@ def test_features_are_of_one_document(docs):
             assert [x for x in both[d] if x] == [x for x in alone if x]
 
 
-def test_losses_equal_a_plain_model(spark, docs):
-    import math
-
-    texts = ["abab", "abc", None, "", "b"]
-    target = spark.createDataFrame([(0,), (4,), (None,), (0,)], "doc_id long")
-    got = {r.doc_id: r for r in lm_score.score(docs(texts), lm_score.fit(docs(texts), target)).collect()}
-
-    def model(own):
-        counts = {}
-        for t in own:
-            b = (t or "").encode()
-            for n in range(1, lm_score.ORDERS + 1):
-                for i in range(len(b) - n + 1):
-                    counts[b[i : i + n]] = counts.get(b[i : i + n], 0) + 1
-        total = sum(v for k, v in counts.items() if len(k) == 1)
-
-        def loss(t):
-            b, bits = t.encode(), 0.0
-            for i in range(len(b)):
-                p = 1 / 256
-                for n in range(1, min(i + 1, lm_score.ORDERS) + 1):
-                    gram = b[i - n + 1 : i + 1]
-                    context = total if n == 1 else counts.get(gram[:-1], 0)
-                    p = min(1, (counts.get(gram, 0) + lm_score.KAPPA * p) / (max(context, counts.get(gram, 0)) + lm_score.KAPPA))
-                bits -= math.log2(p)
-            return bits / len(b)
-
-        return loss
-
-    background, wanted = model(texts), model(["abab", "b"])
-    for i in (0, 1, 4):
-        assert got[i].background_loss == pytest.approx(background(texts[i]), rel=1e-5)
-        assert got[i].target_loss == pytest.approx(wanted(texts[i]), rel=1e-5)
-        assert got[i].score == pytest.approx(got[i].target_loss - got[i].background_loss)
-    assert got[2].score is None and got[3].n_tokens == 0
-
-
-def test_every_ngram_has_its_own_count(spark, docs):
-    import collections
+def plain_losses(texts, target, orders, own=True):
+    """Bits a word of each text under both models, each fitted on the other texts."""
+    words = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t)) for t in texts]
+    grams = lambda w: [tuple(w[i - n + 1 : i + 1]) for i in range(len(w)) for n in range(1, orders + 1) if i >= n - 1]
+    vocabulary = len({w for x in words for w in x})
+    count = lambda rows: collections.Counter(g for i in rows for g in grams(words[i]))
+    sizes = [sum(len(words[i]) for i in rows) for rows in (range(len(texts)), target)]
+    matched = sizes[1] / sizes[0] if sizes[1] else 1.0
+    out = []
+    for i, w in enumerate(words):
+        bits = []
+        for rows, weight in ((range(len(texts)), matched), (target, 1.0)):
+            rest = [k for k in rows if k != i or not own]
+            c, total, loss = count(rest), sum(len(words[k]) for k in rest), 0.0
+            for k in range(len(w)):
+                p = (weight * c[(w[k],)] + lm_score.ALPHA) / (weight * total + lm_score.ALPHA * vocabulary)
+                for n in range(2, min(k + 1, orders) + 1):
+                    g = tuple(w[k - n + 1 : k + 1])
+                    p = (weight * c[g] + lm_score.KAPPA * p) / (weight * c[g[:-1]] + lm_score.KAPPA)
+                loss -= math.log2(p)
+            bits.append(loss / len(w) if w else None)
+        out.append(bits)
+    return out
+
+
+@pytest.mark.parametrize("orders", [1, 2, 3])
+def test_losses_equal_a_plain_model(spark, docs, monkeypatch, orders):
     import random
 
+    monkeypatch.setattr(lm_score, "PART", 50)  # many parts, and below many slices
     r = random.Random(8)
-    texts = ["".join(chr(r.randint(33, 126)) for _ in range(2000)) for _ in range(100)]
-    counts = collections.Counter(t[i : i + n] for t in texts for n in range(1, lm_score.ORDERS + 1) for i in range(len(t) - n + 1))
-    target = spark.createDataFrame([(0,), (7,)], "doc_id long")
-    model = lm_score.fit(docs(texts), target)
-    got = {x.doc_id: x for x in lm_score.score(docs(texts), model).collect()}
-    for i in (0, 50, 99):
-        t, bits = texts[i], 0.0
-        for k in range(len(t)):
-            p = 1 / 256
-            for n in range(1, min(k + 1, lm_score.ORDERS) + 1):
-                gram = t[k - n + 1 : k + 1]
-                p = min(1, (counts[gram] + lm_score.KAPPA * p) / ((counts[gram[:-1]] if n > 1 else 200_000) + lm_score.KAPPA))
-            bits -= math.log2(p)
-        assert got[i].background_loss == pytest.approx(bits / len(t), rel=1e-6)
-    assert model.table.count() == len(counts)  # follows the input
-    again = {x.doc_id: x for x in lm_score.score(docs(texts), model, slice_bytes=5000).collect()}
-    assert all(again[i].score == pytest.approx(got[i].score, rel=1e-12) for i in got)
+    texts = [*ODD[:5], "!!", "Aa bb, aa bb cc", *[" ".join(r.choice("abcdefgh") * r.randint(1, 2) for _ in range(r.randint(1, 40))) for _ in range(25)]]
+    target = [6, 7, 9, 12, 20]
+    ids = spark.createDataFrame([(i,) for i in [*target, None, 7]], "doc_id long")
+    got = {x.doc_id: x for x in lm_score.cross_entropy_difference(docs(texts), ids, orders=orders, slice_bytes=200).collect()}
+    for i, (background, wanted) in enumerate(plain_losses(texts, target, orders)):
+        if background is None:
+            assert got[i].score is None and got[i].n_tokens == 0
+        else:
+            assert got[i].background_loss == pytest.approx(background, rel=1e-9) and got[i].target_loss == pytest.approx(wanted, rel=1e-9)
+            assert got[i].score == pytest.approx(got[i].target_loss - got[i].background_loss)
+
+
+def test_lm_counts_follow_the_corpus(spark, docs):
+    import random
+
+    r = random.Random(9)
+    some = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(60))
+    texts = [some() for _ in range(200)]
+    texts += texts[:10]  # ten texts stand twice
+    none = spark.createDataFrame([], "doc_id long")
+    sizes = [lm_score.fit(docs(texts[:n]), none).table.agg({"words": "sum", "tokens": "sum"}).first() for n in (20, 200)]
+    assert [x["sum(tokens)"] for x in sizes] == [20 * 60, 200 * 60] and sizes[1]["sum(words)"] > 3 * sizes[0]["sum(words)"]
+    got = {x.doc_id: x.background_loss for x in lm_score.cross_entropy_difference(docs(texts), none).collect()}
+    assert max(got[i] for i in [*range(10), *range(200, 210)]) < min(got[i] for i in range(10, 200))
+    assert lm_score.cross_entropy_difference(docs([]), none).count() == 0
+    other = lm_score.score(docs(["w1 w2", None]), lm_score.fit(docs(texts), none), own=False).collect()
+    assert sorted(x.n_tokens for x in other) == [0, 2]
 
 
 def test_near_duplicates_of_repeated_ids(spark, docs, monkeypatch):
