@@ -1,19 +1,26 @@
 """Language identification by cross-parsing: suffix automata of labelled text, fewest phrases win.
 
-One suffix automaton per language is built from a bounded sample of that language's text. A text is
-parsed greedily into the longest phrases that the automaton holds; phrases times log2(sample size) over
-the text's length estimates its cross-entropy in bits a symbol, and the language with the least wins
-(ties: the smaller name). Texts are parsed whole, in windows of WINDOW symbols at whose borders a phrase
-ends; all windows of a slice advance one symbol at a time together through one table of transitions.
+One suffix automaton per language is built from a bounded sample of that language's text. A text is parsed greedily
+into the longest phrases that the automaton holds; phrases times log2(sample size) over the text's length estimates its
+cross-entropy in bits a symbol, and the language with the least wins (ties: the smaller name). A symbol that the language's
+sample doesn't have is a phrase of its own and costs the logarithm of the alphabet besides.
 
-Symbols: lower-cased letters that the samples hold, one symbol for all other letters, and one for every
-run of anything else.
+Texts are parsed whole. To parse many at once they are cut into windows that start a parse of their own, all of which advance
+one symbol at a time together; then the last phrase of each window goes on into the next, until it ends where a
+phrase of that window begins: from there on both parses are the same. The phrases are exactly those of the greedy parse.
 
-Bounds of the sample: DOCS documents a language of at most DOC_CHARS characters, picked by a hash of
-their id, equal texts once, SYMBOLS symbols a language (fewer if there are more than 16 languages).
+Symbols: every lower-cased letter that the samples hold, one symbol for all other letters, and one for every run of anything
+else. Transitions are sparse: rows of different states are laid into each other, so a table grows with the sample and
+not with the alphabet.
+
+Bounds of the sample: DOCS documents a language, picked by a hash of their id, equal texts once, whole, and fewer of
+them where they would exceed SYMBOLS characters a language or TOTAL in all languages (about 20 bytes of table each);
+the first is taken whatever its length.
+Every fifth is kept out of the automaton, to tell what is usual for unseen text of the language.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; with no labelled text at all,
-every text is `und`. Ids that are null are never learned from.
+every text is `und`. Ids that are null are never learned from; rows that share an id are learned from as one, by the text that
+sorts first. More than MOST_LANGUAGES values of lang are an error.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import functions as F
 from stratalog.llm.batches import slices, utf8
 from stratalog.llm.shared import small_batches
 
-DOCS, DOC_CHARS, SYMBOLS, WINDOW = 300, 20_000, 40_000, 512
+DOCS, SYMBOLS, TOTAL, WINDOW, MOST_LANGUAGES = 300, 100_000, 3_000_000, 512, 100_000
 UNKNOWN = "und"
 #: bits a symbol above a language's own mean beyond which a filter takes a text for no language; for texts
 #: of fewer than STEADY symbols the excess counts in proportion to their length
@@ -42,36 +49,47 @@ def alphabetic() -> np.ndarray:
 
 
 class Languages:
-    """The automata of all languages in one table; entries hold twice the next row's place, plus 1 at a phrase's end."""
+    """The automata of all languages. A state is the place where its row begins; the transition by a symbol lies that many
+    places on, and is the state's own where `owner` names the state there."""
 
-    def __init__(self, samples: dict[str, str], symbols: int = SYMBOLS):
+    def __init__(self, samples: dict[str, list[str]], held: dict[str, list[str]] | None = None):
         self.names = sorted(samples)
-        symbols = min(symbols, 16 * symbols // max(1, len(self.names)))
-        letters: dict[str, int] = {}
-        for s in samples.values():
-            for c in s.lower():
-                if c.isalpha():
-                    letters[c] = letters.get(c, 0) + 1
-        top = sorted(letters, key=lambda c: (-letters[c], c))[:62]
-        self.letters = {ord(c): k + 2 for k, c in enumerate(sorted(top))}
-        self.width = len(self.letters) + 2
-        tables, self.start, self.log2, at = [], [], [], 0
+        letters = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
+        self.letters = {ord(c): k + 2 for k, c in enumerate(letters)}
+        self.width = len(letters) + 2
+        owners, goes, self.start, dead, self.log2, at = [], [], [], [], [], 0
         for name in self.names:
-            codes, _ = self.encode([samples[name]])
-            codes = codes[:symbols]
-            t = automaton(codes.tolist(), self.width)
-            tables.append(t + np.int32(2 * at))
+            codes, _ = self.encode(["\n".join(samples[name])])
+            owner, to, none = laid([*automaton(codes.tolist()), {}], self.width)
+            owners.append(np.where(owner < 0, -1, owner + at))
+            goes.append(to + at)
             self.start.append(at)
+            dead.append(at + none)
             self.log2.append(np.log2(max(len(codes), 2)))
-            at += t.size
-        self.table = np.concatenate([t.reshape(-1) for t in tables]) if tables else np.zeros(0, np.int32)
+            at += len(owner)
+        self.owner = np.concatenate(owners).astype(np.int32) if owners else np.zeros(0, np.int32)
+        self.to = np.concatenate(goes).astype(np.int32) if goes else np.zeros(0, np.int32)
+        self.start = np.array(self.start, np.int32)
+        # where each language's parse goes from its start: a symbol that no text of the sample has is a phrase by itself
+        self.first = np.zeros((len(self.names), self.width), np.int32)
+        for k, (s, none) in enumerate(zip(self.start, dead)):
+            place = s + np.arange(self.width)
+            self.first[k] = np.where(self.owner[place] == s, self.to[place], none)
+        self.unseen = self.first == np.array(dead, np.int32)[:, None]
         self.log2 = np.array(self.log2)
-        self.usual = np.zeros(len(self.names))
+        self.usual = np.full(len(self.names), np.nan)
+        for k, name in enumerate(self.names):
+            if texts := (held or {}).get(name):
+                bits, n = self.bits(texts)
+                self.usual[k] = bits[:, k].sum() / max(1, n.sum())
+        # a language of one labelled text: as for the others; if there are none, nothing is too much
+        known = self.usual[~np.isnan(self.usual)]
+        self.usual[np.isnan(self.usual)] = known.max() if len(known) else np.inf
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, one after another, and how many each has."""
         if not hasattr(self, "_symbol"):
-            self._symbol = alphabetic().astype(np.uint8)
+            self._symbol = alphabetic().astype(np.int32)
             for c, k in self.letters.items():
                 self._symbol[c] = k
         low = [(t or "").lower() for t in texts]
@@ -91,45 +109,104 @@ class Languages:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_symbol"}
 
+    def _step(self, language: np.ndarray, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one more symbol, and whether a phrase begins with it."""
+        place = state + code
+        new = self.owner.take(place) != state
+        return np.where(new, self.first[language, code], self.to.take(place)), new
+
     def bits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Texts x languages: phrases times log2(sample), in bits for the whole text; and the texts' symbols."""
+        """Texts x languages: phrases times log2(sample), and the spelling of symbols that the sample doesn't have, in bits for
+        the whole text; and the texts' symbols."""
         codes, counts = self.encode(texts)
-        first = np.cumsum(counts) - counts
+        total = np.zeros((len(self.names), len(texts)))
+        begins = np.cumsum(counts) - counts
+        for k, row in enumerate(self._phrases(codes, begins, counts)):
+            at = np.append(0, np.cumsum(row))
+            total[k] = (at[begins + counts] - at[begins]) * self.log2[k]
+            odd = np.flatnonzero(self.unseen[k].take(codes))
+            total[k] += (np.searchsorted(odd, begins + counts) - np.searchsorted(odd, begins)) * np.log2(self.width)
+        return total.T, counts
+
+    def _phrases(self, codes: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Languages x symbols: whether a phrase of the greedy parse begins there."""
+        n_languages, n = len(self.names), len(codes)
         windows = -(-counts // WINDOW)
-        owner = np.repeat(np.arange(len(texts)), windows)
+        owner = np.repeat(np.arange(len(counts)), windows)
         k = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        begin = first[owner] + k * WINDOW
-        length = np.minimum(WINDOW, counts[owner] - k * WINDOW)
-        order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
-        phrases = np.ones((len(self.names), len(owner)), np.int32)
-        state = np.repeat(np.array(self.start, np.int32)[:, None], len(owner), 1)
+        low = begins[owner] + k * WINDOW
+        high = np.minimum(low + WINDOW, (begins + counts)[owner])
+        flags = np.zeros((n_languages, n + 1), bool)
+        # every window by itself
+        order = np.argsort(low - high, kind="stable")
+        at, length = low[order], (high - low)[order]
+        state = np.repeat(self.start[:, None], len(order), 1)
+        every = np.arange(n_languages)[:, None]
         live = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
-        for j, n in enumerate(live):
-            v = self.table.take(state[:, :n] + codes[begin[:n] + j])
-            phrases[:, :n] += v & 1
-            state[:, :n] = v >> 1
-        total = np.zeros((len(self.names), len(texts)))
-        for row, p in zip(total, phrases):
-            row += np.bincount(owner[order], p, len(texts))
-        return (total * self.log2[:, None]).T, counts
+        for j, m in enumerate(live):
+            now = at[:m] + j
+            state[:, :m], new = self._step(every, state[:, :m], codes[now])
+            flags[:, now] = new
+        flags[:, low] = True
+        if not len(owner) or windows.max() < 2:
+            return flags[:, :n]
+        # each window's last phrase goes on into the windows after it
+        last = np.empty_like(state)
+        last[:, order] = state
+        goes_on = np.flatnonzero(np.append(owner[1:] == owner[:-1], False))
+        end = (begins + counts)[owner]
+        language, window = (x.reshape(-1) for x in np.meshgrid(np.arange(n_languages), goes_on, indexing="ij"))
+        state, position, fixed = last[language, window], high[window], flags.copy()
+        fixed[:, low[goes_on + 1]] = False
+        # in the order of the windows of a text, as one may reach past the next and replace what that one found
+        rank = k[window]
+        queue = np.argsort(rank, kind="stable")
+        done = np.zeros((n_languages, len(owner)), np.int64)  # how far a text's parse is known, by its first window
+        head = np.repeat(np.cumsum(windows) - windows, windows)
+        for r in range(int(rank.max(initial=-1)) + 1):
+            a, b = np.searchsorted(rank[queue], [r, r + 1])
+            own = queue[a:b]
+            # a window that an earlier phrase or repair passed over has no say
+            own = own[done[language[own], head[window[own]]] < position[own]]
+            lang, pos, st, stop, top = language[own], position[own].copy(), state[own], end[window[own]], head[window[own]]
+            while len(pos):
+                ended = pos >= stop
+                if ended.any():
+                    done[lang[ended], top[ended]] = n + 1
+                    rest = ~ended
+                    lang, pos, st, stop, top = lang[rest], pos[rest], st[rest], stop[rest], top[rest]
+                    continue
+                st, new = self._step(lang, st, codes[pos])
+                met = new & flags[lang, pos]
+                fixed[lang, pos] = new
+                if met.any():
+                    done[lang[met], top[met]] = pos[met]
+                    rest = ~met
+                    lang, pos, st, stop, top = lang[rest], pos[rest], st[rest], stop[rest], top[rest]
+                pos = pos + 1
+        return fixed[:, :n]
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and bits a symbol beyond the usual for it, per text."""
         if not self.names:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.inf)
+        different = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+        if len(different) < len(texts):
+            names, score, excess = self.judge(list(different))
+            back = [different[t] for t in texts]
+            return [names[k] for k in back], score[back], excess[back]
         bits, counts = self.bits(texts)
         best = bits.argmin(1)
         score = 1 / np.exp(np.minimum(0.35 * (bits.min(1)[:, None] - bits), 0)).sum(1)
         letter = alphabetic()
-        lettered = np.array([bool(t) and any(letter[ord(c)] for c in t[:64]) or bool(t) and any(c.isalpha() for c in t) for t in texts])
+        lettered = np.array([bool(t) and any(letter[ord(c)] for c in t[:64]) or bool(t) and any(c.isalpha() for c in t) for t in texts], bool)
         excess = (bits.min(1) / np.maximum(counts, 1) - self.usual[best]) * np.minimum(1, counts / STEADY)
         names = [self.names[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]
         return names, np.where(lettered, score, 0.0), np.where(lettered, excess, np.inf)
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """A suffix automaton's states x symbols: twice the place of the next row, plus 1 where the phrase ends first."""
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The transitions of each state of a suffix automaton; state 0 is its start."""
     goto: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -154,44 +231,104 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    dead = len(goto)
-    after = np.full(width, dead, np.int64)
-    for c, s in goto[0].items():
-        after[c] = s
-    out = np.broadcast_to(2 * width * after + 1, (dead + 1, width)).copy()
-    out[0] = 2 * width * after
+    return goto
+
+
+def laid(goto: list[dict[int, int]], width: int, slack: float = 1.5) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows of transitions laid into each other: (owner, to), and the place of the last state. State 0 begins at place 0.
+    A row begins at a place of its own, so a place's owner is known by where its row begins."""
+    size = int(max(sum(map(len, goto)), len(goto)) * slack) + 4 * width + 16
+    rng = np.random.default_rng(7)
+    place, free, taken = {0: 0}, bytearray(b"\1") * size, bytearray(size)
+    taken[0] = 1
+    for c in goto[0]:
+        free[c] = 0
+    tries = iter(())
+    for s in sorted((s for s in range(1, len(goto)) if len(goto[s]) > 1), key=lambda s: -len(goto[s])):
+        own = tuple(goto[s])
+        while True:
+            at = next(tries, None)
+            if at is None:
+                tries = iter(rng.integers(1, size - width, 100_000).tolist())
+            elif not taken[at] and all(free[at + c] for c in own):
+                break
+        place[s] = at
+        taken[at] = 1
+        for c in own:
+            free[at + c] = 0
+    # rows of one transition fit wherever a place is free
+    gaps = iter(np.flatnonzero(np.frombuffer(free, np.uint8)).tolist())
+    left: list[int] = []  # free places that a row of another symbol could not use
+    for s in range(1, len(goto)):
+        if len(goto[s]) != 1:
+            continue
+        (c,) = goto[s]
+        for i, g in enumerate(left):
+            if g >= c and not taken[g - c]:
+                left.pop(i)
+                break
+        else:
+            for g in gaps:
+                if g >= c and not taken[g - c]:
+                    break
+                if len(left) < 50:
+                    left.append(g)
+            else:
+                return laid(goto, width, 1.5 * slack)
+        place[s] = g - c
+        taken[g - c] = 1
+    unused = iter(k for k in range(size) if not taken[k])
+    for s in range(1, len(goto)):
+        if not goto[s]:
+            place[s] = next(unused)
+    owner, to = np.full(size + width, -1, np.int64), np.zeros(size + width, np.int64)
     for s, row in enumerate(goto):
-        for c, to in row.items():
-            out[s, c] = 2 * width * to
-    return out.astype(np.int32)
+        for c, t in row.items():
+            owner[place[s] + c] = place[s]
+            to[place[s] + c] = place[t]
+    return owner, to, place[len(goto) - 1]
 
 
 def fit(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_a_language: int = DOCS) -> Languages:
     """Automata from rows where the SQL condition `learn` on id_col holds and the language isn't null."""
     small_batches(docs.sparkSession)
-    rows = docs.filter(f"({learn}) and {id_col} is not null and {lang_col} is not null")
-    counts = {r.lang: r.n for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = "pmod(xxhash64(cast(%s as string)), 1000003)" % id_col
-    share = [F.when(F.col(lang_col) == k, F.expr(place) < int(1000003 * min(1, 1.5 * docs_a_language / n)) + 1) for k, n in counts.items()]
-    model = Languages({})
-    if not share:
-        return model
-    picked = rows.filter(F.coalesce(*share)).filter((F.length(text_col) <= DOC_CHARS) & (F.col(text_col) != ""))
-    found: dict[str, dict[str, int]] = {}
-    for r in picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).collect():
-        own = found.setdefault(r.lang, {})
-        own[r.text] = min(own.get(r.text, r.h), r.h)
+    key = F.col(id_col).cast("string")
+    rows = docs.filter(f"({learn}) and {id_col} is not null and {lang_col} is not null").filter(F.col(text_col) != "")
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key).alias("h"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
+    if not counts:
+        return Languages({})
+    counts = docs.sparkSession.createDataFrame([tuple(r) for r in counts], "lang string, n long")
+    share = 1.5 * docs_a_language
+    few = F.pmod("h", F.lit(1_000_003)) < F.least(F.lit(1_000_003), F.floor(1_000_003 * share / F.col("n")) + 1)
+    picked = rows.join(F.broadcast(counts), "lang").filter(few)  # a row a language, MOST_LANGUAGES at most
+    # lengths first, so that no more text than the bound comes to the driver; rows that share an id count once
+    sizes = picked.groupBy("lang", "h").agg(F.max(F.length("text")).alias("n")).collect()  # about 1.5 * docs_a_language rows a language
+    by: dict[str, list] = {}
+    for r in sorted(sizes, key=lambda r: r.h):
+        by.setdefault(r.lang, []).append(r)
+    bound = min(SYMBOLS, TOTAL // max(1, len(by)))
+    chosen = []
+    for lang, own in by.items():
+        size = 0
+        for k, r in enumerate(own[:docs_a_language]):
+            if not k or size + r.n <= 5 * bound // 4:
+                size += r.n
+                chosen.append((lang, r.h))
+    wanted = docs.sparkSession.createDataFrame(chosen, "lang string, h long")
+    got = rows.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     samples, held = {}, {}
-    for lang, texts in found.items():
-        order = sorted(texts, key=lambda t: (texts[t], t))[:docs_a_language]
-        if any(c.isalpha() for t in order for c in t):
-            held[lang] = order[-max(1, len(order) // 5):]
-            samples[lang] = "\n".join(order)
-    model = Languages(samples)
-    for k, lang in enumerate(model.names):
-        bits, n = model.bits(held[lang])
-        model.usual[k] = bits[:, k].sum() / max(1, n.sum())
-    return model
+    for lang in by:
+        texts = list(dict.fromkeys(r.text for r in sorted(got, key=lambda r: r.h) if r.lang == lang))
+        if any(c.isalpha() for t in texts for c in t):
+            held[lang] = texts[4::5] if len(texts) > 4 else texts[1:][-1:]
+            out = set(held[lang])
+            samples[lang] = [t for t in texts if t not in out]
+            if not any(c.isalpha() for t in samples[lang] for c in t):
+                samples[lang], held[lang] = texts, []
+    return Languages(samples, held)
 
 
 def identify(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

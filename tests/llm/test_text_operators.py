@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -255,21 +256,78 @@ def test_language_held_out_accuracy(spark, docs):
     assert language.keep_languages(docs([None, "12", "the thing and that"]), model).select("doc_id").collect()[0].doc_id == 2
 
 
-def test_phrases_are_the_greedy_parse():
+def greedy_phrases(t, sample):
+    n = at = 0
+    while at < len(t):
+        end = at + 1
+        while end <= len(t) and t[at:end] in sample:
+            end += 1
+        at = max(end - 1, at + 1)
+        n += 1
+    return n
+
+
+def phrases_of(model, texts):
+    """Texts x languages, without what unseen symbols cost besides."""
+    odd = np.array([[model.unseen[k][model.encode([t])[0]].sum() for k in range(len(model.names))] for t in texts])
+    return np.round((model.bits(texts)[0] - odd * np.log2(model.width)) / model.log2).astype(int)
+
+
+def test_phrases_are_the_greedy_parse(monkeypatch):
+    import random
+
     text = "abracadabraabra"
-    model = language.Languages({"x": text})
-    for t in ("abra", "cadabraabrac", "zzz", "abzra", "a" * 40, "dabrac" * 200):
-        n = 0
-        for k in range(0, len(t), language.WINDOW):
-            at, part = 0, t[k : k + language.WINDOW]
-            while at < len(part):
-                end = at + 1
-                while end <= len(part) and part[at:end] in text:
-                    end += 1
-                at = max(end - 1, at + 1)
-                n += 1
-        bits, _ = model.bits([t])
-        assert round(bits[0, 0] / model.log2[0]) == n, t
+    for window in (3, 7, 512):
+        monkeypatch.setattr(language, "WINDOW", window)
+        model = language.Languages({"x": [text]})
+        for t in ("abra", "cadabraabrac", "zzz", "abzra", "a" * 40, "dabrac" * 200):
+            assert phrases_of(model, [t])[0, 0] == greedy_phrases(t, text), (t, window)
+        r = random.Random(window)
+        some = lambda n, of: "".join(r.choice(of) for _ in range(n))
+        samples = {"p": some(4000, "abc"), "q": some(3000, "abcdef"), "r": some(50, "xyz")}
+        model = language.Languages({k: [v] for k, v in samples.items()})
+        texts = [some(r.randint(0, 60), "abcdefz") for _ in range(40)] + [samples["p"][100:3000], some(5000, "abc"), "", samples["q"] + some(700, "abcdef") + samples["p"]]
+        found = phrases_of(model, texts)
+        for i, t in enumerate(texts):
+            for k, name in enumerate(model.names):
+                assert found[i, k] == greedy_phrases(t, samples[name]), (i, name, window)
+        assert model.bits(texts)[1].tolist() == [len(t) for t in texts]
+
+
+def test_every_letter_of_every_script_has_a_symbol(spark):
+    import random
+
+    r = random.Random(2)
+    alphabets = {"zh": [chr(0x4E00 + k) for k in range(900)], "ko": [chr(0xAC00 + 7 * k) for k in range(900)], "ru": list("абвгдежзийклмнопрстуфхцчшщыьэюя"), "el": list("αβγδεζηθικλμνξοπρστυφχψω"), "en": list("abcdefghijklmnopqrstuvwxyz")}
+    some = lambda k, n=200: "".join(r.choice(alphabets[k]) for _ in range(n))
+    rows = [(i, some(k), k) for i, k in enumerate(list(alphabets) * 12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(table, "true")
+    seen = {c for k, v in alphabets.items() for c in v if any(c in t for _, t, _ in rows)}
+    held = [t for x in alphabets for t in [y for _, y, z in rows if z == x]]
+    assert held and len(model.letters) > 0.75 * len(seen)
+    assert model.judge([some(k) for k in alphabets])[0] == list(alphabets)
+
+
+def test_long_labelled_text_is_learned_whole(spark):
+    import random
+
+    r = random.Random(4)
+    # what tells the languages apart stands only after 29,000 characters of a text of 30,000
+    same = "".join(r.choice("abcd ") for _ in range(29_000))
+    rows = [(1, same + "klmn" * 300, "x"), (2, same + "pqrs" * 300, "y")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "true")
+    assert model.judge(["klmnklmnklmn", "pqrspqrs"])[0] == ["x", "y"] and np.isinf(model.usual).all()
+
+
+def test_usual_is_of_unseen_text(spark):
+    import random
+
+    r = random.Random(5)
+    for n in (10, 100):
+        rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(60)), "x") for i in range(n)]
+        usual = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "true").usual
+        assert 2 < usual[0] < 5, (n, usual)  # a text of the automaton itself would have near 0
 
 
 def test_quality_learns_and_scores_everything(spark, docs):
