@@ -134,6 +134,29 @@ def test_longest_match_where_items_share_passages(spark, docs):
                 assert items[x.match_item][x.match_item_word :][:most] == t[x.match_word :][:most] and len(t[x.match_word :]) >= most
 
 
+def test_suffix_array_is_sorted():
+    import random
+
+    r = random.Random(6)
+    for n, letters in ((0, "a"), (1, "a"), (40, "a"), (300, "ab"), (500, "abcdefghij"), (2000, "ab")):
+        codes = [ord(r.choice(letters)) for _ in range(n)] + [0]
+        got = decontaminate.suffix_array(np.array(codes, np.int32)).tolist()
+        assert got == sorted(range(n + 1), key=lambda i: codes[i:]), (n, letters)
+
+
+def test_matches_over_blocks_with_repeated_passages(spark, docs):
+    """Items that overlap, repeat and share ids; a document's longest match lies in another than its first item."""
+    w = [f"w{k}" for k in range(1, 40)]
+    items = [(1, " ".join(w[:15])), (2, " ".join(w[4:39])), (2, "x y z"), (None, "null item has words of its own and is not listed at all")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(w[4:39]), "x Y z", items[3][1], " ".join(w[4:39]) + " q " + " ".join(w[:15]), None]
+    for size in (1 << 30, 50):
+        got = {r.doc_id: r for r in decontaminate.matches(docs(texts), table, block_bytes=size).collect()}
+        assert (got[0].match_words, got[0].match_item, got[0].match_item_word, got[0].match_word) == (35, 2, 0, 0), size
+        assert got[0]["items"] == [1, 2] and got[1]["items"] == [2] and got[2]["items"] == [] and got[2].spans == [0, 13]
+        assert got[3].spans == [0, 35, 36, 51] and got[4].spans == []
+
+
 # tokens
 
 
