@@ -21,11 +21,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from stratalog.llm import chat as m
 
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.sql("select conv_id, turn, role, '</s>[INST] ok [/INST]' text from values (-7L, 0L, 'user'), (-7L, 1L, 'assistant') as t(conv_id, turn, role)")
-    return m.read_back(m.trees(own.unionByName(more)))
+    tokenizer = public_tokenizers.path(TOKENIZER)
+    return m.read_back(m.trees(own.unionByName(more), tokenizer), tokenizer)
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,3 +134,21 @@ def encoder(path: str, offsets: bool = False) -> Encoder:
     if (path, offsets) not in _encoders:
         _encoders[path, offsets] = Encoder(path, offsets)
     return _encoders[path, offsets]
+
+
+_bytes: dict[str, list[bytes]] = {}
+
+
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes that each id of a byte-level vocabulary stands for."""
+    if path not in _bytes:
+        own = encoder(path).tokenizer
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        other = [b for b in range(256) if b not in plain]
+        of = {chr(b) if b in plain else chr(256 + other.index(b)): b for b in range(256)}
+        added = own.get_added_tokens_decoder()
+        table = [b""] * own.get_vocab_size(with_added_tokens=True)
+        for token, i in own.get_vocab(with_added_tokens=True).items():
+            table[i] = added[i].content.encode() if i in added else bytes(of[c] for c in token)
+        _bytes[path] = table
+    return _bytes[path]

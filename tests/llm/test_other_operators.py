@@ -8,8 +8,13 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+import public_tokenizers
+
 from stratalog.llm import chat, nearest, shards
 from stratalog.llm.components import components
+from stratalog.llm.tokens import token_bytes
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @given(st.lists(st.tuples(st.text(alphabet="a<|>\\end/ \n", max_size=12), st.text(alphabet="a<|>\\end/ \n", max_size=20)), max_size=5))
@@ -17,13 +22,20 @@ def test_chat_round_trip(turns):
     assert chat.parse("".join(chat.render(r, t) for r, t in turns)) == turns
 
 
-def test_chat_trees(spark, monkeypatch):
-    monkeypatch.setattr(chat, "PART_LEAVES", 3)
+@pytest.mark.parametrize(("leaves", "chars", "nodes"), [(500, 1_000_000, 200_000), (3, 1_000_000, 200_000), (2, 60, 0), (1, 1, 200_000)])
+def test_chat_trees(spark, monkeypatch, leaves, chars, nodes):
+    monkeypatch.setattr(chat, "PART_LEAVES", leaves)
+    monkeypatch.setattr(chat, "PART_CHARS", chars)
+    monkeypatch.setattr(chat, "BROADCAST_NODES", nodes)
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|end|>"), (2, 0, "user", "hi"), (2, 1, "assistant", "<|end|>"), (2, 2, "user", None), (3, 0, None, "\\<|"), (None, 0, "assistant", "x"), (4, 5, "assistant", "b"), (4, 5, "assistant", "b"), (4, 1, "assistant", "a")]
     rows += [(100 + k, 0, "user", "hi") for k in range(20)]
+    rows += [(200 + k, t, r, x) for k in range(12) for t, r, x in ((0, "user", "hi"), (1, "assistant", f"é {k % 3} <|endoftext|>"), (2, "endoftext", "日本 " * (k % 4)), (3, "assistant", f"🙂{k // 2}"))]
+    rows += [(300, t, "assistant", f"t{t}") for t in range(30)]
     table = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, node string")
-    trees = chat.trees(table).collect()
-    got = {r.conv_id: r for r in chat.read_back(chat.trees(table)).collect()}
+    written = chat.trees(table, TOKENIZER)
+    trees, decoded = written.collect(), token_bytes(TOKENIZER)
+    got = {r.conv_id: r for r in chat.read_back(written, TOKENIZER).collect()}
+    assert len(got) == len({r[0] for r in rows})
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for c in {r[0] for r in rows}:
         own = sorted(((t, r or "", x or "") for i, t, r, x in rows if i == c))
@@ -31,14 +43,26 @@ def test_chat_trees(spark, monkeypatch):
         assert got[c].n_turns == len(own) and got[c].turns_sha256 == digest("".join(f"{r}\n{x}\n" for _, r, x in own))
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), digest(loss))
         assert got[c].formatted_chars == sum(len(chat.render(r, x)) for _, r, x in own)
+    text = lambda t, a, b: b"".join(decoded[i] for i in t.ids[a:b]).decode()
+    trunks = {t.root: {n.node: n for n in t.nodes} for t in trees if t.part == 0}
     for t in trees:
-        for k, n in enumerate(t.nodes):  # spans tile the text, parents come first, positions count from the root
+        for k, n in enumerate(t.nodes):  # spans tile the ids, parents come first, positions count from the root
             assert n.start == (t.nodes[k - 1].stop if k else 0) and n.parent < k
-            assert n.position == sum(b - a for a, b in zip(n.attends[::2], n.attends[1::2]))
-        assert t.nodes[-1].stop == len(t.text)
-    both = [t for t in trees if any(x.conv_id == 2 for x in t.leaves)]
-    assert len(both) == 1 and chat.trees(table.limit(0)).count() == 0
-    assert sum(any(n.role == "user" and "hi" in t.text[n.start : n.stop] for n in t.nodes) for t in trees) > 1  # the hot turn is split
+            up = n if n.parent < 0 else t.nodes[n.parent]
+            while up.parent >= 0:
+                up = t.nodes[up.parent]
+            hung = trunks[t.root][up.link] if up.link else None
+            assert n.position == sum(b - a for a, b in zip(n.attends[::2], n.attends[1::2])) + (hung.position + hung.stop - hung.start if hung else 0)
+            assert t.positions[n.start : n.stop] == list(range(n.position, n.position + n.stop - n.start))
+            # the mask is the text of an assistant turn, and nothing else
+            (role, said), mask = chat.parse(text(t, n.start, n.stop))[0], text(t, n.loss_start, n.loss_stop)
+            assert role == n.role and chat.unescape(mask) == (said if role == "assistant" else "")
+        assert not t.nodes or t.nodes[-1].stop == len(t.ids)
+    assert len({n.node for t in trees for n in t.nodes}) == sum(len(t.nodes) for t in trees)  # every shared turn stands once
+    prefixes = {tuple((r or "", x or "") for _, _, r, x in sorted((r for r in rows if r[0] == c), key=lambda r: (r[1], r[2] or "", r[3] or ""))[:n]) for c in {r[0] for r in rows} for n in range(1, 31)}
+    assert sum(len(t.nodes) for t in trees) == len(prefixes)
+    assert chat.read_back(chat.trees(table.limit(0), TOKENIZER), TOKENIZER).count() == 0
+    assert (max(t.parts for t in trees) > 1) == (leaves < 500)
 
 
 def test_nearest_finds_the_largest_products(spark):
