@@ -1,8 +1,9 @@
 """Packing token sequences into bins: best fit decreasing, then swap-based local search.
 
 Documents are encoded whole, closed by an end id and cut into pieces only if longer than a bin (the first
-piece takes the remainder, the others fill a bin each). Pieces are dealt by a hash of their id to groups of
-about GROUP, packed in parallel; each group's last bin may stay partly empty.
+piece takes the remainder, the others fill a bin each). A piece that fills a bin is one. The others are
+numbered as they are written, and dealt by a hash of that number to groups of about GROUP, packed in parallel, so rows
+that repeat are spread like any others.
 
 Within a group the search takes the least filled bin and moves its pieces into other underfull bins,
 exchanges one for a shorter one, or for two shorter ones. Bins without a step are tried again after later
@@ -20,6 +21,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +32,12 @@ CAPACITY, END_ID, GROUP = 1024, 2, 8192
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, and place, a number of its own."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        own = encoder(tokenizer)
+        own, place = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for b in batches:
             ids, row, piece, start, length, crc = b.column("doc_id"), [], [], [], [], []
             for i, text in enumerate(b.column("text")):
@@ -45,9 +47,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 raw = memoryview(values.tobytes())
                 for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
                     row.append(i), piece.append(k), start.append(x), length.append(y - x), crc.append(zlib.crc32(raw[4 * x : 4 * y]))
-            yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(row, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(row, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "place": pa.array(np.arange(place, place + len(row)))})
+            place += len(row)
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, place long")
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -143,17 +146,16 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> li
 
 
 def packed(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    full = [[i] for i, n in enumerate(lengths) if n == capacity]
-    rest = [i for i, n in enumerate(lengths) if n < capacity]
-    own = [lengths[i] for i in rest]
-    return full + [[rest[i] for i in b] for b in local_search(own, best_fit(own, capacity), capacity)]
+    return local_search(lengths, best_fit(lengths, capacity), capacity)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, and its sequence_id and offset there."""
     cut = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
-    groups = max(1, round(cut.count() / group))
-    dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(groups)))
+    full = cut.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("place")).withColumn("offset", F.lit(0).cast("long")).drop("place")
+    rest = cut.filter(F.col("length") < capacity)
+    groups = max(1, round(rest.count() / group))
+    dealt = rest.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(groups))).drop("place")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
@@ -168,4 +170,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         out = frame.iloc[order]
         return out.assign(sequence_id=out.part * (1 << 32) + seq, offset=ends - own - base[seq]).drop(columns="part")
 
-    return dealt.groupBy("part").applyInPandas(run, f"doc_id {dict(cut.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    found = dealt.groupBy("part").applyInPandas(run, f"doc_id {dict(cut.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return full.unionByName(found)

@@ -1,7 +1,8 @@
 """Token counts per section: whole texts are encoded once, tokens are attributed by their offsets.
 
 Sections are the lines of a text (a line break ends the section it belongs to), or any character spans
-that `sections` gives. Token starts and section bounds are sorted, so the interval join is one merge.
+that `sections` gives. Token starts and section bounds are sorted, so the interval join is one search of all
+in all.
 A token that crosses a border goes by `rule`: "first" (the section of its first character), "last" (of its
 last), or "split" (to each in proportion to the characters it has there). A token before, between or after
 given spans counts to no section. Counts of a text's sections and of its rest always add up to its tokens.
@@ -11,16 +12,20 @@ Defined cases: null and empty texts have no tokens and one empty section; rows w
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.tokens import encoder
+from stratalog.llm.batches import slices, utf8
 from stratalog.llm.shared import small_batches
+from stratalog.llm.tokens import tokenizer_of
 
+#: bytes of text whose encodings are held at once; a longer text is encoded alone
+TOGETHER = 100_000
 RULES = ("first", "last", "split")
 
 
@@ -30,14 +35,11 @@ def lines(text: str) -> list[tuple[int, int]]:
     return list(zip(cuts, [*ends, len(text)]))
 
 
-def attribute(starts: np.ndarray, n_chars: int, spans: list[tuple[int, int]], rule: str = "first") -> tuple[np.ndarray, int]:
-    """Tokens (or shares of tokens) of each of the sorted, disjoint spans; and how many tokens cross a border.
-
-    A token reaches from its start to the next token's start; tokens that share a character have no length
-    and lie at that character."""
+def attribute(starts: np.ndarray, stops: np.ndarray, spans: list[tuple[int, int]], rule: str = "first") -> tuple[np.ndarray, int]:
+    """Tokens (or shares of tokens) of each of the sorted, disjoint spans; and how many tokens cross a border. A token reaches
+    from its start to its stop, where the tokenizer's offsets have them; several that make up one character all have that."""
     begin, end = (np.array([s[k] for s in spans], np.int64) for k in (0, 1))
-    starts = np.asarray(starts, np.int64)
-    stops = np.maximum(np.append(starts[1:], n_chars), starts) if len(starts) else starts
+    starts, stops = np.asarray(starts, np.int64), np.asarray(stops, np.int64)
     final = np.maximum(stops - 1, starts)
     low, high = (np.searchsorted(begin, at, "right") - 1 for at in (starts, final))
     # spans of no characters share their begin with the next: the last of them is found, as it should be
@@ -53,6 +55,15 @@ def attribute(starts: np.ndarray, n_chars: int, spans: list[tuple[int, int]], ru
     return out, int(crosses.sum())
 
 
+def encoded(tokenizer, texts: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
+    """Each text and the offsets (start and stop, as characters) of its tokens. Whole texts are encoded, some together."""
+    _, offsets = utf8(texts)
+    for a, b in slices(offsets, TOGETHER):
+        own = [t or "" for t in texts.slice(a, b - a).to_pylist()]
+        for text, e in zip(own, tokenizer.encode_batch(own, add_special_tokens=False)):
+            yield text, np.fromiter(chain.from_iterable(e.offsets), np.int64).reshape(-1, 2)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", sections: Callable[[str], list[tuple[int, int]]] = lines, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, n_sections, n_crossing and section_tokens, in the order of the sections."""
     small_batches(docs.sparkSession)
@@ -61,16 +72,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", sections:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        own = encoder(tokenizer, offsets=True)
+        own = tokenizer_of(tokenizer)
         for b in batches:
             tokens, n_sections, crossing, counts = [], [], [], []
-            for text in b.column("text"):
-                text = text.as_py() or ""
-                starts, spans = own.values(text), sections(text)
-                got, crosses = attribute(starts, len(text), spans, rule)
-                tokens.append(len(starts)), n_sections.append(len(spans)), crossing.append(crosses), counts.append(got)
-            at = np.append(0, np.cumsum(n_sections)).astype(np.int32)
+            for text, at in encoded(own, b.column("text")):
+                spans = sections(text)
+                got, crosses = attribute(at[:, 0], at[:, 1], spans, rule)
+                tokens.append(len(at)), n_sections.append(len(spans)), crossing.append(crosses), counts.append(got)
+            cuts = np.append(0, np.cumsum(n_sections)).astype(np.int32)
             flat = np.concatenate(counts) if counts else np.zeros(0)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(tokens, pa.int64()), "n_sections": pa.array(n_sections, pa.int64()), "n_crossing": pa.array(crossing, pa.int64()), "section_tokens": pa.ListArray.from_arrays(pa.array(at), pa.array(flat))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(tokens, pa.int64()), "n_sections": pa.array(n_sections, pa.int64()), "n_crossing": pa.array(crossing, pa.int64()), "section_tokens": pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))})
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, n_sections long, n_crossing long, section_tokens array<double>")

@@ -1,15 +1,18 @@
-"""Exact token ids or offsets of whole texts, with a bounded cache of the stretches between spaces.
+"""Exact token ids of whole texts, with a bounded cache of the stretches between spaces.
 
 A byte-level BPE whose pre-tokens are ` ?letters`, ` ?digits`, ` ?others` or white space always starts a
 new token at a single space between two non-space characters, so a text can be cut there and each stretch
 (with the space before it) encoded by itself. Within a stretch it also starts one where a run of letters ends
 and on both sides of a lone line break, so an unknown stretch is put together from parts that mostly are known.
 Stretches and parts that recur are encoded once per worker. A text that holds the string of an added token, such
-as the end of a text, is encoded as a whole, so that the string becomes that token as the tokenizer has it.
+as the end of a text, is encoded as a whole, so that the string becomes that token as the tokenizer has it. So is
+every text where the file's pre-tokenizer, normalizer or model is another than that.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from array import array
 
@@ -21,48 +24,52 @@ _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def _byte_letters() -> dict[int, str]:
-    """How byte-level vocabularies write each of those letters: printable bytes as themselves, the n-th other
-    byte as character 256 + n."""
+    """How byte-level vocabularies write each byte: printable ones as themselves, the n-th other as character 256 + n."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     other = [b for b in range(256) if b not in plain]
-    shown = {b: chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)}
-    return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(256) if chr(c).isalpha()}
+    return {b: chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)}
 
 
 _SHOWN = _byte_letters()
-_SPACE = "\u0120"  # the byte of a space
+_WRITTEN = {c: "".join(_SHOWN[b] for b in chr(c).encode()) for c in range(256) if chr(c).isalpha()}
+_SPACE = _SHOWN[32]
+
+
+def tokenizer_of(path: str):
+    """The tokenizer as its file has it, on one thread, as a task has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def cuts_at_spaces(path: str) -> bool:
+    """Whether the file is a byte-level BPE of which the rules above hold."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    before, model = own.get("pre_tokenizer") or {}, own.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    merges = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return bool(plain and merges and not own.get("normalizer"))
 
 
 class Encoder(dict):
-    """Maps a stretch without its leading space to the bytes of its values, or None where it can't stand alone."""
+    """Maps a stretch without its leading space to the bytes of its ids, or None where it can't stand alone."""
 
-    def __init__(self, path: str, offsets: bool = False):
+    def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer_of(path)
+        self.whole = not cuts_at_spaces(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.offsets = offsets
         self.parts: dict[str, bytes] = {}
-        self.merges = self.tokenizer.model.tokenize
+        self.merges = getattr(self.tokenizer.model, "tokenize", None)
 
     def word(self, letters: str, space: str) -> bytes:
         """A run of letters is one pre-token, so its ids come from the merges alone."""
-        if self.offsets:
-            if not letters.isascii():
-                return self.direct((" " if space else "") + letters)
-            # the merges count bytes, of which the space's stand-in has two
-            return array("I", [max(t.offsets[0] - len(space), 0) for t in self.merges(space + letters)]).tobytes()
-        return array("I", [t.id for t in self.merges(space + letters.translate(_SHOWN))]).tobytes()
+        return array("I", [t.id for t in self.merges(space + letters.translate(_WRITTEN))]).tobytes()
 
     def direct(self, text: str) -> bytes:
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        return array("I", [a for a, _ in e.offsets] if self.offsets else e.ids).tobytes()
-
-    def moved(self, values: bytes, by: int) -> bytes:
-        if not self.offsets or not by:
-            return values
-        return array("I", [x + by for x in array("I", values)]).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, stretch: str) -> bytes | None:
         if not stretch or stretch[0].isspace() or stretch[-1].isspace():
@@ -71,7 +78,7 @@ class Encoder(dict):
             m = _LETTERS.match(stretch)
             cut = m.end() if m else 0
             if cut and cut < len(stretch) and not stretch[cut].isalpha():
-                value = self[stretch[:cut]] + self.moved(self.bare(stretch[cut:]), cut + 1)
+                value = self[stretch[:cut]] + self.bare(stretch[cut:])
             else:
                 value = self.word(stretch, _SPACE) if cut == len(stretch) else self.direct(" " + stretch)
         if len(stretch) <= LONGEST:
@@ -79,16 +86,16 @@ class Encoder(dict):
         return value
 
     def bare(self, text: str) -> bytes:
-        """The values of a stretch, or a part of one, that no space precedes."""
+        """The ids of a stretch, or a part of one, that no space precedes."""
         if (value := self.parts.get(text)) is not None:
             return value
         before, line, after = text.partition("\n")
         m = _LETTERS.match(text)
         cut = m.end() if m else 0
         if line and before and after and not before[-1].isspace() and not after[0].isspace():
-            value = self.bare(before) + self.moved(self.bare(line), len(before)) + self.moved(self.bare(after), len(before) + 1)
+            value = self.bare(before) + self.bare(line) + self.bare(after)
         elif cut and cut < len(text) and not text[cut].isalpha():
-            value = self.bare(text[:cut]) + self.moved(self.bare(text[cut:]), cut)
+            value = self.bare(text[:cut]) + self.bare(text[cut:])
         else:
             value = self.word(text, "") if cut == len(text) else self.direct(text)
         if len(text) <= LONGEST:
@@ -96,8 +103,8 @@ class Encoder(dict):
         return value
 
     def values(self, text: str) -> np.ndarray:
-        """Ids, or with `offsets` the place of each token's first character."""
-        if any(a in text for a in self.added):
+        """The ids of a text."""
+        if self.whole or any(a in text for a in self.added):
             return np.frombuffer(self.direct(text), np.uint32)
         if len(self) > CACHED or len(self.parts) > CACHED:
             self.clear(), self.parts.clear()
@@ -106,12 +113,7 @@ class Encoder(dict):
         if (not head or head[0].isspace() or head[-1].isspace()) or None in found:
             parts, found = self._joined(parts)
             head = parts[0]
-        first = self.direct(head)
-        out = np.frombuffer(first + b"".join(found), np.uint32)
-        if self.offsets and found:
-            ends = np.cumsum([len(p) + 1 for p in parts[:-1]]) - 1
-            out = out + np.concatenate([np.zeros(len(first) // 4, np.int64), np.repeat(ends, [len(x) // 4 for x in found])])
-        return out
+        return np.frombuffer(self.direct(head) + b"".join(found), np.uint32)
 
     def _joined(self, parts: list[str]) -> tuple[list[str], list[bytes]]:
         """The text cut only at spaces between two non-space characters."""
@@ -126,14 +128,14 @@ class Encoder(dict):
         return joined, found
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str, offsets: bool = False) -> Encoder:
-    """One per worker process, tokenizer and kind."""
-    if (path, offsets) not in _encoders:
-        _encoders[path, offsets] = Encoder(path, offsets)
-    return _encoders[path, offsets]
+def encoder(path: str) -> Encoder:
+    """One per worker process and tokenizer."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 _bytes: dict[str, list[bytes]] = {}
@@ -143,9 +145,7 @@ def token_bytes(path: str) -> list[bytes]:
     """The bytes that each id of a byte-level vocabulary stands for."""
     if path not in _bytes:
         own = encoder(path).tokenizer
-        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        other = [b for b in range(256) if b not in plain]
-        of = {chr(b) if b in plain else chr(256 + other.index(b)): b for b in range(256)}
+        of = {c: b for b, c in _SHOWN.items()}
         added = own.get_added_tokens_decoder()
         table = [b""] * own.get_vocab_size(with_added_tokens=True)
         for token, i in own.get_vocab(with_added_tokens=True).items():
