@@ -1,16 +1,19 @@
 """Quality classifier: hashed word and character n-gram vectors, averaged per document, softmax.
 
-Features of a whole text: each word between white space, each pair of neighbouring words, each repetition
-of a word a few places on (one feature per distance), and the byte n-grams of each word with its borders.
+Features of a whole text: each word between white space, each pair of neighbouring words, and the character n-grams of
+each word with its borders. A word pair, next to each other or up to GAPS places apart, whose two words are one word
+is besides a feature whichever word it is, with a bucket for each distance that no other feature shares: hashed pairs
+can't learn from the repetition of some words that of others.
 All are hashed into BUCKETS vectors of DIM numbers, learned with the output layer by stochastic gradient
 descent in numpy on the driver. Since the output is linear in the average, scoring needs one number per
 bucket: a text's score is the logistic of the mean of its features' numbers.
 
-Bounds of the sample that is learned from: TRAIN_DOCS labelled rows of at most DOC_CHARS characters,
-picked by a hash of their id. All other rows are only scored.
+Bounds of the sample that is learned from: TRAIN_DOCS labelled rows, picked by a hash of their id, whole, and fewer where
+they would exceed TRAIN_BYTES together. All other rows are only scored.
 
 Defined cases: null and empty texts have no features and get the score of the bias alone; without labels
-all scores are 0.5; rows whose id or label is null are not learned from; labels above 0 count as 1.
+all scores are 0.5; rows whose id or label is null are not learned from; labels above 0 count as 1; of rows
+that share an id the text that sorts first is learned from, with the id's largest label. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from stratalog.llm.batches import Words, byte_table, mix, segment_sum, slices, u
 from stratalog.llm.shared import small_batches
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 18, 12, 5, 4.0
-TRAIN_DOCS, DOC_CHARS, THRESHOLD, SEED = 5000, 20_000, 0.3, 11
-GRAMS = (1, 3, 4)
+TRAIN_DOCS, TRAIN_BYTES, THRESHOLD, SEED = 5000, 48_000_000, 0.3, 11
+GRAMS, GAPS = (1, 3, 4), 3
 _CASED = byte_table([0x20, *range(0x09, 0x0E)], lower=False)
 
 
@@ -36,7 +39,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
     n_docs, mask = len(offsets) - 1, np.uint64(BUCKETS - 1)
     words = Words(raw, offsets, _CASED)
     yield (words.hash & mask).astype(np.int64), words.first
-    for gap in (1, 2, 3):
+    for gap in range(1, GAPS + 1):
         same = words.doc[gap:] == words.doc[:-gap]
         if gap == 1:
             pair = mix(words.hash[:-1] * np.uint64(3) + words.hash[1:])
@@ -44,25 +47,28 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield (pair[same] & mask).astype(np.int64), kept[np.minimum(words.first, len(same))]
         again = same & (words.hash[gap:] == words.hash[:-gap])
         kept = np.append(0, np.cumsum(again))
-        yield np.full(int(kept[-1]), gap, np.int64), kept[np.minimum(words.first, len(again))]
-    inside = _CASED[raw] > 0
-    byte = np.where(inside, raw, 32).astype(np.uint32)
+        yield np.full(int(kept[-1]), BUCKETS + gap - 1, np.int64), kept[np.minimum(words.first, len(again))]
+    # characters, with a space for each byte between words
+    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    begins = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[offsets]
+    inside = (points >= 256) | (_CASED[np.minimum(points, 255)] > 0)
+    points = np.where(inside, points, 32).astype(np.uint32)
     for n in GRAMS:
-        m = len(raw) - n + 1
+        m = len(points) - n + 1
         if m <= 0:
             continue
         code, ok = np.full(m, n, np.uint32), np.ones(m, bool)
         for j in range(n):
-            code = code * np.uint32(0x01000193) ^ byte[j : j + m]
+            code = (code ^ points[j : j + m]) * np.uint32(0x01000193)
             if 0 < j < n - 1 or n == 1:
                 ok &= inside[j : j + m]
-        crosses = offsets[1:-1]
+        crosses = begins[1:-1]
         for j in range(1, n):  # a gram does not run into the next document
             at = crosses - j
             ok[at[(at >= 0) & (at < m)]] = False
         kept = np.append(0, np.cumsum(ok))
         code = (code[ok] * np.uint32(0x9E3779B1)) >> np.uint32(32 - (BUCKETS.bit_length() - 1))
-        yield code.astype(np.int64), kept[np.minimum(offsets, m)]
+        yield code.astype(np.int64), kept[np.minimum(begins, m)]
 
 
 class Classifier:
@@ -84,7 +90,7 @@ class Classifier:
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE) -> Classifier:
     """Plain stochastic gradient descent, one document a step, the rate falling to nothing."""
     if not texts:
-        return Classifier(np.zeros(BUCKETS), 0.0)
+        return Classifier(np.zeros(BUCKETS + GAPS), 0.0)
     rng = np.random.default_rng(SEED)
     own: list[tuple[np.ndarray, np.ndarray]] = []
     raw, offsets = utf8(pa.array(texts, pa.large_string()))
@@ -93,7 +99,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
         for d in range(b - a):
             ids, n = np.unique(np.concatenate([x[at[d] : at[d + 1]] for x, at in blocks]), return_counts=True)
             own.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + GAPS, DIM)).astype(np.float32)
     output = rng.uniform(-1 / DIM, 1 / DIM, (DIM, 2)).astype(np.float32)
     y = np.array(labels) > 0
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
@@ -118,20 +124,27 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     return Classifier((vectors @ (output[:, 1] - output[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Classifier:
     """A classifier from the labelled rows of docs for which the SQL condition `learn` on id_col holds."""
-    rows = labels.filter(f"({learn}) and {id_col} is not null and {label_col} is not null").select(F.col(id_col).alias("i"), F.col(label_col).alias("y"))
+    rows = labels.filter(f"({learn}) and {id_col} is not null and {label_col} is not null")
+    rows = rows.groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).alias("y")).withColumn("h", F.xxhash64(F.col("i").cast("string")))
     n = rows.count()
-    part = F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(1_000_003)) < int(1_000_003 * min(1.0, 1.2 * train_docs / max(n, 1))) + 1
+    part = F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * min(1.0, 1.2 * train_docs / max(n, 1))) + 1
     picked = rows.filter(part).limit(2 * train_docs)
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter((F.length("t") <= DOC_CHARS) & (F.length("t") > 0))
-    got = texts.join(F.broadcast(picked), "i").select("i", "t", "y").collect()  # at most 2 * train_docs different ids
-    order = sorted({(r.t, int(r.y)): r.i for r in got}.items(), key=lambda x: (hash_of(x[1]), x[0]))[:train_docs]
-    return train([t for (t, _), _ in order], [y for (_, y), _ in order])
-
-
-def hash_of(i: int) -> int:
-    return int(mix(np.array([abs(int(i))], np.uint64))[0])
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.col("t") != "")
+    # lengths first, so that no more text than the bound comes to the driver; rows that share an id count once
+    sizes = texts.select("i", F.octet_length("t").alias("n")).join(F.broadcast(picked), "i").groupBy("i", "h", "y").agg(F.max("n").alias("n")).collect()  # 2 * train_docs at most
+    chosen, size = [], 0
+    for r in sorted(sizes, key=lambda r: (r.h, str(r.i))):
+        if len(chosen) < train_docs and size + r.n <= train_bytes:
+            size += r.n
+            chosen.append((r.i, r.h, r.y))
+    if not chosen:
+        return train([], [])
+    wanted = docs.sparkSession.createDataFrame(chosen, f"i {dict(labels.dtypes)[id_col]}, h long, y {dict(labels.dtypes)[label_col]}")
+    got = texts.join(F.broadcast(wanted), "i").groupBy("i", "h", "y").agg(F.min("t").alias("t")).collect()
+    order = {(r.t, int(r.y)): None for r in sorted(got, key=lambda r: (r.h, r.t))}  # equal texts once a label
+    return train([t for t, _ in order], [y for _, y in order])
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

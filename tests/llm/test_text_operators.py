@@ -427,6 +427,44 @@ def test_quality_learns_and_scores_everything(spark, docs):
     assert quality.keep_good(table, model).columns == table.columns
 
 
+def test_quality_learns_from_long_texts_and_any_ids(spark):
+    import random
+
+    r = random.Random(6)
+    # only texts of more than 30,000 characters show what is bad; ids are no numbers, and some repeat
+    rows = [(f"id{i}", ("%%% " if i % 2 else "") + " ".join(r.choice(WORDS["en"]) + ("%%%" if i % 2 else "") for _ in range(6000))) for i in range(12)]
+    rows += [("id0", "again"), ("id0", "again"), (None, "x")]
+    table = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"id{i}", 1 - i % 2) for i in range(12)] + [("id3", 0), ("none", 1)], "doc_id string, quality int")
+    model = quality.fit(table, labels, "true")
+    got = {x.doc_id: x.score for x in quality.score(spark.createDataFrame([("a", "the and of with"), ("b", "the%%% and%%% of%%%")], "doc_id string, text string"), model).collect()}
+    assert got["a"] > 0.5 > got["b"]
+    few = quality.fit(table, labels, "true", train_bytes=60_000)  # one text or two
+    assert few.table.any() and not quality.fit(table, labels, "true", train_bytes=10).table.any()
+
+
+def test_scores_equal_a_plain_mean():
+    """Each text by itself, feature by feature: mean of the vectors, output layer, logistic."""
+    import pyarrow as pa
+    import random
+
+    r = random.Random(4)
+    texts = ["", "a", "aé bb", "日本 語 a", *[" ".join("".join(r.choice("abé!") for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 30))) for _ in range(50)]]
+    model = quality.train([t for t in texts if t][:30], [k % 2 for k in range(30)], epochs=2)
+    got = model.scores(pa.array([*texts, None]))
+    for t, s in zip(texts, got):
+        words = re.findall("[^\x20\x09-\x0d]+", t)
+        n = len(words) + max(len(words) - 1, 0) + sum(words[k] == words[k + gap] for gap in range(1, quality.GAPS + 1) for k in range(len(words) - gap))
+        for g in quality.GRAMS:  # runs that hold no space, but for their first and last character
+            grams = [t[k : k + g] for k in range(len(t) - g + 1)]
+            n += sum(" " not in (x if g == 1 else x[1:-1]) for x in grams)
+        flat = [int(i) for ids, _ in quality.features(*quality.utf8(pa.array([t]))) for i in ids]
+        assert len(flat) == n, t
+        mean = sum(model.table[i] for i in flat) / max(1, len(flat))
+        assert s == pytest.approx(1 / (1 + math.exp(-(mean + model.bias))), rel=1e-9), t
+    assert got[-1] == got[0] == pytest.approx(1 / (1 + math.exp(-model.bias)))
+
+
 def test_features_are_of_one_document(docs):
     import pyarrow as pa
 
