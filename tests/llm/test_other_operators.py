@@ -104,10 +104,31 @@ def test_nearest_keeps_ties_and_neighbours_beside_copies(spark):
         assert [v for _, v in sorted(got[q])] == np.lexsort((np.arange(1500), -s))[:20].tolist(), q
 
 
+def test_recall_over_several_blocks(spark, monkeypatch):
+    """Many blocks of vectors and of queries, so that their results are merged; copies over several blocks."""
+    monkeypatch.setattr(nearest, "BLOCK", 128)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 7)
+    r = np.random.default_rng(3)
+    x = r.normal(0, 1, (1200, 24))
+    x[r.permutation(1200)[:60]] = x[40]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for g in nearest.search(table, "id % 20 = 0").collect():
+        got.setdefault(g.query_id, []).append((g.rank, g.vec_id))
+    assert len(got) == 60
+    for q in range(0, 1200, 20):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(1200), -s))[:20].tolist()
+        own = [v for _, v in sorted(got[q])]
+        assert len(own) == 20 and len(set(own) & set(best)) >= 18, q  # 0.9 for each query
+
+
 def test_shards_compact_without_loss(spark, tmp_path, docs):
     table = docs([None, "", "a", "a", *[f"text {i} " * 50 for i in range(400)]], [None, 1, 1, 2, *range(10, 410)])
     at, rows = shards.sharded(table, str(tmp_path / "t"), arrivals=6, target_bytes=1 << 20)
-    assert sorted(map(str, rows.collect())) == sorted(map(str, table.collect()))
+    assert sorted(map(str, rows.drop(shards.ADDED).collect())) == sorted(map(str, table.collect()))
+    assert {(r.doc_id, r[shards.ADDED]) for r in rows.collect()} == {(r.doc_id, 1 + (r.doc_id or 0) % 6) for r in table.collect()}
     files = at.manifest()["files"]
     assert len(files) == 1 and at.versions() == [at.manifest()["version"]]
     before = at.manifest()["version"]
@@ -129,14 +150,55 @@ def test_shards_compact_without_loss(spark, tmp_path, docs):
 def test_a_version_is_taken_once(spark, tmp_path, docs):
     a, b = (shards.ShardedTable(spark, str(tmp_path / "c")) for _ in range(2))
     a.append(docs(["x"]))
-    real, late = a._commit, []
+    late = []
 
-    def change(old):
-        if not late:  # another writer commits between reading and renaming
+    def change(old, version):
+        if not late:  # another writer commits between reading and publishing
             late.append(b.append(docs(["y"])))
         return old
 
-    assert real(change) == 3 and a.read().count() == 2
+    assert a._commit(change) == 3 and late == [2] and a.read().count() == 2
+
+
+def test_publishing_is_contended(spark, tmp_path, docs):
+    """The step that gives a version its name, by many at once: one gets each number, and no row is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    a = shards.ShardedTable(spark, str(tmp_path / "c"))
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda k: a.append(docs([f"x{k}"])), range(16)))
+    assert sorted(got) == list(range(1, 17)) and {r.text for r in a.read().collect()} == {f"x{k}" for k in range(16)}
+    assert {(r.text, r[shards.ADDED]) for r in a.read(lineage=True).collect()} == {(f"x{k}", v) for k, v in enumerate(got)}
+    final, names = a._path("manifest/v%010d.json" % 99), [a._path(f"manifest/.t{k}") for k in range(8)]
+    for n in names:
+        a._fs.create(n, False).close()
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda n: a._publish(n, final), names)) == 1
+
+
+def test_lost_races_and_failed_writes_leave_nothing(spark, tmp_path, docs):
+    import os
+
+    a, b = (shards.ShardedTable(spark, str(tmp_path / "c"), fan=2) for _ in range(2))
+    for k in range(4):
+        a.append(docs([f"x{k}"]))
+    real = a._written
+
+    def late(df):  # another writer compacts while this one merges
+        out = real(df)
+        a._written = real
+        b.compact()
+        return out
+
+    a._written = late
+    a.compact()
+    assert a.versions() == [1, 2, 3, 4, 5] and {r.text for r in a.read().collect()} == {f"x{k}" for k in range(4)}
+    a._written(docs(["orphan"]).coalesce(1))  # a write that is never committed
+    files = lambda: {os.path.join(d, f) for d, _, fs in os.walk(tmp_path / "c" / "data") for f in fs if f.endswith(".parquet")}
+    a.vacuum()
+    assert len(files()) == 2  # within the grace period it stays
+    a.vacuum(grace_seconds=-10)
+    assert len(files()) == 1 == len(a.manifest()["files"]) and a.read().count() == 4
 
 
 def test_components(spark):
