@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.batches import ALNUM, Words, mix, segment_sum, utf8
-from stratalog.llm.shared import small_batches, written
+from stratalog.llm.shared import discard, small_batches, written
 
 ORDERS, ALPHA, KAPPA = 2, 0.5, 1.0
-SLICE, PART = 6 << 20, 1_500_000
+SLICE, PART = 3 << 20, 800_000
 #: ids up to which a lookup table is broadcast; more are joined by shuffle
 BROADCAST_IDS = 1_000_000
 
@@ -77,21 +77,36 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64) if data else np.zeros(0, np.int64)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, in as many bytes each as the largest needs, all first bytes together and so on."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    width = data[0]
+    raw = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
+    steps = np.zeros((len(raw), 8), np.uint8)
+    steps[:, :width] = raw
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
 @dataclass
 class Models:
-    """Written n-gram counts (part, words, tokens, target_tokens, keys, background, target), what the smoothing needs, and the ids
-    of the target's documents."""
+    """Written n-gram counts (part, words, tokens, target_tokens, keys, background, target), what the smoothing needs, and the
+    target's ids."""
 
-    table: DataFrame
+    table: DataFrame | None
     parts: int
     orders: int
     vocabulary: int
     totals: tuple[int, int]
-    target: DataFrame
+    target: DataFrame | None
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, target: DataFrame | None, slice_bytes: int) -> DataFrame:
-    """(slice, doc_id, text, is_target), written: the rows dealt into slices."""
+    """(slice, bytes, rows), written: doc_id, text and is_target of about slice_bytes of text in each row, compressed."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if target is None:
@@ -101,80 +116,98 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, target: DataFrame | None,
         few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         ids = ids.withColumn("is_target", F.lit(True))
         rows = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
-    kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
-        now, filled = TaskContext.get().partitionId() << 32, 0
+        now, held, filled = TaskContext.get().partitionId() << 32, [], 0
         for b in batches:
-            own = []
-            for n in np.diff(utf8(b.column("text"))[1]).tolist():
+            b = pa.record_batch({"doc_id": b.column("doc_id"), "text": b.column("text").cast(pa.large_string()), "is_target": b.column("is_target")})
+            a = 0
+            for k, n in enumerate(np.diff(utf8(b.column("text"))[1]).tolist()):
                 if filled and filled + n > slice_bytes:
-                    now, filled = now + 1, 0
+                    yield _slice(now, filled, [*held, b.slice(a, k - a)])
+                    now, held, filled, a = now + 1, [], 0, k
                 filled += n
-                own.append(now)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(own, pa.int64())} | {c: b.column(c) for c in ("doc_id", "text", "is_target")})
+            held.append(b.slice(a))
+        if sum(h.num_rows for h in held):
+            yield _slice(now, filled, held)
+
+    return written(rows.mapInArrow(run, "slice long, bytes long, rows binary"), "slices")
 
-    return written(rows.mapInArrow(run, f"slice long, doc_id {kind}, text string, is_target boolean"), "slices")
 
+def _slice(number: int, size: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    whole = pa.Table.from_batches(batches).combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(whole)
+    return pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int64()), "bytes": pa.array([size], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-def _whole(batches):
-    """Texts and target marks of one slice after another, from rows in the order that _cut wrote them."""
-    held, now = [], None
-    for b in batches:
-        own = b.column("slice").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-        for x, y in zip(cuts, cuts[1:]):
-            if x < y:
-                if held and own[x] != now:
-                    yield now, pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                    held = []
-                now = int(own[x])
-                held.append((b.column("text").slice(x, y - x).cast(pa.large_string()), b.column("is_target").slice(x, y - x).to_numpy(zero_copy_only=False)))
-    if held:
-        yield now, pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+
+def _rows(data: bytes) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Ids, texts and target marks of a slice."""
+    t = pa.ipc.open_stream(data).read_all().combine_chunks()
+    ids, texts, wanted = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in t.columns)
+    return ids, texts, wanted.to_numpy(zero_copy_only=False).astype(bool)
 
 
 def _asked(dealt: DataFrame, parts: int, orders: int, counted: bool) -> DataFrame:
     """(part, slice, keys, background, target): a slice's distinct n-grams in each part, with its counts if wanted."""
 
     def run(batches):
-        for now, texts, wanted in _whole(batches):
-            grams = Grams(*utf8(texts), orders)
-            keys, cuts, order = grams.dealt(parts)
-            some = np.flatnonzero(np.diff(cuts))
-            data = keys.astype("<u8").tobytes()
-            out = {"part": pa.array(some), "slice": pa.array(np.full(len(some), now)), "keys": pa.array([data[8 * cuts[p] : 8 * cuts[p + 1]] for p in some], pa.binary())}
-            if counted:
-                mask = wanted.astype(bool)[grams.words.doc]
-                for name, ok in (("background", np.ones(len(mask), bool)), ("target", mask)):
-                    c = np.concatenate([np.bincount(i[ok & (i >= 0)], minlength=len(k)) for k, i in zip(grams.keys, grams.index)])[order]
-                    out[name] = pa.array([_pack(c[cuts[p] : cuts[p + 1]]) for p in some], pa.binary())
-            yield pa.RecordBatch.from_pydict(out)
-
-    return dealt.select("slice", "text", "is_target").mapInArrow(run, "part long, slice long, keys binary" + ", background binary, target binary" * counted)
+        for b in batches:
+            for now, data in zip(b.column("slice").to_pylist(), b.column("rows")):
+                _, texts, wanted = _rows(data.as_py())
+                grams = Grams(*utf8(texts), orders)
+                keys, cuts, order = grams.dealt(parts)
+                some = np.flatnonzero(np.diff(cuts))
+                out = {"part": pa.array(some), "slice": pa.array(np.full(len(some), now)), "keys": pa.array([_pack_keys(keys[cuts[p] : cuts[p + 1]]) for p in some], pa.binary())}
+                if counted:
+                    mask = wanted[grams.words.doc]
+                    for name, ok in (("background", np.ones(len(mask), bool)), ("target", mask)):
+                        c = np.concatenate([np.bincount(i[ok & (i >= 0)], minlength=len(k)) for k, i in zip(grams.keys, grams.index)])[order]
+                        out[name] = pa.array([_pack(c[cuts[p] : cuts[p + 1]]) for p in some], pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
+
+    return dealt.select("slice", "rows").mapInArrow(run, "part long, slice long, keys binary" + ", background binary, target binary" * counted)
 
 
 def _column(table: pa.Table, name: str) -> list[bytes]:
     return [x.as_py() for x in table.column(name)]
 
 
-def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", orders: int = ORDERS, slice_bytes: int = SLICE, dealt: DataFrame | None = None) -> Models:
-    """The models of all docs and of those whose ids are in target's first column."""
-    dealt = _cut(docs, id_col, text_col, target, slice_bytes) if dealt is None else dealt
-    size = dealt.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+MERGED = {"part": pa.int64(), "slice": pa.int64(), "words": pa.int64(), "tokens": pa.int64(), "target_tokens": pa.int64(), "keys": pa.binary(), "background": pa.binary(), "target": pa.binary()}
+
+
+def _merged(dealt: DataFrame, orders: int, kept: bool, answers: bool) -> tuple[DataFrame, int, tuple]:
+    """A written table of parts, how many there are, and the sums of words, tokens and target's tokens. A part has a row without
+    a slice, with its n-grams if they are to be kept, and if wanted one for each slice, with the counts of what that asked."""
+    size = dealt.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     parts = max(1, -(-size * orders // (6 * PART)))  # about six bytes a word
 
     def merge(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
-        keys, which = np.unique(np.concatenate([np.frombuffer(k, "<u8") for k in _column(own, "keys")]), return_inverse=True)
-        sums = [np.bincount(which, np.concatenate([_unpack(c) for c in _column(own, name)]), len(keys)).astype(np.int64) for name in ("background", "target")]
+        sent = [_unpack_keys(k) for k in _column(own, "keys")]
+        keys, which = np.unique(np.concatenate(sent), return_inverse=True)
+        sums = {name: np.bincount(which, np.concatenate([_unpack(c) for c in _column(own, name)]), len(keys)).astype(np.int64) for name in ("background", "target")}
         single = (keys & np.uint64(3)) == 0
-        numbers = {"part": key[0].as_py(), "words": int(single.sum()), "tokens": int(sums[0][single].sum()), "target_tokens": int(sums[1][single].sum())}
-        return pa.table({k: pa.array([v], pa.int64()) for k, v in numbers.items()} | {k: pa.array([v], pa.binary()) for k, v in (("keys", keys.tobytes()), ("background", _pack(sums[0])), ("target", _pack(sums[1])))})
-
-    counts = _asked(dealt, parts, orders, True).groupBy("part").applyInArrow(merge, "part long, words long, tokens long, target_tokens long, keys binary, background binary, target binary")
+        out = [{"slice": None, "words": int(single.sum()), "tokens": int(sums["background"][single].sum()), "target_tokens": int(sums["target"][single].sum())}]
+        if kept:
+            out[0] |= {"keys": _pack_keys(keys)} | {name: _pack(c) for name, c in sums.items()}
+        if answers:
+            cuts = np.append(0, np.cumsum([len(k) for k in sent]))
+            for s, a, b in zip(own.column("slice").to_pylist(), cuts, cuts[1:]):
+                out.append({"slice": s} | {name: _pack(c[which[a:b]]) for name, c in sums.items()})
+        return pa.table({c: pa.array([key[0].as_py() if c == "part" else r.get(c) for r in out], t) for c, t in MERGED.items()})
+
+    counts = _asked(dealt, parts, orders, True).groupBy("part").applyInArrow(merge, "part long, slice long, words long, tokens long, target_tokens long, keys binary, background binary, target binary")
     table = written(counts, "ngrams")
-    seen = table.agg(F.sum("words"), F.sum("tokens"), F.sum("target_tokens")).first()
-    return Models(table, parts, orders, seen[0] or 0, (seen[1] or 0, seen[2] or 0), target)
+    return table, parts, tuple(x or 0 for x in table.agg(F.sum("words"), F.sum("tokens"), F.sum("target_tokens")).first())
+
+
+def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", orders: int = ORDERS, slice_bytes: int = SLICE) -> Models:
+    """The models of all docs and of those whose ids are in target's first column."""
+    dealt = _cut(docs, id_col, text_col, target, slice_bytes)
+    table, parts, (words, *totals) = _merged(dealt, orders, True, False)
+    discard(docs.sparkSession, dealt)
+    return Models(table, parts, orders, words, tuple(totals), target)
 
 
 def losses(grams: Grams, counts: list[list[np.ndarray]], models: Models, wanted: np.ndarray, own: bool) -> np.ndarray:
@@ -208,47 +241,56 @@ def losses(grams: Grams, counts: list[list[np.ndarray]], models: Models, wanted:
     return np.array(out)
 
 
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE, own: bool = True, dealt: DataFrame | None = None) -> DataFrame:
+def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE, own: bool = True) -> DataFrame:
     """Per row: doc_id, n_tokens, target_loss, background_loss and score, in bits a token. `own`: docs are what the models
     were fitted on."""
-    dealt = _cut(docs, id_col, text_col, models.target, slice_bytes) if dealt is None else dealt
-    kind, parts = dict(dealt.dtypes)["doc_id"], models.parts
-    few = Models(None, parts, models.orders, models.vocabulary, models.totals, None)
+    dealt = _cut(docs, id_col, text_col, models.target, slice_bytes)
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return pa.table({k: pa.array([], t) for k, t in (("part", pa.int64()), ("slice", pa.int64()), ("background", pa.binary()), ("target", pa.binary()))})
-        keys = np.frombuffer(_column(known, "keys")[0], "<u8") if known.num_rows else np.zeros(0, np.uint64)
+        keys = _unpack_keys(_column(known, "keys")[0]) if known.num_rows else np.zeros(0, np.uint64)
         counts = {name: _unpack(_column(known, name)[0]) if known.num_rows else np.zeros(0, np.int64) for name in ("background", "target")}
         got = {"background": [], "target": []}
         for k in _column(asked, "keys"):
-            k = np.frombuffer(k, "<u8")
+            k = _unpack_keys(k)
             at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
             for name, c in counts.items():
                 got[name].append(_pack(np.where(keys[at] == k, c[at], 0) if len(keys) else np.zeros(len(k), np.int64)))
         return pa.table({"part": asked.column("part"), "slice": asked.column("slice")} | {n: pa.array(v, pa.binary()) for n, v in got.items()})
 
-    def judge(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        rows, answers = rows.combine_chunks(), answers.sort_by("part")
-        grams = Grams(*utf8(pa.concat_arrays([c.cast(pa.large_string()) for c in rows.column("text").chunks])), few.orders)
-        _, _, order = grams.dealt(parts)
+    asked = _asked(dealt, models.parts, models.orders, False)
+    known = models.table.select("part", "keys", "background", "target")
+    answers = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answer, "part long, slice long, background binary, target binary")
+    return _judged(docs, id_col, dealt, answers, models, own)
+
+
+def _judged(docs: DataFrame, id_col: str, dealt: DataFrame, answers: DataFrame, models: Models, own: bool) -> DataFrame:
+    few = Models(None, models.parts, models.orders, models.vocabulary, models.totals, None)
+
+    def judge(rows: pa.Table, known: pa.Table) -> pa.Table:
+        ids, texts, wanted = _rows(rows.column("rows")[0].as_py())
+        known = known.sort_by("part")
+        grams = Grams(*utf8(texts), few.orders)
+        _, _, order = grams.dealt(few.parts)
         counts = []
         for name in ("background", "target"):
             flat = np.zeros(len(order))
-            flat[order] = np.concatenate([_unpack(c) for c in _column(answers, name)]) if answers.num_rows else 0
+            flat[order] = np.concatenate([_unpack(c) for c in _column(known, name)]) if known.num_rows else 0
             counts.append(np.split(flat, np.cumsum([len(k) for k in grams.keys])[:-1]))
-        wanted = rows.column("is_target").to_numpy().astype(bool)
         n = grams.words.counts
         bits = losses(grams, counts, few, wanted, own) / np.maximum(n, 1)
         none = n == 0
-        return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(n, pa.int64())} | {k: pa.array(v, pa.float64(), mask=none) for k, v in (("target_loss", bits[1]), ("background_loss", bits[0]), ("score", bits[1] - bits[0]))})
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(n, pa.int64())} | {k: pa.array(v, pa.float64(), mask=none) for k, v in (("target_loss", bits[1]), ("background_loss", bits[0]), ("score", bits[1] - bits[0]))})
 
-    asked = _asked(dealt, parts, models.orders, False)
-    answers = asked.groupBy("part").cogroup(models.table.select("part", "keys", "background", "target").groupBy("part")).applyInArrow(answer, "part long, slice long, background binary, target binary")
-    return dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(judge, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    kind = dict(docs.dtypes)[id_col]
+    return dealt.select("slice", "rows").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(judge, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", orders: int = ORDERS, slice_bytes: int = SLICE) -> DataFrame:
-    """score() of docs by the models of the same docs, dealt into slices once."""
+    """score() of docs by the models of the same docs. What a slice sends to be counted is also what it asks for, so parts
+    answer as they merge, and the n-grams are sent once and not kept."""
     dealt = _cut(docs, id_col, text_col, target, slice_bytes)
-    return score(docs, fit(docs, target, id_col, text_col, orders, slice_bytes, dealt), id_col, text_col, slice_bytes, True, dealt)
+    table, parts, (words, *totals) = _merged(dealt, orders, False, True)
+    models = Models(None, parts, orders, words, tuple(totals), target)
+    return _judged(docs, id_col, dealt, table.filter("slice is not null").select("part", "slice", "background", "target"), models, True)

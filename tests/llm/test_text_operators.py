@@ -519,6 +519,9 @@ def test_losses_equal_a_plain_model(spark, docs, monkeypatch, orders):
         else:
             assert got[i].background_loss == pytest.approx(background, rel=1e-9) and got[i].target_loss == pytest.approx(wanted, rel=1e-9)
             assert got[i].score == pytest.approx(got[i].target_loss - got[i].background_loss)
+    model = lm_score.fit(docs(texts), ids, orders=orders, slice_bytes=300)  # kept, and asked apart from it
+    again = {x.doc_id: x for x in lm_score.score(docs(texts), model, slice_bytes=150).collect()}
+    assert all(again[i].score == (x.score if x.score is None else pytest.approx(x.score, rel=1e-9)) for i, x in got.items())
 
 
 def test_lm_counts_follow_the_corpus(spark, docs):
