@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.batches import slices, utf8
-from stratalog.llm.shared import small_batches
+from stratalog.llm.shared import give_back, small_batches
 
-DOCS, SYMBOLS, TOTAL, WINDOW, MOST_LANGUAGES = 300, 100_000, 3_000_000, 512, 100_000
+DOCS, SYMBOLS, TOTAL, WINDOW, AHEAD, MOST_LANGUAGES = 300, 100_000, 3_000_000, 512, 64, 100_000
 UNKNOWN = "und"
 #: bits a symbol above a language's own mean beyond which a filter takes a text for no language; for texts
 #: of fewer than STEADY symbols the excess counts in proportion to their length
@@ -150,42 +150,61 @@ class Languages:
         flags[:, low] = True
         if not len(owner) or windows.max() < 2:
             return flags[:, :n]
-        # each window's last phrase goes on into the windows after it
+        # each window's last phrase goes on into the windows after it, at first all together for up to AHEAD symbols
         last = np.empty_like(state)
         last[:, order] = state
         goes_on = np.flatnonzero(np.append(owner[1:] == owner[:-1], False))
-        end = (begins + counts)[owner]
+        head = np.repeat(np.cumsum(windows) - windows, windows)
         language, window = (x.reshape(-1) for x in np.meshgrid(np.arange(n_languages), goes_on, indexing="ij"))
-        state, position, fixed = last[language, window], high[window], flags.copy()
+        from_, stop = high[window], (begins + counts)[owner][window]
+        state, seen = last[language, window], np.zeros((len(window), AHEAD), bool)
+        length, met = np.zeros(len(window), np.int64), np.full(len(window), -1, np.int64)
+        live = np.arange(len(window))
+        for j in range(AHEAD):
+            over = from_[live] + j >= stop[live]
+            met[live[over]] = n + 1
+            live = live[~over]
+            if not len(live):
+                break
+            now = from_[live] + j
+            state[live], new = self._step(language[live], state[live], codes[now])
+            seen[live, j] = new
+            length[live] = j + 1
+            same = new & flags[language[live], now]
+            met[live[same]] = now[same]
+            live = live[~same]
+        # in the order of a text's windows: what an earlier phrase or repair has passed over has no say
+        fixed = flags.copy()
         fixed[:, low[goes_on + 1]] = False
-        # in the order of the windows of a text, as one may reach past the next and replace what that one found
-        rank = k[window]
-        queue = np.argsort(rank, kind="stable")
-        done = np.zeros((n_languages, len(owner)), np.int64)  # how far a text's parse is known, by its first window
-        head = np.repeat(np.cumsum(windows) - windows, windows)
-        for r in range(int(rank.max(initial=-1)) + 1):
-            a, b = np.searchsorted(rank[queue], [r, r + 1])
-            own = queue[a:b]
-            # a window that an earlier phrase or repair passed over has no say
-            own = own[done[language[own], head[window[own]]] < position[own]]
-            lang, pos, st, stop, top = language[own], position[own].copy(), state[own], end[window[own]], head[window[own]]
-            while len(pos):
-                ended = pos >= stop
-                if ended.any():
-                    done[lang[ended], top[ended]] = n + 1
-                    rest = ~ended
-                    lang, pos, st, stop, top = lang[rest], pos[rest], st[rest], stop[rest], top[rest]
-                    continue
-                st, new = self._step(lang, st, codes[pos])
-                met = new & flags[lang, pos]
-                fixed[lang, pos] = new
-                if met.any():
-                    done[lang[met], top[met]] = pos[met]
-                    rest = ~met
-                    lang, pos, st, stop, top = lang[rest], pos[rest], st[rest], stop[rest], top[rest]
-                pos = pos + 1
+        valid, done, text = np.zeros(len(window), bool), 0, None
+        for i, (k, w, at, found) in enumerate(zip(language.tolist(), head[window].tolist(), from_.tolist(), met.tolist())):
+            if (k, w) != text:
+                text, done = (k, w), 0
+            if done < at:
+                valid[i] = True
+                done = found if found >= 0 else self._run_on(k, int(state[i]), codes, at + AHEAD, int(stop[i]), flags[k], fixed[k])
+        own = np.flatnonzero(valid)
+        pair = np.repeat(own, length[own])
+        step = np.arange(len(pair)) - np.repeat(np.cumsum(length[own]) - length[own], length[own])
+        fixed[language[pair], from_[pair] + step] = seen[pair, step]
         return fixed[:, :n]
 
+    def _run_on(self, k: int, state: int, codes: np.ndarray, at: int, stop: int, flags: np.ndarray, fixed: np.ndarray) -> int:
+        """One parse alone, as far as it takes to meet another's phrase; where that is."""
+        owner, to, first, code = memoryview(self.owner), memoryview(self.to), self.first[k].tolist(), memoryview(codes)
+        while at < stop:
+            c = code[at]
+            if owner[state + c] == state:
+                state = to[state + c]
+                fixed[at] = False
+            else:
+                state = first[c]
+                fixed[at] = True
+                if flags[at]:
+                    return at
+            at += 1
+        return len(codes) + 1
+
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and bits a symbol beyond the usual for it, per text."""
         if not self.names:
@@ -320,7 +339,7 @@ def fit(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "te
     wanted = docs.sparkSession.createDataFrame(chosen, "lang string, h long")
     got = rows.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     samples, held = {}, {}
-    for lang in by:
+    for lang in list(by):
         texts = list(dict.fromkeys(r.text for r in sorted(got, key=lambda r: r.h) if r.lang == lang))
         if any(c.isalpha() for t in texts for c in t):
             held[lang] = texts[4::5] if len(texts) > 4 else texts[1:][-1:]
@@ -328,7 +347,11 @@ def fit(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "te
             samples[lang] = [t for t in texts if t not in out]
             if not any(c.isalpha() for t in samples[lang] for c in t):
                 samples[lang], held[lang] = texts, []
-    return Languages(samples, held)
+    del got, sizes, by
+    model = Languages(samples, held)
+    del samples, held
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.batches import Words, byte_table, mix, segment_sum, slices, utf8
-from stratalog.llm.shared import small_batches
+from stratalog.llm.shared import give_back, small_batches
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 18, 12, 5, 4.0
 TRAIN_DOCS, TRAIN_BYTES, THRESHOLD, SEED = 5000, 48_000_000, 0.3, 11
@@ -92,13 +92,14 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     if not texts:
         return Classifier(np.zeros(BUCKETS + GAPS), 0.0)
     rng = np.random.default_rng(SEED)
-    own: list[tuple[np.ndarray, np.ndarray]] = []
+    own: list[tuple[np.ndarray, np.ndarray]] = []  # views of one array a slice
     raw, offsets = utf8(pa.array(texts, pa.large_string()))
     for a, b in slices(offsets):
         blocks = list(features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-        for d in range(b - a):
-            ids, n = np.unique(np.concatenate([x[at[d] : at[d + 1]] for x, at in blocks]), return_counts=True)
-            own.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
+        some = [np.unique(np.concatenate([x[at[d] : at[d + 1]] for x, at in blocks]), return_counts=True) for d in range(b - a)]
+        ids, share = np.concatenate([i for i, _ in some]).astype(np.int32), np.concatenate([n / max(1, n.sum()) for _, n in some]).astype(np.float32)
+        cuts = np.cumsum([len(i) for i, _ in some])[:-1]
+        own += zip(np.split(ids, cuts), np.split(share, cuts))
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + GAPS, DIM)).astype(np.float32)
     output = rng.uniform(-1 / DIM, 1 / DIM, (DIM, 2)).astype(np.float32)
     y = np.array(labels) > 0
@@ -144,7 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: str, id_col: str = "doc_id",
     wanted = docs.sparkSession.createDataFrame(chosen, f"i {dict(labels.dtypes)[id_col]}, h long, y {dict(labels.dtypes)[label_col]}")
     got = texts.join(F.broadcast(wanted), "i").groupBy("i", "h", "y").agg(F.min("t").alias("t")).collect()
     order = {(r.t, int(r.y)): None for r in sorted(got, key=lambda r: (r.h, r.t))}  # equal texts once a label
-    return train([t for t, _ in order], [y for _, y in order])
+    del got
+    model = train([t for t, _ in order], [y for _, y in order])
+    del order
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

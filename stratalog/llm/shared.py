@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,13 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can; after a fit the driver has jobs to run beside the JVM."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset and all runs in one JVM, one under the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -55,10 +64,12 @@ HOT_KEYS = 100_000
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "inner", least: int = 128) -> DataFrame:
-    """left (a written table, as it is read three times) joined with right on `key`, where a key may have any share of
+    """left (a written table, as it is read more than once) joined with right on `key`, where a key may have any share of
     left's rows: one of more than `least` rows is dealt to several tasks by `spread`, with right's rows repeated for each.
     Those keys are broadcast; there are HOT_KEYS of them at most, since `least` grows with left."""
-    least = max(least, -(-left.count() // HOT_KEYS))
+    if (n := left.count()) <= least:
+        return left.join(right, key, how)
+    least = max(least, -(-n // HOT_KEYS))
     hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(key, F.ceil(F.col("_n") / least).cast("long").alias("_k"))
     salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_k")), F.lit(0))
     own = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_k")
