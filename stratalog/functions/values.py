@@ -104,17 +104,29 @@ def error_text(chain: Column | str) -> Column:
 # payloads
 
 
+def once(value: Column, use) -> Column:
+    """use(value) where value is computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def last_of_each(pairs: Column) -> Column:
+    """A map of array<struct<key, value>>: of entries with one key the last counts."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.aggregate(pairs, empty, lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
+
+
 def payload(json: Column | str) -> Column:
     """struct<tags, translations, error> of a tag payload; text that is no JSON is an error."""
-    p = F.from_json(_c(json), PAYLOAD)
-    raw = p["body"]["tags"]["tags"]
-    kept = F.filter(raw, lambda t: F.trim(F.coalesce(t["tag"], F.lit(""))) != "")
-    told = F.filter(F.transform(kept, lambda t: F.struct(t["tag"].alias("key"), F.trim(t["translation"]["en"]).alias("value"))), lambda e: F.coalesce(e["value"], F.lit("")) != "")
-    # the last translation of a tag counts
-    last = F.filter(told, lambda e, i: ~F.exists(F.slice(told, i + 2, F.greatest(F.size(told), F.lit(1))), lambda o: o["key"] == e["key"]))
-    error = F.when(F.coalesce(p["error"], F.lit(False)), F.coalesce(F.nullif(p["message"], F.lit("")), F.lit("request failed"))).when(raw.isNull(), F.lit("no tags"))
-    ok = error.isNull()
-    return F.struct(F.when(ok, F.transform(kept, lambda t: t["tag"])).alias("tags"), F.when(ok, F.map_from_entries(last)).alias("translations"), error.alias("error"))
+
+    def read(p: Column) -> Column:
+        raw = p["body"]["tags"]["tags"]
+        kept = F.filter(raw, lambda t: F.trim(F.coalesce(t["tag"], F.lit(""))) != "")
+        told = F.filter(F.transform(kept, lambda t: F.struct(t["tag"].alias("key"), F.trim(t["translation"]["en"]).alias("value"))), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+        error = F.when(F.coalesce(p["error"], F.lit(False)), F.coalesce(F.nullif(p["message"], F.lit("")), F.lit("request failed"))).when(raw.isNull(), F.lit("no tags"))
+        ok = error.isNull()
+        return F.struct(F.when(ok, F.transform(kept, lambda t: t["tag"])).alias("tags"), F.when(ok, last_of_each(told)).alias("translations"), error.alias("error"))
+
+    return once(F.from_json(_c(json), PAYLOAD), read)
 
 
 def text_list(json: Column | str) -> Column:
@@ -134,15 +146,26 @@ def imported_list(text: Column | str) -> Column:
 
 
 def imported_pairs(text: Column | str) -> Column:
-    """A JSON object, one under `translations`, or lines `key=value` (or tab, or comma); # starts a comment."""
-    t = _c(text)
-    lines = F.filter(F.transform(F.split(t, "\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^\t=,]+)[\t=,](.*)$", 1)).alias("key"), F.trim(F.regexp_extract(x, r"^([^\t=,]+)[\t=,](.*)$", 2)).alias("value")))
-    pairs = F.filter(pairs, lambda e: (e["key"] != "") & (e["value"] != ""))
-    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda o: o["key"] == e["key"]))
-    nested = F.from_json(t, "translations map<string,string>")["translations"]
-    is_json = t.rlike(r"^\s*\{")
-    return F.when(is_json & nested.isNotNull(), nested).when(is_json, F.coalesce(F.from_json(t, "map<string,string>"), F.map_from_entries(last))).otherwise(F.map_from_entries(last))
+    """A JSON object, one under `translations`, a JSON array of pairs or of objects (tag, original or key; translation,
+    value or display), or lines `key=value` (or tab, or comma of either width); # starts a comment."""
+    entry = lambda k, v: F.struct(F.trim(k).alias("key"), F.trim(v).alias("value"))
+    first = lambda m, *names: F.coalesce(*[F.element_at(m, n) for n in names])
+
+    def item(x: Column) -> Column:
+        pair, fields = F.from_json(x, "array<string>"), F.from_json(x, "map<string,string>")
+        named = entry(first(fields, "tag", "original", "key"), first(fields, "translation", "value", "display"))
+        return F.when(x.startswith("["), entry(F.get(pair, 0), F.get(pair, 1))).when(x.startswith("{"), named)
+
+    t = F.trim(_c(text))
+    line = r"^(.+?)[\t=,，](.+)$"
+    lines = F.filter(F.transform(F.split(t, "\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike(line) & ~x.startswith("#"))
+    of_lines = F.transform(lines, lambda x: entry(F.regexp_extract(x, line, 1), F.regexp_extract(x, line, 2)))
+    of_map = lambda m: F.transform(F.map_entries(m), lambda e: entry(e["key"], e["value"]))
+    whole, nested = F.from_json(t, "map<string,string>"), F.from_json(t, "translations map<string,string>")["translations"]
+    items = F.from_json(t, "array<string>")
+    found = F.when(t.startswith("{") & nested.isNotNull(), of_map(nested)).when(t.startswith("{") & whole.isNotNull(), of_map(whole)).when(t.startswith("[") & items.isNotNull(), F.transform(items, item)).otherwise(of_lines)
+    full = F.filter(found, lambda e: (F.coalesce(e["key"], F.lit("")) != "") & (F.coalesce(e["value"], F.lit("")) != ""))
+    return last_of_each(F.coalesce(full, F.array().cast("array<struct<key:string,value:string>>")))
 
 
 def extension_list(text: Column | str) -> Column:
@@ -168,3 +191,25 @@ def display_tags(tags: Column, local: Column, remote: Column, excluded: Column,
 def every(values: Column, test) -> Column:
     """All of at least one."""
     return (F.size(values) > 0) & F.forall(values, test)
+
+
+# limits of parallel work
+
+
+def clamped(value: Column, low: Column | int, high: Column | int) -> Column:
+    c = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.least(F.greatest(value, c(low)), c(high))
+
+
+def thread_count(configured: Column, cpus: Column) -> Column:
+    """What is configured, up to the processors; all of them where nothing is."""
+    return F.when(F.coalesce(configured, F.lit(0)) > 0, F.greatest(F.least(configured, cpus), F.lit(1))).otherwise(F.greatest(cpus, F.lit(1)))
+
+
+def io_permits(threads: Column, multiplier: Column) -> Column:
+    """Threads times the multiplier: 1 to 16, 2 where it isn't set."""
+    return threads * F.when(F.coalesce(multiplier, F.lit(0)) >= 1, F.least(multiplier, F.lit(16))).otherwise(F.lit(2))
+
+
+def image_chunk(workers: Column) -> Column:
+    return clamped(workers * 16, 256, 2048)

@@ -67,3 +67,21 @@ def keep_by_policy(files: DataFrame, policy: str, group_cols: list[str]) -> Data
     order = orders.get(policy, orders["largestResolution"])
     rank = F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order, "file_path"))
     return files.withColumn("rank", rank).withColumn("selected", F.col("rank") > 1)
+
+
+#: The words of a group's header.
+FILES, KEPT, NEWEST, NONE, UNKNOWN = "个文件", "保留：", "最新", "（未指定）", "unknown"
+
+
+def headers(files: DataFrame, by_version: bool = False) -> DataFrame:
+    """group_id and title: author, version (the latest, of versions), number of files and the name of the first file, by
+    path, that isn't selected. One aggregation that combines on the map side."""
+    filled = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(UNKNOWN))
+    name = F.substring_index(F.translate("file_path", "\\", "/"), "/", -1)
+    own = F.concat_ws(" · ", filled("version"), name) if by_version else name
+    kept = F.min_by(F.when(~F.col("selected"), own), F.when(~F.col("selected"), F.col("file_path")))
+    version = "latest_version" if by_version else "version"
+    g = files.groupBy("group_id").agg(F.min_by(filled("author"), "file_path").alias("a"), F.min_by(filled(version), "file_path").alias("v"), F.count(F.lit(1)).alias("n"), kept.alias("k"))
+    shown = F.concat(F.lit(f"{NEWEST} "), F.col("v")) if by_version else F.col("v")
+    title = F.concat_ws(" · ", F.col("a"), shown, F.concat(F.col("n").cast("string"), F.lit(f" {FILES}")), F.concat(F.lit(KEPT), F.coalesce("k", F.lit(NONE))))
+    return g.select("group_id", title.alias("title"))

@@ -2,17 +2,19 @@
 becomes a head.
 
 exact_leaders() runs that rule over one group and suits a few thousand files. leaders() gives the same
-answer for many: signatures that are within `distance` bits agree on at least one of distance + 1 bands
-(pigeonhole), so an equi-join on bands finds every pair, which is verified by bit count; then heads are
+answer for many: signatures that are within `distance` bits differ by at most r bits in one of (distance + 1) / (r + 1) bands
+(pigeonhole), so an equi-join on bands, probed with r bits flipped, finds every pair, which is verified by bit count; then heads are
 settled in rounds: a file is a head once no file before it within range is undecided or a head, and is
 taken once a head before it is within range. Each round is written out, so its lineage is short.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.functions import values
@@ -39,15 +41,58 @@ def exact_leaders(files: DataFrame, distance: int, group_col: str) -> DataFrame:
     return files.groupBy(group_col).applyInPandas(run, f"{kinds}, head long, head_distance long")
 
 
+#: a band should tell so many bits, so that few pairs meet in it; and by how many bits a band may differ to get there
+WIDE, RADIUS = 12, 2
+
+
+def _plan(distance: int, bits: int) -> tuple[int, int]:
+    """(bands, radius): signatures within `distance` bits differ by at most `radius` in one of so many bands."""
+    for radius in range(RADIUS + 1):
+        bands = -(-(distance + 1) // (radius + 1))
+        if bits // bands >= WIDE:
+            break
+    return min(bands, bits), radius
+
+
 def near_pairs(files: DataFrame, distance: int, bits: int) -> DataFrame:
-    """(a, b, gap) with a before b and at most `distance` bits between them; words must all have `bits` bits."""
-    width = max(1, bits // (distance + 1))  # at least distance + 1 bands
-    all_bits = F.array_join(F.transform("words", lambda w: F.lpad(F.bin(w), 64, "0")), "")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(-(-bits // width) - 1)), lambda k: F.struct(k.alias("k"), F.substring(all_bits, k * width + 1, F.lit(width)).alias("v")))
-    own = files.select(F.col("ordinal").alias("a"), F.col("words").alias("wa"), F.explode(bands).alias("band"))
-    other = own.select(F.col("a").alias("b"), F.col("wa").alias("wb"), "band")
-    gap = values.hamming("wa", "wb")
-    return own.join(other, "band").filter("a < b").select("a", "b", gap.alias("gap")).filter(F.col("gap") <= distance).distinct()
+    """(a, b, gap) with a before b and at most `distance` bits between them; words must all have `bits` bits.
+
+    Equal signatures meet once, by their first ordinals. One side looks up each band as it is, the other also with up to
+    `radius` bits of it flipped, so bands can be wide and few other signatures share one."""
+    bands, radius = _plan(distance, bits)
+    cuts = [bits * k // bands for k in range(bands + 1)]
+
+    def value(low: int, high: int) -> Column:
+        """Bits low to high of the signature, from its first word's lowest bit on, as a number (62 bits at most)."""
+        parts = []
+        for k in range(low // 64, (high - 1) // 64 + 1):
+            a, b = max(low, 64 * k), min(high, 64 * k + 64)
+            part = F.shiftrightunsigned(F.get("words", k), a % 64).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
+            parts.append(F.shiftleft(part, a - low))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.bitwiseOR(p)
+        return out
+
+    def flips(width: int) -> Column:
+        masks = [sum(1 << i for i in own) for r in range(radius + 1) for own in itertools.combinations(range(width), r)]
+        return F.array(*[F.lit(m).cast("long") for m in masks])
+
+    classes = files.groupBy("words").agg(F.min("ordinal").alias("first"))
+    keys = [F.struct(F.lit(k).alias("k"), value(x, y).alias("v")) for k, (x, y) in enumerate(zip(cuts, cuts[1:]))]
+    plain = classes.select("first", "words", F.explode(F.array(*keys)).alias("band"))
+
+    def around(k: int, low: int, high: int) -> Column:
+        return F.transform(flips(high - low), lambda m: F.struct(F.lit(k).alias("k"), value(low, high).bitwiseXOR(m).alias("v")))
+
+    near = [around(k, x, y) for k, (x, y) in enumerate(zip(cuts, cuts[1:]))]
+    probes = classes.select(F.col("first").alias("other"), F.col("words").alias("theirs"), F.explode(F.flatten(F.array(*near))).alias("band"))
+    gap = values.hamming("words", "theirs")
+    found = plain.join(probes, "band").filter("first <> other").select("first", "other", gap.alias("gap")).filter(F.col("gap") <= distance).distinct()
+    same = classes.select("first", F.col("first").alias("other"), F.lit(0).alias("gap"))
+    members = files.join(classes, "words").select("first", "ordinal")
+    pairs = found.unionByName(same).join(members.select("first", F.col("ordinal").alias("a")), "first").join(members.select(F.col("first").alias("other"), F.col("ordinal").alias("b")), "other")
+    return pairs.filter("a < b").select("a", "b", "gap")
 
 
 def leaders(files: DataFrame, distance: int, bits: int, save) -> DataFrame:

@@ -58,3 +58,28 @@ def search(df: DataFrame, text: str, columns: list[str], extra: Column | None =
     t = text.strip().lower()
     out = df.filter(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])).contains(t)) if t else df
     return out.filter(extra) if extra is not None else out
+
+
+def toggle_page(selected: DataFrame, paged: DataFrame, key: str, checked: bool) -> DataFrame:
+    """The selected keys with, or without, those of the page on show; other pages stay as they are."""
+    own, shown = selected.select(key).distinct(), paged.select(key).distinct()
+    return own.unionByName(shown).distinct() if checked else own.join(shown, key, "left_anti")
+
+
+def page_state(selected: DataFrame, paged: DataFrame, key: str) -> DataFrame:
+    """all_selected and some_selected (but not all) of a page."""
+    marked = paged.select(key).join(selected.select(key).distinct().withColumn("_s", F.lit(True)), key, "left")
+    n, k = F.count(F.lit(1)), F.count_if(F.col("_s"))
+    return marked.agg(((n > 0) & (k == n)).alias("all_selected"), ((k > 0) & (k < n)).alias("some_selected"))
+
+
+def flushes(events: DataFrame, by: str, order: list[str], n: int = 30, seconds: int | None = None, time_col: str = "t") -> DataFrame:
+    """flush: the number, from 0 within `by`, of the emission that an event goes out with: every n events, or with `seconds`
+    also where the event's time falls into a later interval than that of the one before."""
+    w = Window.partitionBy(by).orderBy(*order)
+    if seconds is None:
+        return events.withColumn("flush", F.floor((F.row_number().over(w) - 1) / n).cast("long"))
+    slot = F.floor(F.col(time_col) / seconds)
+    inside = F.row_number().over(Window.partitionBy(by, "_slot").orderBy(*order))
+    part = events.withColumn("_slot", slot).withColumn("_part", F.floor((inside - 1) / n))
+    return part.withColumn("flush", (F.dense_rank().over(Window.partitionBy(by).orderBy("_slot", "_part")) - 1).cast("long")).drop("_slot", "_part")

@@ -14,6 +14,12 @@ def save(spark: SparkSession, root: str, record: DataFrame, entries: DataFrame)
     record.write.mode("append").parquet(f"{root}/records")
 
 
+def read(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(records, entries): of a save that was cut short there is no record, so its entries aren't read."""
+    records = spark.read.parquet(f"{root}/records")
+    return records, spark.read.parquet(f"{root}/entries").join(records.select("record_id").distinct(), "record_id", "left_semi")
+
+
 def listed(records: DataFrame, entries: DataFrame) -> DataFrame:
     """Records, latest first, with the number of their entries."""
     n = entries.groupBy("record_id").agg(F.count(F.lit(1)).alias("entry_count"))

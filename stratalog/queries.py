@@ -393,12 +393,18 @@ def backup_plan(spark, sf_dir):
 
 # similarity
 
-_BITS = "b AS (SELECT vec_id, CAST(array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS BIT) AS s FROM embeddings)"
-DISTANCE = 10
+# every four vectors share the signs of the first of them, with two more bits flipped in each
+_BITS = """e AS (SELECT a.vec_id, b.embedding, list_transform(range(2 * (a.vec_id % 4)), lambda j: (a.vec_id * 7 + j * 11) % 64) AS f FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 4),
+b AS (SELECT vec_id, CAST(array_to_string(list_transform(range(64), lambda i: CASE WHEN (embedding[i + 1] > 0) <> list_contains(f, i) THEN '1' ELSE '0' END), '') AS BIT) AS s FROM e)"""
+DISTANCE = 7
 
 
 def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ordinal"), values.sign_words("embedding").alias("words"))
+    own, id_ = _t(spark, sf_dir, "embeddings"), F.col("vec_id")
+    flips = F.transform(F.sequence(F.lit(0), 2 * (id_ % 4)), lambda j: F.when(j < 2 * (id_ % 4), (id_ * 7 + j * 11) % 64))
+    turned = F.transform("embedding", lambda x, i: F.when((x > 0) != F.coalesce(F.array_contains(flips, i.cast("long")), F.lit(False)), 1.0).otherwise(-1.0))
+    both = own.select("vec_id", (id_ - id_ % 4).alias("first")).join(own.select(id_.alias("first"), "embedding"), "first")
+    return both.select(id_.alias("ordinal"), values.sign_words(turned).alias("words"))
 
 
 @query("WITH " + _BITS + f" SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.s, y.s)) AS INT) AS gap FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.s, y.s)) <= {DISTANCE}")

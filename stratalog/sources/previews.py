@@ -53,3 +53,13 @@ def lines(spark, path: str) -> DataFrame:
 
 def write_lines(df: DataFrame, path: str) -> None:
     df.select(F.col(df.columns[0]).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def save_settings(row: DataFrame, path: str, version: int) -> None:
+    """Keeps a whole row of settings; the highest version counts, so a reader sees the old row or the new one."""
+    row.limit(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def load_settings(spark, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows.agg(F.max_by(F.struct(*[c for c in rows.columns if c != "version"]), "version").alias("r")).select("r.*")
