@@ -54,3 +54,13 @@ def empty_dirs(tree: DataFrame, include_roots: bool = False) -> DataFrame:
     if not include_roots:
         out = out.filter(F.col("_p") != paths.slashed("root"))
     return out.dropDuplicates(["_p"]).select(F.col("_p").alias("path"), paths.depth("_p").alias("depth"))
+
+
+def longest_first(roots: DataFrame) -> DataFrame:
+    """Roots in the order in which they are tried: the longest first, ties by path."""
+    return roots.orderBy(F.desc(F.length("path")), "path")
+
+
+def deepest_first(dirs: DataFrame) -> DataFrame:
+    """Empty directories in the order in which they can be deleted."""
+    return dirs.orderBy(F.desc("depth"), "path")
