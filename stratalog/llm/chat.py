@@ -45,6 +45,7 @@ SEQUENCE = (
     "leaves array<struct<conv_id:bigint, node:int, link:string>>"
 )
 _MARK = re.compile(r"<\|((?:[^\\|]|\\.|\|(?!>))*)\|>", re.S)
+_CLOSING, _CLOSED = re.compile(r"(?<!<\\)\|>"), r"\\|>"
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
@@ -57,8 +58,8 @@ def unescape(text: str) -> str:
 
 
 def opening(role: str) -> str:
-    # a role also must not close its own marker
-    return f"{OPEN}{escape(role).replace('|>', chr(92) + '|>')}{CLOSE}"
+    # a role also must not close its own marker; where it has `<|>`, its bar is escaped already
+    return f"{OPEN}{_CLOSING.sub(_CLOSED, escape(role))}{CLOSE}"
 
 
 def render(role: str, text: str) -> str:
@@ -85,6 +86,7 @@ def chained(rows: DataFrame, tokenizer: str, conv_col: str, turn_col: str, role_
     def run(batches):
         code, end = encoder(tokenizer), encoder(tokenizer).values(END).astype("<i4").tobytes()
         heads: dict[str, bytes] = {}
+        texts: dict[str, bytes] = {}  # shared turns come again
         state, held = None, None  # of the conversation: id, digest, depth, position, root, parent, characters; the row before
         names = ["conv_id", "depth", "node", "parent", "root", "role", "ids", "head", "tail", "position", "left", "last"]
         for b in batches:
@@ -100,7 +102,13 @@ def chained(rows: DataFrame, tokenizer: str, conv_col: str, turn_col: str, role_
                     if len(heads) > 10_000:
                         heads.clear()
                     heads[role] = code.values(opening(role)).astype("<i4").tobytes()
-                ids = code.values(escape(text)).astype("<i4").tobytes()
+                ids = texts.get(text)
+                if ids is None:
+                    ids = code.values(escape(text)).astype("<i4").tobytes()
+                    if len(text) <= 2_000:
+                        if len(texts) > 10_000:
+                            texts.clear()
+                        texts[text] = ids
                 state[1].update(render(role, text).encode("utf-8", "surrogatepass"))
                 node, whole = state[1].hexdigest(), heads[role] + ids + end
                 state[4] = state[4] or node

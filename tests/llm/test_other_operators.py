@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import example, given
 from hypothesis import strategies as st
 
 import public_tokenizers
@@ -17,6 +17,7 @@ from stratalog.llm.tokens import token_bytes
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+@example([("<|>", "<|>"), ("<\\|>|>", "\\"), ("|>", "<|end|>")])
 @given(st.lists(st.tuples(st.text(alphabet="a<|>\\end/ \n", max_size=12), st.text(alphabet="a<|>\\end/ \n", max_size=20)), max_size=5))
 def test_chat_round_trip(turns):
     assert chat.parse("".join(chat.render(r, t) for r, t in turns)) == turns
