@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.batches import ALNUM, Words, mix, segment_sum, utf8
-from stratalog.llm.shared import discard, small_batches, written
+from stratalog.llm.shared import discard, give_back, small_batches, written
 
 ORDERS, ALPHA, KAPPA = 2, 0.5, 1.0
-SLICE, PART = 3 << 20, 800_000
+SLICE, PART = 2 << 20, 600_000
 #: ids up to which a lookup table is broadcast; more are joined by shuffle
 BROADCAST_IDS = 1_000_000
 
@@ -166,6 +166,8 @@ def _asked(dealt: DataFrame, parts: int, orders: int, counted: bool) -> DataFram
                         c = np.concatenate([np.bincount(i[ok & (i >= 0)], minlength=len(k)) for k, i in zip(grams.keys, grams.index)])[order]
                         out[name] = pa.array([_pack(c[cuts[p] : cuts[p + 1]]) for p in some], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
+                del grams, keys, order, out
+                give_back(False)
 
     return dealt.select("slice", "rows").mapInArrow(run, "part long, slice long, keys binary" + ", background binary, target binary" * counted)
 
@@ -280,6 +282,8 @@ def _judged(docs: DataFrame, id_col: str, dealt: DataFrame, answers: DataFrame,
             counts.append(np.split(flat, np.cumsum([len(k) for k in grams.keys])[:-1]))
         n = grams.words.counts
         bits = losses(grams, counts, few, wanted, own) / np.maximum(n, 1)
+        del grams, counts, flat, order
+        give_back(False)
         none = n == 0
         return pa.table({"doc_id": ids, "n_tokens": pa.array(n, pa.int64())} | {k: pa.array(v, pa.float64(), mask=none) for k, v in (("target_loss", bits[1]), ("background_loss", bits[0]), ("score", bits[1] - bits[0]))})
 

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +22,12 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def give_back() -> None:
-    """Returns freed memory to the system, where the C library can; after a fit the driver has jobs to run beside the JVM."""
-    gc.collect()
+def give_back(collect: bool = True) -> None:
+    """Returns freed memory to the system, where the C library can; after a fit the driver has jobs to run beside the JVM,
+    and so has a worker after large arrays."""
+    if collect:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 
