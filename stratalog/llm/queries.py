@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from stratalog.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
+#: the same vocabulary as ranks, and its one special token
+RANKS, SPECIAL = "byte_bpe_50k.tiktoken", {"<|endoftext|>": 50256}
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from stratalog.llm import token_counts as m
 
-    return m.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return m.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), pattern=public_tokenizers.PATTERN, special=SPECIAL)
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.batches import slices, utf8
 from stratalog.llm.shared import small_batches
-from stratalog.llm.tokens import tokenizer_of
+from stratalog.llm.tokens import ranks_of, tokenizer_of
 
 #: bytes of text whose encodings are held at once; a longer text is encoded alone
 TOGETHER = 100_000
@@ -56,7 +56,19 @@ def attribute(starts: np.ndarray, stops: np.ndarray, spans: list[tuple[int, int]
 
 
 def encoded(tokenizer, texts: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
-    """Each text and the offsets (start and stop, as characters) of its tokens. Whole texts are encoded, some together."""
+    """Each text and the offsets (start and stop, as characters) of its tokens. Whole texts are encoded, once. tokenizer: one of
+    `tokenizers`, which has offsets, or what ranks_of() gives: there a token reaches over as many bytes as its id
+    stands for, and from the character of the first of them to that of the last."""
+    if isinstance(tokenizer, tuple):
+        encoding, sizes = tokenizer
+        for text in texts:
+            text = text.as_py() or ""
+            ids = encoding.encode_to_numpy(text, allowed_special="all")
+            raw = np.frombuffer(text.encode(), np.uint8)
+            character = np.cumsum((raw & 0xC0) != 0x80) - 1
+            stops = np.cumsum(sizes[ids])
+            yield text, np.stack([character[stops - sizes[ids]], character[stops - 1] + 1], 1)
+        return
     _, offsets = utf8(texts)
     for a, b in slices(offsets, TOGETHER):
         own = [t or "" for t in texts.slice(a, b - a).to_pylist()]
@@ -64,15 +76,16 @@ def encoded(tokenizer, texts: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
             yield text, np.fromiter(chain.from_iterable(e.offsets), np.int64).reshape(-1, 2)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", sections: Callable[[str], list[tuple[int, int]]] = lines, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens, n_sections, n_crossing and section_tokens, in the order of the sections."""
+def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", sections: Callable[[str], list[tuple[int, int]]] = lines, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None, special: dict[str, int] | None = None) -> DataFrame:
+    """Per row: doc_id, n_tokens, n_sections, n_crossing and section_tokens, in the order of the sections. tokenizer: a JSON file, or
+    with `pattern` (what pre-tokens are) and `special` tokens a file of ranks, which encodes the same several times as fast."""
     small_batches(docs.sparkSession)
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        own = tokenizer_of(tokenizer)
+        own = ranks_of(tokenizer, pattern, special or {}) if pattern else tokenizer_of(tokenizer)
         for b in batches:
             tokens, n_sections, crossing, counts = [], [], [], []
             for text, at in encoded(own, b.column("text")):

@@ -11,6 +11,7 @@ every text where the file's pre-tokenizer, normalizer or model is another than t
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import re
@@ -43,6 +44,18 @@ def tokenizer_of(path: str):
     return Tokenizer.from_file(path)
 
 
+def ranks_of(path: str, pattern: str, special: dict[str, int]):
+    """The encoding of a file of ranks (a token in base 64 and its id a line), and how many bytes each id stands for."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(i) for token, i in map(bytes.split, f)}
+    sizes = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
+    for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+        sizes[i] = len(token)
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), sizes
+
+
 def cuts_at_spaces(path: str) -> bool:
     """Whether the file is a byte-level BPE of which the rules above hold."""
     with open(path, encoding="utf-8") as f:

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from stratalog.llm import decontaminate, language, lm_score, near_dup, packing, quality, token_counts, tokens
+from stratalog.llm import decontaminate, language, lm_score, near_dup, packing, quality, queries, token_counts, tokens
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [None, "", "   ", "\n", "a", "a b", "Ä ö ß", "x " * 3000, "a\x00b c", "1 2 3", "</s>", "🙂 🙂"]
@@ -173,7 +173,9 @@ def test_values_equal_an_untouched_tokenizer():
     ids = tokens.Encoder(TOKENIZER)
     assert added and not ids.whole
     table = tokens.token_bytes(TOKENIZER)
-    for t, (same, offsets) in zip(texts, token_counts.encoded(own, pa.array(texts))):
+    ranks = tokens.ranks_of(public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN, queries.SPECIAL)
+    for t, (same, offsets), (again, faster) in zip(texts, token_counts.encoded(own, pa.array(texts)), token_counts.encoded(ranks, pa.array(texts))):
+        assert again == t and faster.tolist() == offsets.tolist(), t[:100]
         e = own.encode(t, add_special_tokens=False)
         assert ids.values(t).tolist() == e.ids and same == t and list(map(tuple, offsets.tolist())) == e.offsets, t[:100]
         assert b"".join(table[i] for i in e.ids).decode() == t
@@ -289,7 +291,8 @@ def test_repeated_rows_are_spread_over_groups(spark, docs):
 def test_token_counts_by_section(spark, docs):
     texts = [*ODD, "one two\nthree\n\nfour", "\n"]
     e = tokens.Encoder(TOKENIZER)
-    for r in token_counts.count_tokens(docs(texts), TOKENIZER).collect():
+    both = [token_counts.count_tokens(docs(texts), TOKENIZER), token_counts.count_tokens(docs(texts), public_tokenizers.path(queries.RANKS), pattern=public_tokenizers.PATTERN, special=queries.SPECIAL)]
+    for r in [r for x in both for r in x.collect()]:
         t = texts[r.doc_id] or ""
         got = e.tokenizer.encode(t, add_special_tokens=False)
         want = [0] * (t.count("\n") + 1)
