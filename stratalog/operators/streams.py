@@ -83,3 +83,14 @@ def flushes(events: DataFrame, by: str, order: list[str], n: int = 30, seconds:
     inside = F.row_number().over(Window.partitionBy(by, "_slot").orderBy(*order))
     part = events.withColumn("_slot", slot).withColumn("_part", F.floor((inside - 1) / n))
     return part.withColumn("flush", (F.dense_rank().over(Window.partitionBy(by).orderBy("_slot", "_part")) - 1).cast("long")).drop("_slot", "_part")
+
+
+def numbered(df: DataFrame, order: list[str], save, first: int = 1, name: str = "number") -> DataFrame:
+    """df with its place in the order, from `first` on. save(df) -> df writes Parquet: sorted ranges become files, whose rows are
+    counted; a row's number is where its file begins and its place there, so no task sees all rows."""
+    kept = save(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    at = kept.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = at.groupBy("_file").agg(F.max("_row").alias("_last"))  # one row a range
+    before = F.sum(F.col("_last") + 1).over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    begins = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_begin"))
+    return at.join(F.broadcast(begins), "_file").withColumn(name, F.col("_begin") + F.col("_row") + first).drop("_file", "_row", "_begin")

@@ -6,11 +6,13 @@ are parameters, so the same call gives the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.operators.collisions import resolve
+from stratalog.operators.streams import numbered
 from stratalog.operators.trees import select_below
+from stratalog.scratch import save
 
 
 def logged(outcome: DataFrame, record_id: str, domain: str, name: str, extra: str | None, sources: list[str], at: int, first_id: int = 1, rollback_enabled: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -20,10 +22,8 @@ def logged(outcome: DataFrame, record_id: str, domain: str, name: str, extra: st
         F.lit(record_id).alias("record_id"), F.lit(domain).alias("domain"), F.lit(name).alias("record_name"), F.coalesce(F.lit(extra).cast("string"), F.lit("")).alias("extra"),
         F.array(*[F.lit(s) for s in sources]).cast("array<string>").alias("source_paths"), F.lit(at).cast("long").alias("created_at"), F.lit("applied").alias("rollback_status"), F.lit(rollback_enabled).alias("rollback_enabled"),
     )
-    # a record is one user action; its items are numbered in one sequence
-    number = F.row_number().over(Window.orderBy("ordinal")) + F.lit(first_id - 1)
-    items = outcome.select(
-        number.cast("long").alias("id"), F.lit(record_id).alias("record_id"), "old_path", "new_path", F.col("success").alias("apply_success"), F.col("error").alias("apply_error"),
+    items = numbered(outcome, ["ordinal"], save, first_id, "id").select(
+        F.col("id").cast("long").alias("id"), F.lit(record_id).alias("record_id"), "old_path", "new_path", F.col("success").alias("apply_success"), F.col("error").alias("apply_error"),
         F.lit(None).cast("boolean").alias("rollback_success"), F.lit(None).cast("string").alias("rollback_error"), F.lit(at).cast("long").alias("updated_at"),
     )
     return record, items

@@ -8,11 +8,14 @@ rows, `ahash` each cell with the mean; bits go row by row into 64-bit words, the
 from __future__ import annotations
 
 import base64
+import struct
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from stratalog.operators import filters
 
@@ -81,3 +84,62 @@ def hashed(images: DataFrame, kind: str = "phash", side: int = 16, least_width:
             yield f[rest].assign(words=pd.Series(words, f.index, dtype=object))
 
     return kept.mapInPandas(run, f"{kinds}, words array<bigint>")
+
+
+_HEADER = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("format", T.StringType())])
+
+
+def header_of(head: bytes) -> tuple[int, int, str] | None:
+    """Width, height and format by the first bytes of a file, whatever its name; None where they tell no image."""
+    try:
+        if head[:8] == b"\x89PNG\r\n\x1a\n" and head[12:16] == b"IHDR":
+            return (*struct.unpack(">II", head[16:24]), "png")
+        if head[:6] in (b"GIF87a", b"GIF89a"):
+            return (*struct.unpack("<HH", head[6:10]), "gif")
+        if head[:2] == b"BM":
+            width, height = struct.unpack("<ii", head[18:26])
+            return width, abs(height), "bmp"  # a negative height says that rows go down
+        if head[:4] == b"RIFF" and head[8:12] == b"WEBP":
+            if head[12:16] == b"VP8X":
+                return 1 + int.from_bytes(head[24:27], "little"), 1 + int.from_bytes(head[27:30], "little"), "webp"
+            if head[12:16] == b"VP8L":
+                bits = int.from_bytes(head[21:25], "little")
+                return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF), "webp"
+            width, height = struct.unpack("<HH", head[26:30])
+            return width & 0x3FFF, height & 0x3FFF, "webp"
+        if head[:2] == b"\xff\xd8":
+            at = 2
+            while head[at] == 0xFF:
+                kind, size = head[at + 1], int.from_bytes(head[at + 2 : at + 4], "big")
+                if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame, not a table
+                    height, width = struct.unpack(">HH", head[at + 5 : at + 9])
+                    return width, height, "jpeg"
+                at += 2 + size
+    except (struct.error, IndexError):
+        pass
+    return None
+
+
+@pandas_udf(_HEADER)
+def header(head: pd.Series) -> pd.DataFrame:
+    """header_of() of the first bytes; nothing is decoded."""
+    return pd.DataFrame([header_of(h) or (None, None, None) if h is not None else (None, None, None) for h in head], columns=["width", "height", "format"]).astype({"width": "Int32", "height": "Int32"})
+
+
+def headers(files: DataFrame, path_col: str = "path", kib: int = 64) -> DataFrame:
+    """files on a mounted file system with width, height and format; only the first kib KiB of each are read."""
+
+    def run(frames):
+        for f in frames:
+            found = []
+            for p in f[path_col]:
+                try:
+                    with open(p, "rb") as s:
+                        found.append(header_of(s.read(kib * 1024)) or (None, None, None))
+                except OSError:
+                    found.append((None, None, None))
+            more = pd.DataFrame(found, columns=["width", "height", "format"], index=f.index).astype({"width": "Int32", "height": "Int32"})
+            yield pd.concat([f, more], axis=1)
+
+    kinds = ", ".join(f"`{k}` {t}" for k, t in files.dtypes)
+    return files.mapInPandas(run, f"{kinds}, width int, height int, format string")

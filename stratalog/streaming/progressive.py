@@ -14,9 +14,10 @@ def read(spark: SparkSession, path: str, schema, files_per_trigger: int = 256) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def touched_groups(stream: DataFrame, keys: list[str], having: Column | None = None) -> DataFrame:
-    """Counts per key for update mode: each trigger emits the groups it touched, complete as they stand."""
-    out = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+def touched_groups(stream: DataFrame, keys: list[str], having: Column | None = None, id_col: str = "event_id") -> DataFrame:
+    """Counts per key for update mode: each trigger emits the groups it touched, as they stand: their number of rows, and the
+    smallest and largest id. For their members see members_into()."""
+    out = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"))
     return out.filter(having) if having is not None else out
 
 
@@ -38,6 +39,28 @@ def latest_into(path: str, key: str, order_col: str) -> Callable[[DataFrame, int
     return sink
 
 
+def members_into(path: str, keys: list[str], least: int = 2) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps each batch's rows and emits the groups it touched with all their members so far, where they have at least
+    `least`. A batch that comes again replaces itself. Emissions are read with latest_members()."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        rows = spark.read.schema(batch.schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows").filter(F.col("batch") <= number).drop("batch")
+        touched = spark.read.schema(batch.schema).parquet(f"{path}/rows/batch={number}").select(*keys).distinct()
+        full = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(*keys)
+        rows.join(touched.join(full, keys, "left_semi"), keys, "left_semi").write.mode("overwrite").parquet(f"{path}/groups/batch={number}")
+
+    return sink
+
+
+def latest_members(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Of every group the members of its last emission."""
+    rows = spark.read.parquet(f"{path}/groups")
+    last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [*keys, "batch"], "left_semi").drop("batch")
+
+
 def latest(spark: SparkSession, path: str, key: str, order_col: str) -> DataFrame:
     rows = spark.read.parquet(path)
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(order_col, "batch")).alias("r")).select("r.*").drop("batch")

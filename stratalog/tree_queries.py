@@ -492,3 +492,47 @@ def roots_longest_first(spark, sf_dir):
 def first_items(spark, sf_dir):
     found = streams.page(_items(spark, sf_dir).select("id"), ["id"], 0, 5).collect()
     return spark.createDataFrame([(r.id, i + 1) for i, r in enumerate(found)], "id long, place long")
+
+
+# lookups, headers and streams
+
+
+@query("""SELECT c_custkey AS pid, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 't' || c_custkey || '|x' END AS tags,
+    CASE WHEN c_custkey % 15 = 0 THEN 'not found' WHEN c_custkey % 10 = 0 THEN 'HTTP 500' WHEN c_custkey % 5 = 0 THEN 'denied' END AS error FROM customer""")
+def lookup_fetch(spark, sf_dir):
+    """A lookup that needs no network: what it gives and how it fails is told by the key."""
+    def fetch(key: str) -> list[str]:
+        k = int(key)
+        if k % 15 == 0:
+            raise lookups.LookupFailed(404)
+        if k % 10 == 0:
+            raise lookups.LookupFailed(500)
+        if k % 5 == 0:
+            raise lookups.LookupFailed(message="denied")
+        return [f"t{k}", "x"]
+
+    keys = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pid"))
+    return lookups.fetched(lookups.requests(keys), fetch).select("pid", F.array_join("tags", "|").alias("tags"), "error")
+
+
+@query("""SELECT p_partkey, CAST(CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE p_size END AS INT) AS width, CAST(CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE p_partkey % 60000 END AS INT) AS height,
+    CASE p_partkey % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'jpeg' END AS format FROM part""")
+def image_headers(spark, sf_dir):
+    w, h, k = F.col("p_size").cast("int"), (F.col("p_partkey") % 60000).cast("int"), F.col("p_partkey") % 4
+    big = lambda x, n: F.lpad(F.hex(x), 2 * n, "0")
+    little = lambda x: F.concat(F.substring(big(x, 2), 3, 2), F.substring(big(x, 2), 1, 2))
+    text = F.when(k == 0, F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4))).when(k == 1, F.concat(F.lit("474946383961"), little(w), little(h))).when(k == 2, F.concat(F.lit("FFD8FFE000044A46FFC0001108"), big(h, 2), big(w, 2))).otherwise(F.lit("00FF"))
+    return _t(spark, sf_dir, "part").select("p_partkey", images.header(F.unhex(text)).alias("h")).select("p_partkey", "h.*")
+
+
+@query("""WITH g AS (SELECT user_id, event_type FROM events GROUP BY ALL HAVING count(*) >= 2) SELECT user_id, event_type, event_id FROM events JOIN g USING (user_id, event_type)""")
+def stream_group_members(spark, sf_dir):
+    """Events come in several files; each trigger emits the groups that it touched, with all members so far."""
+    from stratalog.streaming import progressive
+
+    at = folder(spark, "stream")
+    events = _t(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    events.repartition(3, "event_id").write.parquet(f"{at}/in")
+    q = progressive.start(progressive.read(spark, f"{at}/in", events.schema, 1), progressive.members_into(at, ["user_id", "event_type"]), f"{at}/state", mode="append")
+    q.awaitTermination()
+    return progressive.latest_members(spark, at, ["user_id", "event_type"])
