@@ -43,10 +43,13 @@ def similarity(distance: Column, bits: Column) -> Column:
 
 def sign_words(vector: Column | str) -> Column:
     """64-bit words with bit i of word k set where element 64 * k + i is above 0."""
-    v = _c(vector)
-    bit = lambda i: F.when(F.get(v, i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(64)))).otherwise(F.lit(0).cast("long"))
-    word = lambda k: F.aggregate(F.sequence(k * 64, k * 64 + 63), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(bit(i)))
-    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / 64).cast("int") - 1), word)
+
+    def words(v: Column) -> Column:
+        bit = lambda i: F.when(F.get(v, i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(64)))).otherwise(F.lit(0).cast("long"))
+        word = lambda k: F.aggregate(F.sequence(k * 64, k * 64 + 63), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(bit(i)))
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / 64).cast("int") - 1), word)
+
+    return once(_c(vector), words)
 
 
 # times
