@@ -150,8 +150,8 @@ def trees(rows: DataFrame, tokenizer: str, conv_col: str = "conv_id", turn_col:
     roots = written(trunk.filter("root = node").select("root", parts.alias("parts")), "roots")
     known = _with(turns, trunk.select("node", F.lit(True).alias("trunk")), "node")
     if cut := roots.limit(1).count():
-        known = written(known, "known")
-        known = _with(known, roots, "root")
+        marked = written(known, "known")
+        known = _with(marked, roots, "root")
     else:
         known = known.withColumn("parts", F.lit(None).cast("long"))
     known = known.withColumn("trunk", F.coalesce("trunk", F.lit(False)))
@@ -216,7 +216,7 @@ def trees(rows: DataFrame, tokenizer: str, conv_col: str = "conv_id", turn_col:
         yield pa.RecordBatch.from_pydict({"root": pa.array([key[0].as_py()]), "part": pa.array([key[1].as_py()], pa.int64()), "parts": pa.array([parts], pa.int64()), "ids": pa.array([flat[0]], pa.list_(pa.int32())), "positions": pa.array([flat[1]], pa.list_(pa.int32())), "nodes": pa.array([nodes], pa.list_(NODE)), "leaves": pa.array([leaves], pa.list_(LEAF))})
 
     out = written(every.groupBy("root", "part").applyInArrow(build, SEQUENCE), "sequences")
-    discard(spark, turns, trunk, roots)
+    discard(spark, turns, trunk, roots, *([marked] if cut else []))
     return out
 
 

@@ -148,8 +148,8 @@ def _once(sets: DataFrame, again: DataFrame) -> DataFrame:
     return sets.join(again, "id", "left_anti").unionByName(sets.join(again, "id", "left_semi").dropDuplicates(["id", "h"]))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, again: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (written table) that are links by their full sets."""
+def _verified(pairs: DataFrame, texts: DataFrame, again: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (written table) that are links by their full sets, and the written sets that they are read from."""
     ends = pairs.selectExpr("explode(array(struct(a id, ha h), struct(b id, hb h))) e").select("e.*").distinct()
     own = texts.join(_looked_up(ends.select("id").distinct()), "id", "left_semi")
     own = written(_sets(own, shingle).join(_looked_up(ends), ["id", "h"], "left_semi"), "sets")
@@ -164,7 +164,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, again: DataFrame, shingle: int
                 keep[i] = len(u) > 0 and 100 * same >= percent * (len(u) + len(v) - same)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long").distinct(), own
 
 
 def _parts(batches, names: list[str]):
@@ -266,7 +266,7 @@ def _search_part(rows: dict, percent: int, least: int):
                 yield max(ids[i], ids[k]), min(ids[i], ids[k])
 
 
-def _dealt(members: DataFrame) -> DataFrame:
+def _dealt(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """members(key, count, id, h, root) of open buckets in parts, so that any two members of different roots meet in one.
 
     The root with most rows of a bucket is its body; two rows of the body needn't meet. What is not body is cut into
@@ -282,7 +282,7 @@ def _dealt(members: DataFrame) -> DataFrame:
     last = F.when(F.col("in_body"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("own") - 1)
     parts = known.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    return parts.withColumn("part", low.cast("long") * F.lit(1 << 32) + high).withColumn("side", F.when(F.col("block") == low, 0).otherwise(1)).drop("body", "rest", "own", "in_body", "block", "other")
+    return parts.withColumn("part", low.cast("long") * F.lit(1 << 32) + high).withColumn("side", F.when(F.col("block") == low, 0).otherwise(1)).drop("body", "rest", "own", "in_body", "block", "other"), body
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -306,20 +306,22 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     star = shared.groupBy("id", "h").agg(F.min("pivot").alias("b"), F.min_by("ph", "pivot").alias("hb")).filter("id <> b").selectExpr("id a", "h ha", "b", "hb")
     star = written(star, "star")
     tried = written(_likely(star, minis, percent), "likely")
-    found = written(_verified(tried, texts, again, shingle, percent).unionByName(own), "links")
+    linked, first = _verified(tried, texts, again, shingle, percent)
+    found = written(linked.unionByName(own), "links")
     roots = components(found)
     now = written(shared.drop("pivot", "ph").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     open_ = now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
     inside = written(now.join(open_, "key", "left_semi"), "open")
     pairs = _pairs_inside(inside.filter(f"count <= {SMALL}").join(minis.select("id", "h", "n", "mini"), ["id", "h"]), percent)
     pairs = written(pairs.join(tried, ["a", "ha", "b", "hb"], "left_anti"), "likely")
-    small = _verified(pairs, texts, again, shingle, percent)
+    small, second = _verified(pairs, texts, again, shingle, percent)
     large = inside.filter(f"count > {SMALL}")
     sets = written(_sets(texts.join(_looked_up(large.select("id").distinct()), "id", "left_semi"), shingle), "sets")
-    large = _links_inside(_dealt(large).join(minis, ["id", "h"]).join(_once(sets, again), ["id", "h"]), percent)
+    parts, bodies = _dealt(large)
+    large = _links_inside(parts.join(minis, ["id", "h"]).join(_once(sets, again), ["id", "h"]), percent)
     more = written(small.unionByName(large).unionByName(roots.selectExpr("node a", "root b")), "links")
     final = components(more)
-    discard(spark, shared, star, tried, found, roots, now, inside, pairs, more, minis, again, sets)
+    discard(spark, shared, star, tried, found, roots, now, inside, pairs, more, minis, again, sets, first, second, bodies)
     return sig, classes, final
 
 
