@@ -7,8 +7,7 @@ or near the target stay as they are.
 
 A version is one JSON file `manifest/v%010d.json` with all live files and what version added each. It is written under a
 temporary name and then published by a step that fails if the number is taken: a hard link on a local file system, a
-rename that doesn't overwrite on HDFS and its like, a conditional create on stores that offer one; other file systems are
-refused. So readers always see a whole version, and of two writers one retries. Data files carry a fresh name and are
+rename that doesn't overwrite on HDFS and its like; other file systems are refused. So readers always see a whole version, and of two writers one retries. Data files carry a fresh name and are
 never changed. vacuum() deletes files that no kept version names: old versions' files, and, once they are older than a
 grace period, what failed writes and lost races have left. A task that is run again writes under Spark's committer;
 files of a failed attempt are never in a manifest.
@@ -205,7 +204,7 @@ class ShardedTable:
 
 
 def sharded(docs: DataFrame, root: str, arrivals: int = 8, id_col: str = "doc_id", target_bytes: int = TARGET_BYTES) -> tuple[ShardedTable, DataFrame]:
-    """docs dealt to arrivals by their id, appended, compacted and read back with the version that added each row."""
+    """docs dealt to arrivals by their (whole-number) id, appended, compacted and read back with the version that added each row."""
     at = ShardedTable(docs.sparkSession, root, target_bytes)
     at.append_arrivals(docs, F.coalesce(F.pmod(F.col(id_col), F.lit(arrivals)), F.lit(0)).cast("int"), arrivals)
     at.compact()
