@@ -30,7 +30,7 @@ from stratalog.llm.shared import give_back, small_batches
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 18, 12, 5, 4.0
 TRAIN_DOCS, TRAIN_BYTES, THRESHOLD, SEED = 5000, 48_000_000, 0.3, 11
-GRAMS, GAPS = (1, 3, 4), 3
+GRAMS, GAPS, CHUNK = (1, 3, 4), 3, 100
 _CASED = byte_table([0x20, *range(0x09, 0x0E)], lower=False)
 
 
@@ -87,41 +87,47 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
+def weighed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The different features of each text and their shares."""
+    raw, offsets = utf8(pa.array(texts, pa.large_string()))
+    for a, b in slices(offsets):
+        blocks = list(features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+        for d in range(b - a):
+            ids, n = np.unique(np.concatenate([x[at[d] : at[d + 1]] for x, at in blocks]), return_counts=True)
+            yield ids, (n / max(1, n.sum())).astype(np.float32)
+
+
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE) -> Classifier:
-    """Plain stochastic gradient descent, one document a step, the rate falling to nothing."""
+    """Plain stochastic gradient descent, one document a step, the rate falling to nothing. The features of CHUNK documents are
+    held at a time, and found again in each epoch."""
     if not texts:
         return Classifier(np.zeros(BUCKETS + GAPS), 0.0)
     rng = np.random.default_rng(SEED)
-    own: list[tuple[np.ndarray, np.ndarray]] = []  # views of one array a slice
-    raw, offsets = utf8(pa.array(texts, pa.large_string()))
-    for a, b in slices(offsets):
-        blocks = list(features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-        some = [np.unique(np.concatenate([x[at[d] : at[d + 1]] for x, at in blocks]), return_counts=True) for d in range(b - a)]
-        ids, share = np.concatenate([i for i, _ in some]).astype(np.int32), np.concatenate([n / max(1, n.sum()) for _, n in some]).astype(np.float32)
-        cuts = np.cumsum([len(i) for i, _ in some])[:-1]
-        own += zip(np.split(ids, cuts), np.split(share, cuts))
+    every = rng.permutation(len(texts))
+    chunks = [every[k : k + CHUNK] for k in range(0, len(every), CHUNK)]
+    y = np.array(labels) > 0
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + GAPS, DIM)).astype(np.float32)
     output = rng.uniform(-1 / DIM, 1 / DIM, (DIM, 2)).astype(np.float32)
-    y = np.array(labels) > 0
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     bias = np.log([1 - share, share]).astype(np.float32)
-    step, steps = 0, epochs * len(own)
+    step, steps = 0, epochs * len(texts)
     for _ in range(epochs):
-        for d in rng.permutation(len(own)):
-            ids, weight = own[d]
-            now = rate * (1 - step / steps)
-            step += 1
-            rows = vectors[ids]
-            mean = weight @ rows
-            out = mean @ output + bias
-            p = np.exp(out - out.max())
-            p /= p.sum()
-            p[int(y[d])] -= 1
-            back = output @ p
-            output -= 0.1 * now * np.outer(mean, p)
-            bias -= 0.01 * now * p
-            # a feature's own rate: the gradient is its share of the text, so rare ones are lifted by the root
-            vectors[ids] = rows - (now * np.sqrt(weight))[:, None] * back
+        for c in rng.permutation(len(chunks)):
+            chunk = rng.permutation(chunks[c])
+            for d, (ids, weight) in zip(chunk, weighed([texts[d] for d in chunk])):
+                now = rate * (1 - step / steps)
+                step += 1
+                rows = vectors[ids]
+                mean = weight @ rows
+                out = mean @ output + bias
+                p = np.exp(out - out.max())
+                p /= p.sum()
+                p[int(y[d])] -= 1
+                back = output @ p
+                output -= 0.1 * now * np.outer(mean, p)
+                bias -= 0.01 * now * p
+                # a feature's own rate: the gradient is its share of the text, so rare ones are lifted by the root
+                vectors[ids] = rows - (now * np.sqrt(weight))[:, None] * back
     return Classifier((vectors @ (output[:, 1] - output[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
