@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.shared import discard, salted_join, written
+from stratalog.llm.shared import discard, give_back, salted_join, written
 from stratalog.llm.tokens import encoder, token_bytes
 
-PART_CHARS, PART_LEAVES = 1_000_000, 500
+PART_CHARS, PART_LEAVES = 250_000, 500
 #: nodes of trunks, or roots of trees, that are broadcast (about 100 bytes each); more are joined by a salted shuffle
 BROADCAST_NODES = 200_000
 OPEN, CLOSE, END = "<|", "|>", "<|end|>"
@@ -259,7 +259,8 @@ def read_back(sequences: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         table = token_bytes(tokenizer)
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):  # a row is a whole part, so one at a time as Python objects
+                r = b.slice(i, 1).to_pylist()[0]
                 own, trunk = _Sequence(r["ids"], r["nodes"], table), None
                 if r["trunk_ids"] is not None:
                     trunk = _Sequence(r["trunk_ids"], r["trunk_nodes"], table)
@@ -270,6 +271,8 @@ def read_back(sequences: DataFrame, tokenizer: str) -> DataFrame:
                     out.append((leaf["conv_id"], *known[k]))
                 c = list(zip(*out)) if out else [[]] * 6
                 yield pa.RecordBatch.from_pydict({"conv_id": pa.array(c[0], pa.int64()), "n_turns": pa.array(c[1], pa.int64()), "turns_sha256": pa.array(c[2], pa.string()), "loss_chars": pa.array(c[3], pa.int64()), "loss_sha256": pa.array(c[4], pa.string()), "formatted_chars": pa.array(c[5], pa.int64())})
+                del r, own, trunk, known
+            give_back(False)
 
     columns = ["root", "part", "ids", "nodes", "leaves"]
     none = [F.lit(None).cast(dict(sequences.dtypes)[c]).alias(f"trunk_{c}") for c in ("ids", "nodes")]
