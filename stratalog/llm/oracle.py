@@ -51,4 +51,29 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
     """,
+    # a SHA-1 in base32: five hexadecimal digits are four of its characters
+    "op11_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages),
+        m AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS head FROM p)
+        SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS INTEGER) // CAST(2 ** (15 - 5 * (i % 4)) AS INTEGER)) % 32 AS BIGINT), 1)), '') AS payload_digest,
+            CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM m
+    """,
+    # all terms of all pairs, zeros too
+    "op12_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        o AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+        c AS (SELECT lang, source, term, count(*) AS n FROM o GROUP BY 1, 2, 3),
+        v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY 1),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS n_lang FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        s AS (SELECT lang, source, sum(n) AS n FROM x GROUP BY 1, 2),
+        p AS (SELECT x.lang, x.source, x.term, x.n, CAST(1 + (1000000000 * (CAST(x.n AS HUGEINT) + 2)) // (s.n + 2 * v.v) AS BIGINT) AS p, CAST(1 + (1000000000 * (CAST(x.n_lang AS HUGEINT) + 2)) // (v.n + 2 * v.v) AS BIGINT) AS q
+            FROM x JOIN s ON s.lang = x.lang AND s.source = x.source JOIN v ON v.lang = x.lang),
+        f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q)
+        SELECT *, CAST(row_number() OVER w AS INTEGER) AS rank FROM y WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR rank <= 10
+    """,
 }

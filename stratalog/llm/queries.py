@@ -94,6 +94,30 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.cross_entropy_difference(docs, good)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm import warc as m
+    from stratalog.llm.shared import discard, written
+
+    archives = m.write(table(spark, sf_dir, "pages"))
+    records = m.settled(m.read(archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = written(records, "warc_records")
+    m.remove(archives)
+    discard(spark, archives)
+    return out
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm import divergence as m
+
+    return m.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm import spelling as m
+
+    return m.variants(table(spark, sf_dir, "documents"), misspelt=97)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_decontaminate": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
     "op9_shards": {"doc_id": "bigint", "added_version": "bigint", "tiers_settled": "boolean"},
     "op10_lm_score": {"doc_id": "bigint", "n_tokens": "bigint", "background_loss": "double", "target_loss": "double", "score": "double"},
+    "op11_warc": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
+    "op12_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
+    "op13_spelling": {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"},
 }
 
 
