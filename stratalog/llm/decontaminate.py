@@ -2,12 +2,12 @@
 
 Each slice of documents becomes a shard with its own suffix array: the positions of all its words, sorted by the words from
 there to the end of their document. Every suffix of every benchmark item that holds a whole window is searched for in it by
-bisection; all such suffixes take their steps together. Where the shard has the suffix's window, the range of the array that
+bisection, unless the shard lacks a word of the window; all such suffixes take their steps together. Where the shard has the suffix's window, the range of the array that
 begins with it gives every place of it, and the common prefix of the two texts there is the verbatim match, which may
 go on beyond the window. A document's longest match is the longest of these (ties: the first item, the place in it, the
 place in the document).
 
-The map runs in one pass over the documents, with no shuffle. The benchmark is cut into blocks of at most `block_bytes`
+The map runs in one pass over the documents, with no shuffle. The benchmark, without rows that repeat both id and text, is cut into blocks of at most `block_bytes`
 of text, collected and broadcast one after another: the rows with what was found so far are written between two blocks, and
 a block is let go before the next is read, so driver and workers hold one block however large the benchmark is.
 
@@ -30,6 +30,8 @@ from stratalog.llm.shared import discard, small_batches, written
 
 WINDOW = 10
 BLOCK_BYTES = 32_000_000
+#: text of documents in one suffix array
+SHARD_BYTES = 2_000_000
 FOUND = "n_words long, spans array<bigint>, items array<bigint>, match_words long, match_item bigint, match_item_word long, match_word long"
 
 
@@ -41,7 +43,9 @@ class Items:
         ids, texts = [ids[k] for k in order], [texts[k] for k in order]
         raw, offsets = utf8(pa.array(texts, pa.large_string()))
         words = Words(raw, offsets, ALNUM)
-        self.hash, self.item, self.first = words.hash, words.doc, words.first
+        self.item, self.first = words.doc, words.first
+        #: the distinct words, and which of them each word is
+        self.distinct, self.which = np.unique(words.hash, return_inverse=True)
         self.names = np.array([0 if i is None else i for i in ids], np.int64)
         self.named = np.array([i is not None for i in ids], bool)
         n = np.arange(len(words.hash))
@@ -70,11 +74,15 @@ class Shard:
         self.codes[ends] = 2 * np.arange(n_docs)
         self.array = suffix_array(self.codes)[n_docs:]  # without those of the marks alone, which come first
 
-    def coded(self, hashes: np.ndarray) -> np.ndarray:
-        """Codes that sort with the shard's own; a word that the shard lacks has one between two of these."""
-        at = np.searchsorted(self.vocabulary, hashes)
-        known = self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == hashes
-        return (2 * at + known + 2 * self.words.n_docs).astype(np.int32)
+    def coded(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
+        """Codes that sort with the shard's own, a word that the shard lacks has one between two of these; and the suffixes whose
+        windows have none of those."""
+        at = np.searchsorted(self.vocabulary, items.distinct)
+        known = self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == items.distinct
+        codes = (2 * at + known + 2 * self.words.n_docs).astype(np.int32)[items.which]
+        lacking = np.zeros(len(codes) + 1, np.int32)
+        np.cumsum(~known[items.which], out=lacking[1:])
+        return codes, np.flatnonzero(lacking[items.at + items.length] == lacking[items.at])
 
     def _bound(self, codes: np.ndarray, at: np.ndarray, length: np.ndarray, after: bool) -> np.ndarray:
         """By bisection: how many suffixes sort before the words codes[at : at + length], or not after them."""
@@ -101,17 +109,18 @@ class Shard:
         none = (np.zeros(0, np.int64),) * 3
         if not len(items) or not len(self.array):
             return none
-        codes = self.coded(items.hash)
-        low = self._bound(codes, items.at, items.length, False)
+        codes, found = self.coded(items)
+        low = self._bound(codes, items.at[found], items.length[found], False)
         # of the suffixes that have a first candidate, those whose window stands there
-        found = np.flatnonzero(low < len(self.array))
-        found = found[self._same(self.array[low[found]], codes, items.at[found], items.length[found]) == items.length[found]]
+        found, low = found[low < len(self.array)], low[low < len(self.array)]
+        there = self._same(self.array[low], codes, items.at[found], items.length[found]) == items.length[found]
+        found, low = found[there], low[there]
         if not len(found):
             return none
         high = self._bound(codes, items.at[found], items.length[found], True)
-        hits = high - low[found]
+        hits = high - low
         which = np.repeat(found, hits)
-        rank = np.arange(len(which)) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(low[found], hits)
+        rank = np.arange(len(which)) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(low, hits)
         place = self.array[rank]
         more = self._same(place, codes, items.at[which], (items.end - items.at)[which], items.length[which])
         return np.searchsorted(self.place, place), which, more
@@ -164,7 +173,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
 def found_in(column: pa.Array, items: Items) -> Iterator[tuple[int, dict | None]]:
     """For each document: its number of words, and what was found in it, if anything."""
     raw, offsets = utf8(column)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, SHARD_BYTES):
         words = Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
         pos, which, match = Shard(words).search(items) if len(items) else (np.zeros(0, np.int64),) * 3
         found: dict[int, dict] = {}
@@ -210,7 +219,7 @@ def blocks(bench: DataFrame, item_col: str = "item_id", text_col: str = "text",
     when the next is asked for."""
     small_batches(bench.sparkSession)
     spark = bench.sparkSession
-    rows = bench.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
+    rows = bench.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
     for k in range(n):

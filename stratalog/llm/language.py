@@ -13,9 +13,10 @@ Symbols: every lower-cased letter that the samples hold, one symbol for all othe
 else. Transitions are sparse: rows of different states are laid into each other, so a table grows with the sample and
 not with the alphabet.
 
-Bounds of the sample: DOCS documents a language, picked by a hash of their id, equal texts once, whole, and fewer of
-them where they would exceed SYMBOLS characters a language or TOTAL in all languages (about 20 bytes of table each);
-the first is taken whatever its length.
+Bounds of the sample, parameters of fit(): `docs_a_language` documents, picked by a hash of their id, equal texts once, whole, and fewer of
+them where they would exceed `symbols` characters, which texts of some thousand characters do after a few dozen; the first is
+taken whatever its length. A table has about 20 bytes a character, on the driver and in each worker; so of more than `total` /
+`symbols` languages each has its share of `total` only, and `total` is to be raised with the memory there is.
 Every fifth is kept out of the automaton, to tell what is usual for unseen text of the language.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; with no labelled text at all,
@@ -308,7 +309,7 @@ def laid(goto: list[dict[int, int]], width: int, slack: float = 1.5) -> tuple[np
     return owner, to, place[len(goto) - 1]
 
 
-def fit(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_a_language: int = DOCS) -> Languages:
+def fit(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_a_language: int = DOCS, symbols: int = SYMBOLS, total: int = TOTAL) -> Languages:
     """Automata from rows where the SQL condition `learn` on id_col holds and the language isn't null."""
     small_batches(docs.sparkSession)
     key = F.col(id_col).cast("string")
@@ -328,7 +329,7 @@ def fit(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "te
     by: dict[str, list] = {}
     for r in sorted(sizes, key=lambda r: r.h):
         by.setdefault(r.lang, []).append(r)
-    bound = min(SYMBOLS, TOTAL // max(1, len(by)))
+    bound = min(symbols, total // max(1, len(by)))
     chosen = []
     for lang, own in by.items():
         size = 0

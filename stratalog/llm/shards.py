@@ -192,10 +192,13 @@ class ShardedTable:
         if not lineage:
             return self.spark.read.schema(kind).parquet(*[f"{self.root}/{f['file']}" for f in files])
         rows = self.spark.read.schema(whole).parquet(*[f"{self.root}/{f['file']}" for f in files])
-        added = self.spark.createDataFrame([(f["file"], f["added"]) for f in files], "_file string, _by long")
-        rows = rows.withColumn("_file", F.concat(F.lit("data/"), F.regexp_extract(F.url_decode("_metadata.file_path"), "^.*/data/(.*)$", 1)))
-        rows = rows.join(F.broadcast(added) if len(files) <= BROADCAST_FILES else added, "_file", "left")
-        return rows.select(*kind.fieldNames(), F.coalesce(ADDED, "_by").alias(ADDED))
+        # names that no column of the table has; metadataColumn also finds the file where a column is called _metadata
+        file, by = f"_file_{uuid.uuid4().hex}", f"_by_{uuid.uuid4().hex}"
+        added = self.spark.createDataFrame([(f["file"], f["added"]) for f in files], f"{file} string, {by} long")
+        at = rows.metadataColumn("_metadata")["file_path"]
+        rows = rows.withColumn(file, F.concat(F.lit("data/"), F.regexp_extract(F.url_decode(at), "^.*/data/(.*)$", 1)))
+        rows = rows.join(F.broadcast(added) if len(files) <= BROADCAST_FILES else added, file, "left")
+        return rows.select(*[_quoted(c) for c in kind.fieldNames()], F.coalesce(ADDED, by).alias(ADDED))
 
     def read(self, version: int | None = None, lineage: bool = False) -> DataFrame:
         """The rows of a version; with `lineage`, what version added each."""
@@ -203,6 +206,10 @@ class ShardedTable:
         return self._read(m["files"], m["schema"], lineage)
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def sharded(docs: DataFrame, root: str, arrivals: int = 8, id_col: str = "doc_id", target_bytes: int = TARGET_BYTES) -> tuple[ShardedTable, DataFrame]:
     """docs dealt to arrivals by their (whole-number) id, appended, compacted and read back with the version that added each row."""
     at = ShardedTable(docs.sparkSession, root, target_bytes)

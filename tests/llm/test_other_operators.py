@@ -125,6 +125,16 @@ def test_recall_over_several_blocks(spark, monkeypatch):
         assert len(own) == 20 and len(set(own) & set(best)) >= 18, q  # 0.9 for each query
 
 
+def test_shards_keep_columns_of_any_name(spark, tmp_path):
+    """Also those that compaction might use itself; each row keeps the version that added it."""
+    at = shards.ShardedTable(spark, str(tmp_path / "t"), fan=2)
+    for k in range(3):
+        at.append(spark.createDataFrame([(k, f"mine{k}", f"by{k}", f"m{k}", f"d{k}")], "doc_id long, _file string, _by string, _metadata string, `a.b ``c` string").coalesce(1))
+    at.compact()
+    assert len(at.manifest()["files"]) < 3
+    assert sorted(tuple(r) for r in at.read(lineage=True).collect()) == [(k, f"mine{k}", f"by{k}", f"m{k}", f"d{k}", k + 1) for k in range(3)]
+
+
 def test_shards_compact_without_loss(spark, tmp_path, docs):
     table = docs([None, "", "a", "a", *[f"text {i} " * 50 for i in range(400)]], [None, 1, 1, 2, *range(10, 410)])
     at, rows = shards.sharded(table, str(tmp_path / "t"), arrivals=6, target_bytes=1 << 20)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -580,3 +581,20 @@ def test_near_duplicates_of_repeated_ids(spark, docs, monkeypatch):
     want = sorted((i, n, find(i), find(i) == i) for i, (_, n, _, _) in zip(ids, rows))
     got = near_dup.near_duplicates(docs(texts, ids)).collect()
     assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got) == want
+
+
+def test_blocks_hold_repeated_rows_once(spark):
+    """Rows of a benchmark that repeat id and text are one, so no block outgrows its bound by them; the search leaves out windows with words that a shard lacks."""
+    r = random.Random(6)
+    items = [(k, " ".join(r.choice("abcdefghij") * 3 for _ in range(14))) for k in range(40)]
+    bench = spark.createDataFrame(items * 100, "item_id long, text string")
+    got = [(len(block.value.item), last) for block, last in decontaminate.blocks(bench, block_bytes=600)]
+    assert len(got) > 2 and sum(n for n, _ in got) == 14 * 40 and max(n for n, _ in got) < 14 * 20
+    texts = [" ".join([*(r.choice("abcdefghijxy") * 3 for _ in range(20)), *r.choice(items)[1].split()[r.randint(0, 3) :], "zzz"]) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, many = (sorted(map(str, decontaminate.matches(docs, bench, block_bytes=b).collect())) for b in (10**6, 600))
+    assert one == many
+    for row in decontaminate.matches(docs, bench).collect():
+        words = texts[row.doc_id].split()
+        hit = {i for i in range(len(words) - 9) for _, t in items if " ".join(words[i : i + 10]) in t}
+        assert sorted(p for a, b in zip(row.spans[::2], row.spans[1::2]) for p in range(a, b)) == sorted({p for i in hit for p in range(i, i + 10)})
