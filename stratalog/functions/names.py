@@ -64,10 +64,11 @@ def identity_name(guid: Column | str, author: Column | str, version: Column | st
 
 
 def folder_name(tag: Column | str) -> Column:
-    """A tag as a folder: cleaned, trimmed, without dots at either end, white space collapsed."""
+    """A tag as a folder: cleaned, trimmed, then without dots at either end, and each run of white space a blank. A blank that stood
+    beside a dot stays."""
     t = F.regexp_replace(sanitized(tag), r"(?U)^\s+|\s+$", "")
     t = F.regexp_replace(t, r"^\.+|\.+$", "")
-    return F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), r"^ | $", "")
+    return F.regexp_replace(t, r"(?U)\s+", " ")
 
 
 def digit_id(name: Column | str, low: int = 8, high: int = 9) -> Column:
@@ -87,4 +88,4 @@ def is_archive(name: Column | str) -> Column:
 
 def preview_kind(name: Column | str) -> Column:
     e = F.lower(F.coalesce(suffix(name), F.lit("")))
-    return F.when(e.isin(".txt", ".md", ".json", ".xml", ".log", ".csv"), F.lit("text")).when(e.isin(".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp"), F.lit("image")).when(e.isin(".zip", ".zipmod"), F.lit("archive")).otherwise(F.lit("unsupported"))
+    return F.when(e.isin(".txt", ".md", ".json", ".csv", ".log"), F.lit("text")).when(e.isin(".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp"), F.lit("image")).when(e.isin(".zip", ".zipmod"), F.lit("archive")).otherwise(F.lit("unsupported"))

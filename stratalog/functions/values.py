@@ -185,10 +185,15 @@ def shown(tag: Column, local: Column, remote: Column) -> Column:
     return F.coalesce(pick(local), pick(remote), tag)
 
 
-def display_tags(tags: Column, local: Column, remote: Column, excluded: Column, translate: Column) -> Column:
-    """Sorted array<struct<display, tag>> without those whose tag or display is excluded."""
+def display_tags(tags: Column, local: Column, remote: Column, excluded: Column, translate: Column, locale: str | None = None) -> Column:
+    """Sorted array<struct<display, tag>> without those whose tag or display is excluded; by bytes, or in the order of a locale
+    (UNICODE, en, de, ... as Spark's collations have it)."""
     pairs = F.transform(tags, lambda t: F.struct(F.when(translate, shown(t, local, remote)).otherwise(t).alias("display"), t.alias("tag")))
-    return F.array_sort(F.filter(pairs, lambda p: ~F.array_contains(excluded, p["display"]) & ~F.array_contains(excluded, p["tag"])))
+    kept = F.filter(pairs, lambda p: ~F.array_contains(excluded, p["display"]) & ~F.array_contains(excluded, p["tag"]))
+    if locale is None:
+        return F.array_sort(kept)
+    keyed = F.transform(kept, lambda p: F.struct(F.collate(p["display"], locale).alias("key"), p["display"].alias("display"), p["tag"].alias("tag")))
+    return F.transform(F.array_sort(keyed), lambda p: F.struct(p["display"].alias("display"), p["tag"].alias("tag")))
 
 
 def every(values: Column, test) -> Column:

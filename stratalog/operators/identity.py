@@ -39,6 +39,11 @@ def grouped(files: DataFrame, spec: GroupSpec) -> DataFrame:
     return out.withColumn("latest_version", F.first("version").over(order)).drop("version_key")
 
 
+def listed(groups: DataFrame, locale: str | None = None) -> DataFrame:
+    """Groups by group_id, in byte order or in that of a locale (UNICODE, en, de, ... as Spark's collations have it)."""
+    return groups.orderBy("group_id") if locale is None else groups.orderBy(F.collate("group_id", locale), "group_id")
+
+
 def keep_duplicates(files: DataFrame, newest: bool = True) -> DataFrame:
     """selected for all but the newest (or oldest) by mtime; equal times keep the order of paths."""
     order = Window.partitionBy("group_id").orderBy(F.desc("mtime"), "file_path")
@@ -74,12 +79,12 @@ FILES, KEPT, NEWEST, NONE, UNKNOWN = "个文件", "保留：", "最新", "（未
 
 
 def headers(files: DataFrame, by_version: bool = False) -> DataFrame:
-    """group_id and title: author, version (the latest, of versions), number of files and the name of the first file, by
-    path, that isn't selected. One aggregation that combines on the map side."""
+    """group_id and title: author, version (the latest, of versions), number of files and the name of the first file that isn't
+    selected, by path or, of versions, by `rank` as grouped() gives it. One aggregation that combines on the map side."""
     filled = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(UNKNOWN))
     name = F.substring_index(F.translate("file_path", "\\", "/"), "/", -1)
     own = F.concat_ws(" · ", filled("version"), name) if by_version else name
-    kept = F.min_by(F.when(~F.col("selected"), own), F.when(~F.col("selected"), F.col("file_path")))
+    kept = F.min_by(F.when(~F.col("selected"), own), F.when(~F.col("selected"), F.col("rank" if by_version else "file_path")))
     version = "latest_version" if by_version else "version"
     g = files.groupBy("group_id").agg(F.min_by(filled("author"), "file_path").alias("a"), F.min_by(filled(version), "file_path").alias("v"), F.count(F.lit(1)).alias("n"), kept.alias("k"))
     shown = F.concat(F.lit(f"{NEWEST} "), F.col("v")) if by_version else F.col("v")

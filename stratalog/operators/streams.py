@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalog.operators import ranges
 
-def rate_slots(events: DataFrame, interval: Column | int, time_col: str, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """slot: max(slot before + interval, own time), in closed form. A schedule is one sequence, so without `by`
-    (what is scheduled apart, such as an account) it passes through one task."""
+
+def rate_slots(events: DataFrame, interval: Column | int, time_col: str, order: list[str], by: list[str] | None = None, save=None) -> DataFrame:
+    """slot: max(slot before + interval, own time), in closed form. Without `by` (what is scheduled apart, such as an account) all events
+    are one sequence; with save(df) -> df, which writes a table, and a fixed interval it is dealt over ranges, else one task sees it."""
+    if save is not None and not by and isinstance(interval, int):
+        return ranges.rate_slots(events, interval, time_col, order, save)
     iv = F.lit(interval) if isinstance(interval, int) else interval
     keys = by or []
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -18,11 +22,13 @@ def rate_slots(events: DataFrame, interval: Column | int, time_col: str, order:
     return out.withColumn("slot", F.when(iv <= 0, F.col(time_col)).otherwise(slot)).drop("_i", "_base")
 
 
-def progress(events: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """processed, total and percent of each event within its task."""
-    total = F.count(F.lit(1)).over(Window.partitionBy(by))
-    done = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    out = events.withColumn("processed", done).withColumn("total", total)
+def progress(events: DataFrame, by: str, order: list[str], save=None) -> DataFrame:
+    """processed, total and percent of each event within its task. With save(df) -> df a task of any size is dealt over ranges."""
+    if save is not None:
+        out = ranges.running_sum(events, [by], order, F.lit(1).cast("long"), save, "processed", "total")
+    else:
+        total = F.count(F.lit(1)).over(Window.partitionBy(by))
+        out = events.withColumn("processed", F.row_number().over(Window.partitionBy(by).orderBy(*order))).withColumn("total", total)
     return out.withColumn("percent", F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.col("processed") / F.col("total") * 100))
 
 

@@ -6,7 +6,7 @@ are parameters, so the same call gives the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.operators.collisions import resolve
@@ -15,18 +15,26 @@ from stratalog.operators.trees import select_below
 from stratalog.scratch import save
 
 
-def logged(outcome: DataFrame, record_id: str, domain: str, name: str, extra: str | None, sources: list[str], at: int, first_id: int = 1, rollback_enabled: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(record, items) of outcome(ordinal, old_path, new_path, success, error); ids count up in input order."""
-    spark = outcome.sparkSession
-    record = spark.range(1).select(
+def record_of(spark: SparkSession, record_id: str, domain: str, name: str, extra: str | None, sources: list[str], at: int, rollback_enabled: bool = True) -> DataFrame:
+    """The record of an applied plan."""
+    return spark.range(1).select(
         F.lit(record_id).alias("record_id"), F.lit(domain).alias("domain"), F.lit(name).alias("record_name"), F.coalesce(F.lit(extra).cast("string"), F.lit("")).alias("extra"),
         F.array(*[F.lit(s) for s in sources]).cast("array<string>").alias("source_paths"), F.lit(at).cast("long").alias("created_at"), F.lit("applied").alias("rollback_status"), F.lit(rollback_enabled).alias("rollback_enabled"),
     )
-    items = numbered(outcome, ["ordinal"], save, first_id, "id").select(
-        F.col("id").cast("long").alias("id"), F.lit(record_id).alias("record_id"), "old_path", "new_path", F.col("success").alias("apply_success"), F.col("error").alias("apply_error"),
+
+
+def items_of(outcome: DataFrame, record_id: str, at: int) -> DataFrame:
+    """The items of outcome(ordinal, old_path, new_path, success, error), without their ids."""
+    return outcome.select(
+        "ordinal", F.lit(record_id).alias("record_id"), "old_path", "new_path", F.col("success").alias("apply_success"), F.col("error").alias("apply_error"),
         F.lit(None).cast("boolean").alias("rollback_success"), F.lit(None).cast("string").alias("rollback_error"), F.lit(at).cast("long").alias("updated_at"),
     )
-    return record, items
+
+
+def logged(outcome: DataFrame, record_id: str, domain: str, name: str, extra: str | None, sources: list[str], at: int, first_id: int = 1, rollback_enabled: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(record, items) of outcome(ordinal, old_path, new_path, success, error); ids count up in input order."""
+    items = numbered(items_of(outcome, record_id, at), ["ordinal"], save, first_id, "id")
+    return record_of(outcome.sparkSession, record_id, domain, name, extra, sources, at, rollback_enabled), items.select(F.col("id").cast("long").alias("id"), *[c for c in items.columns if c not in ("id", "ordinal")])
 
 
 def summaries(records: DataFrame, items: DataFrame, key: str = "record_id", success: Column | None = None) -> DataFrame:

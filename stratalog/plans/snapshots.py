@@ -15,9 +15,12 @@ def save(spark: SparkSession, root: str, record: DataFrame, entries: DataFrame)
 
 
 def read(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(records, entries): of a save that was cut short there is no record, so its entries aren't read."""
+    """(records, entries): of a save that was cut short there is no record, so its entries aren't read. Ids keep the type that
+    records have, whatever the folders' names look like."""
     records = spark.read.parquet(f"{root}/records")
-    return records, spark.read.parquet(f"{root}/entries").join(records.select("record_id").distinct(), "record_id", "left_semi")
+    found = spark.read.parquet(f"{root}/entries").schema
+    found["record_id"].dataType = records.schema["record_id"].dataType
+    return records, spark.read.schema(found).parquet(f"{root}/entries").join(records.select("record_id").distinct(), "record_id", "left_semi")
 
 
 def listed(records: DataFrame, entries: DataFrame) -> DataFrame:

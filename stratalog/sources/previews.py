@@ -11,26 +11,35 @@ from pyspark.sql.functions import pandas_udf
 from stratalog.functions import names, values
 
 
-@pandas_udf(T.StringType())
-def _lossy(content: pd.Series) -> pd.Series:
-    def text(c: bytes | None) -> str | None:
-        if c is None:
-            return None
-        for cut in range(4):  # a character that the limit cut through is dropped
-            try:
-                return c[: len(c) - cut].decode()
-            except UnicodeDecodeError as e:
-                if e.end < len(c) - cut:
-                    break
-        return c.decode(errors="replace")
+_SHOWN = T.StructType([T.StructField("content", T.StringType()), T.StructField("size", T.LongType()), T.StructField("truncated", T.BooleanType())])
 
-    return content.map(text)
+
+@pandas_udf(_SHOWN)
+def _shown(content: pd.Series, limit: pd.Series) -> pd.DataFrame:
+    out = []
+    for c, n in zip(content, limit):
+        if c is None:
+            out.append((None, None, None))
+            continue
+        end = min(len(c), n)
+        # back to where no character goes on, if something was cut off
+        while len(c) > n and end > 0 and c[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append((c[:end].decode(errors="replace"), end, len(c) > n))
+    return pd.DataFrame(out, columns=["content", "size", "truncated"])
+
+
+def preview(content: Column | str, kib: int = 256) -> Column:
+    """The first kib KiB as text: struct<content, size, truncated>. What is longer is cut before the character at the limit, and
+    size tells the bytes left; bytes that aren't UTF-8 are replaced."""
+    c = F.col(content) if isinstance(content, str) else content
+    # three bytes more tell whether a character goes on
+    return _shown(F.substring(c, 1, kib * 1024 + 3), F.lit(kib * 1024))
 
 
 def text_preview(content: Column | str, kib: int = 256) -> Column:
-    """The first kib KiB as text, cut at a character; other bytes that aren't UTF-8 are replaced."""
-    c = F.col(content) if isinstance(content, str) else content
-    return _lossy(F.substring(c, 1, kib * 1024))
+    """The content alone."""
+    return preview(content, kib)["content"]
 
 
 def dispatch(files: DataFrame, path_col: str = "path") -> DataFrame:

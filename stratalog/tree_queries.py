@@ -11,7 +11,7 @@ import os
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import names, paths, values
@@ -95,12 +95,21 @@ def file_hashes(spark, sf_dir):
     return _below(fswalk.hashed(fswalk.walk(spark, [at])), at).select("path", "hash")
 
 
-@query("WITH " + _FILES + """ SELECT path, CASE WHEN path LIKE '%.txt' THEN 'text' WHEN path LIKE '%.zipmod' THEN 'archive' ELSE 'image' END AS preview,
-    CASE WHEN strlen(html) <= 1024 THEN html END AS text FROM f""")
+@query("WITH " + _FILES + """, x AS (SELECT path, strlen(html) AS n, hex(encode(html)) AS h, [1024, 1023, 1022, 1021] AS ends FROM f),
+e AS (SELECT *, CASE WHEN n <= 1024 THEN n ELSE list_filter(ends, lambda e: substr(h, 2 * e + 1, 1) NOT IN ('8', '9', 'A', 'B'))[1] END AS size FROM x)
+SELECT path, CASE WHEN path LIKE '%.txt' THEN 'text' WHEN path LIKE '%.zipmod' THEN 'archive' ELSE 'image' END AS preview, decode(unhex(substr(h, 1, 2 * size))) AS text, size, n > 1024 AS truncated FROM e""")
 def content_preview(spark, sf_dir):
-    own = previews.dispatch(_files(spark, sf_dir))
-    whole = F.octet_length("html") <= 1024
-    return own.select("path", "preview", F.when(whole, previews.text_preview(F.col("html").cast("binary"), 1)).alias("text"))
+    """The first KiB of every page, cut before the character at the limit."""
+    own = previews.dispatch(_files(spark, sf_dir)).withColumn("p", previews.preview(F.col("html").cast("binary"), 1))
+    return own.select("path", "preview", F.col("p.content").alias("text"), "p.size", "p.truncated")
+
+
+@query("""WITH k AS (SELECT p_partkey, ['.txt', '.MD', '.json', '.csv', '.log', '.xml', '.PNG', '.jpg', '.jpeg', '.bmp', '.gif', '.webp', '.zip', '.ZipMod', '.tar', ''] AS e FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 16 < 5 THEN 'text' WHEN p_partkey % 16 BETWEEN 6 AND 11 THEN 'image' WHEN p_partkey % 16 IN (12, 13) THEN 'archive' ELSE 'unsupported' END AS preview FROM k""")
+def preview_kinds(spark, sf_dir):
+    ends = [".txt", ".MD", ".json", ".csv", ".log", ".xml", ".PNG", ".jpg", ".jpeg", ".bmp", ".gif", ".webp", ".zip", ".ZipMod", ".tar", ""]
+    own = _t(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/a/v1"), F.element_at(F.array(*map(F.lit, ends)), (F.col("p_partkey") % 16 + 1).cast("int"))).alias("path"))
+    return previews.dispatch(own).select("p_partkey", "preview")
 
 
 @query("SELECT min(page_id) AS first_id, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS total FROM pages")
@@ -176,7 +185,7 @@ def image_hashes(spark, sf_dir):
 
 
 @query(r"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '.zip' ELSE '.bak' END AS suffix, '[' || p_brand || ']x［y］' AS narrow,
-    replace(p_type, ' ', '-') || ' a b' AS folder, '<m><Game>K</Game></m>' || p_size AS without_game, p_name || '.' || CASE WHEN p_partkey % 2 = 0 THEN 'zip' ELSE 'ZIPMOD' END AS name FROM part""")
+    ' ' || replace(p_type, ' ', '-') || ' a b' AS folder, '<m><Game>K</Game></m>' || p_size AS without_game, p_name || '.' || CASE WHEN p_partkey % 2 = 0 THEN 'zip' ELSE 'ZIPMOD' END AS name FROM part""")
 def name_texts(spark, sf_dir):
     c = F.col
     suffix = names.normal_suffix(F.element_at(F.array(F.lit("  "), F.lit(" zip "), F.lit(".bak")), (c("p_partkey") % 3 + 1).cast("int")))
@@ -185,7 +194,7 @@ def name_texts(spark, sf_dir):
     xml = names.without_game(F.concat(F.lit("<m><game>K</game><Game>K</Game><game>K</game></m>"), c("p_size").cast("string")), "K")
     name = F.concat("p_name", F.when(c("p_partkey") % 2 == 0, ".zip").otherwise(".ZIPMOD"))
     own = _t(spark, sf_dir, "part").select("p_partkey", suffix.alias("suffix"), narrow.alias("narrow"), tag.alias("folder"), xml.alias("without_game"), name.alias("name"))
-    return own.filter(names.is_archive("name")).withColumn("folder", F.regexp_replace("folder", r"^\.+ ?", ""))
+    return own.filter(names.is_archive("name"))
 
 
 @query(r"""WITH s AS (SELECT s_suppkey, 'C:\d\' || s_suppkey AS drive, '\\srv\d\' || s_suppkey AS net FROM supplier)
@@ -439,12 +448,11 @@ def record_changes(spark, sf_dir):
     return oplog.described(records)
 
 
-@query("""SELECT o_orderkey AS record_id, CAST(o_custkey AS BIGINT) AS created_at, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS place FROM orders ORDER BY place LIMIT 30""")
+@query("""SELECT o_orderkey AS record_id, CAST(o_custkey AS BIGINT) AS created_at, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS place FROM orders""")
 def records_listed(spark, sf_dir):
     """The place of a record is that of its row as listed: the latest first."""
     records = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("created_at"))
-    listed = snapshots.listed(records, _items(spark, sf_dir)).limit(30).collect()
-    return spark.createDataFrame([(r.record_id, r.created_at, i + 1) for i, r in enumerate(listed)], "record_id long, created_at long, place long")
+    return streams.numbered(snapshots.listed(records, _items(spark, sf_dir)), [F.desc("created_at"), "record_id"], save, 1, "place").select("record_id", "created_at", "place")
 
 
 @query("""SELECT source AS record_id, doc_id, CAST(CASE WHEN doc_id % 4 = 0 THEN doc_id + 1 ELSE doc_id END AS BIGINT) AS ctime FROM documents WHERE source <> (SELECT max(source) FROM documents)""")
@@ -471,27 +479,25 @@ SELECT old_path, depth, CASE WHEN place % 3 = 0 THEN 'blocked' WHEN place % 3 =
 def empty_dirs_again(spark, sf_dir):
     files = _files(spark, sf_dir)
     dirs = files.select(F.col("dir").alias("p")).union(files.select("host")).distinct().select(F.concat(F.lit("/w/"), "p").alias("old_path"))
-    order = sorted(r.old_path for r in dirs.collect())  # folders of one test tree
-    order.sort(key=lambda p: p.count("/"))
-    there = [(p, i % 3 == 1) for i, p in enumerate(order, 1) if i % 3 != 2]
-    present = spark.createDataFrame(there, "path string, is_dir boolean")
+    order = streams.numbered(dirs.withColumn("depth", F.size(F.split("old_path", "/"))), ["depth", "old_path"], save, 1, "place")
+    present = order.filter("place % 3 <> 2").select(F.col("old_path").alias("path"), (F.col("place") % 3 == 1).alias("is_dir"))
     items = dirs.withColumn("apply_success", F.lit(True))
     return oplog.empty_dir_rollback(items, present).select("old_path", "depth", "action")
 
 
 @query("WITH " + _FILES + """, d AS (SELECT DISTINCT dir AS p FROM f UNION SELECT DISTINCT host FROM f)
-SELECT '/w/' || p AS path, row_number() OVER (ORDER BY length(p) DESC, p) AS place FROM d ORDER BY place LIMIT 20""")
+SELECT '/w/' || p AS path, row_number() OVER (ORDER BY length(p) DESC, p) AS place FROM d""")
 def roots_longest_first(spark, sf_dir):
     files = _files(spark, sf_dir)
     dirs = files.select(F.col("dir").alias("p")).union(files.select("host")).distinct()
-    found = trees.longest_first(dirs.select(F.concat(F.lit("/w/"), "p").alias("path"))).limit(20).collect()
-    return spark.createDataFrame([(r.path, i + 1) for i, r in enumerate(found)], "path string, place long")
+    found = trees.longest_first(dirs.select(F.concat(F.lit("/w/"), "p").alias("path")))
+    return streams.numbered(found, [F.desc(F.length("path")), "path"], save, 1, "place")
 
 
 @query("""WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS id FROM lineitem ORDER BY id LIMIT 5) SELECT id, row_number() OVER (ORDER BY id) AS place FROM s""")
 def first_items(spark, sf_dir):
-    found = streams.page(_items(spark, sf_dir).select("id"), ["id"], 0, 5).collect()
-    return spark.createDataFrame([(r.id, i + 1) for i, r in enumerate(found)], "id long, place long")
+    found = streams.page(_items(spark, sf_dir).select("id"), ["id"], 0, 5)
+    return found.withColumn("place", F.row_number().over(Window.orderBy("id")).cast("long"))
 
 
 # lookups, headers and streams

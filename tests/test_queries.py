@@ -2,7 +2,7 @@
 
 import pytest
 
-from stratalog import queries, tree_queries  # noqa: F401
+from stratalog import change_queries, queries, tree_queries  # noqa: F401
 from tests.oracle import differences
 
 SF = "/root/testdata/sf0.001"
