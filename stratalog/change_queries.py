@@ -20,7 +20,7 @@ from stratalog.tree_queries import _FILES, _below, _tree
 # groups by keyed state
 
 
-@query("""WITH g AS (SELECT user_id, event_type, count(*) AS n, arg_min(event_id, epoch_us(ts) * 1000000 + event_id) AS kept FROM events GROUP BY ALL HAVING count(*) >= 2)
+@query("""WITH g AS (SELECT user_id, event_type, count(*) AS n, arg_min(event_id, CAST(epoch_us(ts) AS HUGEINT) * 1000000 + event_id) AS kept FROM events GROUP BY ALL HAVING count(*) >= 2)
 SELECT user_id, event_type, event_id, n, kept FROM events JOIN g USING (user_id, event_type)""")
 def stream_keyed_groups(spark, sf_dir):
     """Events come in five files, the earliest last, a part of them twice; then the query is started again for one more. Every trigger adds its own to the state."""
@@ -162,7 +162,7 @@ def catalog_log(spark, sf_dir):
 a AS (SELECT ordinal, CASE WHEN k = 0 THEN 0 ELSE k + (k - 1) // 6 END AS i FROM q), m AS (SELECT max(i) AS most FROM a), l AS (SELECT max(ordinal) AS last FROM q),
 b AS (SELECT last + o_orderkey AS ordinal, o_orderkey AS n FROM orders, l)
 SELECT ordinal, CASE WHEN i = 0 THEN '/out/F.zip' ELSE '/out/F (' || i || ').zip' END AS new_path, i > 0 AS conflict FROM a
-UNION ALL SELECT ordinal, CASE WHEN n % 7 = 0 AND n <= 700000 OR n <= most THEN '/out/f (' || n || ') (1).zip' ELSE '/out/f (' || n || ').zip' END, n % 7 = 0 AND n <= 700000 OR n <= most FROM b, m
+UNION ALL SELECT ordinal, CASE WHEN n > 0 AND (n % 7 = 0 AND n <= 700000 OR n <= most) THEN '/out/f (' || n || ') (1).zip' ELSE '/out/f (' || n || ').zip' END, n > 0 AND (n % 7 = 0 AND n <= 700000 OR n <= most) FROM b, m
 UNION ALL SELECT -1 - event_id, NULL, false FROM events""")
 def collision_family(spark, sf_dir):
     """All rows of lineitem want one name, below which disk has every seventh number; then each order wants a numbered name of the same family. Events want
