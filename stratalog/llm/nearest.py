@@ -8,9 +8,11 @@ is indexed. Two neighbouring codes form a byte, so a query needs one table of 25
 every two subspaces and one look-up in it per vector.
 
 Queries and vectors are packed into blocks, every block of queries meets every block of vectors of the same
-length. A block holds equal vectors once, with all their ids. A meeting scores its RERANK best vectors by the
-codes exactly, in double precision, and then every other one whose product by the codes, with the most that
-its residual can add, reaches the k-th row so far; so nothing of the result is lost to the codes or to ties. A
+length. A block holds equal vectors once, with all their ids. A meeting scores exactly, in double precision, all vectors of its
+RERANK best products by the codes; those that the codes don't tell apart, such as near copies, count as one there, and
+copies and ties are told apart by their ids. With `exact` it goes on to every other one whose
+product by the codes, with the most that its residual can add, reaches the k-th row so far; then nothing of the result is lost to
+the codes, but most vectors are scored where residuals are long. A
 query's results of all meetings are merged by rank. Work is the product of both, memory that of two blocks; a vector is
 sent once for every QUERY_BLOCK queries.
 
@@ -32,6 +34,8 @@ from stratalog.llm.shared import written
 
 DIMS, CODES, ETA, SAMPLE, ROUNDS = 2, 16, 4.0, 8192, 6
 BLOCK, QUERY_BLOCK, RERANK = 8192, 8192, 100
+#: tasks that meetings are dealt to at most; one goes through its meetings one after another
+MOST_TASKS = 10_000
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -152,8 +156,9 @@ def _blocks(rows: DataFrame, size: int, quantisers, name: str) -> DataFrame:
     return written(dealt.groupBy("dim", "block").applyInArrow(run, "dim int, block long, ids binary, counts binary, vectors binary, codes binary, errors binary"), name)
 
 
-def best_of(query: np.ndarray, query_id: int, k: int, rerank: int, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, quantiser: Quantiser | None, codes: np.ndarray | None, errors: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and products of a block's k best rows for a query, by product and then id."""
+def best_of(query: np.ndarray, query_id: int, k: int, rerank: int, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, quantiser: Quantiser | None, codes: np.ndarray | None, errors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and products of a block's k best rows for a query, by product and then id; with errors, all that the codes can't exclude are
+    scored."""
     begins = np.cumsum(counts) - counts
     same = np.flatnonzero(ids == query_id)
     free = counts - np.bincount(np.searchsorted(begins, same, "right") - 1, minlength=len(counts)) if len(same) else counts
@@ -168,13 +173,21 @@ def best_of(query: np.ndarray, query_id: int, k: int, rerank: int, ids: np.ndarr
 
     most = rerank + len(same)
     if quantiser and len(vectors) > most:
-        by_code = quantiser.scan(query, codes)
-        at = np.argpartition(by_code, -most)[-most:]
+        by_code, n = quantiser.scan(query, codes), most
+        at = np.argpartition(by_code, -n)[-n:]
+        if errors is None:
+            while True:
+                at = np.flatnonzero(by_code >= by_code[at].min())
+                if n == len(by_code) or len(np.unique(by_code[at])) >= most:
+                    break
+                n = min(2 * max(n, len(at)), len(by_code))
+                at = np.argpartition(by_code, -n)[-n:]
         products = exact(at)
-        able = ~(by_code + np.sqrt(query @ query) * errors < bar(at, products))
-        able[at] = False
-        more = np.flatnonzero(able)
-        at, products = np.append(at, more), np.append(products, exact(more))
+        if errors is not None:
+            able = ~(by_code + np.sqrt(query @ query) * errors < bar(at, products))
+            able[at] = False
+            more = np.flatnonzero(able)
+            at, products = np.append(at, more), np.append(products, exact(more))
     else:
         at = np.arange(len(vectors))
         products = exact(at)
@@ -188,8 +201,9 @@ def best_of(query: np.ndarray, query_id: int, k: int, rerank: int, ids: np.ndarr
     return found[best], products[best]
 
 
-def search(rows: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score for rows where the SQL condition is_query on `id` holds."""
+def search(rows: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK, exact: bool = True) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score for rows where the SQL condition is_query on `id` holds: as by brute force, or, without `exact`, of what
+    the codes bring up."""
     own = usable(rows, id_col, vec_col)
     quantisers = own.sparkSession.sparkContext.broadcast(fit(own))
     data = _blocks(own, BLOCK, quantisers, "index")
@@ -197,7 +211,7 @@ def search(rows: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id",
     n = (asked.agg(F.max("block")).first()[0] or 0) + 1
     # a block of vectors goes once to each block of queries of its length
     meet = data.select("dim", *(F.col(c).alias(f"d_{c}") for c in ("ids", "counts", "vectors", "codes", "errors")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
-    both = meet.join(asked, ["dim", "block"]).select("dim", "d_ids", "d_counts", "d_vectors", "d_codes", "d_errors", "ids", "vectors").repartition(max(1, n * data.count()))
+    both = meet.join(asked, ["dim", "block"]).select("dim", "d_ids", "d_counts", "d_vectors", "d_codes", "d_errors", "ids", "vectors").repartition(max(1, min(n * data.count(), MOST_TASKS)))
 
     def run(batches):
         for b in batches:
@@ -209,8 +223,8 @@ def search(rows: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id",
                 codes = np.frombuffer(r["d_codes"], np.uint8).reshape(-1, len(vectors)) if own else None
                 out = []
                 for i, q in zip(q_ids, queries):
-                    best, exact = best_of(q, i, k, rerank, ids, counts, vectors, own, codes, errors)
-                    out.append((np.full(len(best), i), best, exact))
+                    best, products = best_of(q, i, k, rerank, ids, counts, vectors, own, codes, errors if exact else None)
+                    out.append((np.full(len(best), i), best, products))
                 q, v, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 

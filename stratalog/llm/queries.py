@@ -36,7 +36,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm import nearest as m
 
-    return m.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+    return m.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0", exact=False)
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,49 @@ def test_nearest_keeps_ties_and_neighbours_beside_copies(spark):
         assert [v for _, v in sorted(got[q])] == np.lexsort((np.arange(1500), -s))[:20].tolist(), q
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_recall_of_the_codes(exact):
+    """100 of 3000 vectors are scored exactly; with `exact` the result is that of brute force."""
+    r = np.random.default_rng(12)
+    x = r.normal(0, 1, (3000, 32))
+    quantiser = nearest.Quantiser(x[:1000])
+    codes = quantiser.encode(x)
+    packed, errors, one = quantiser.packed(codes), quantiser.error(x, codes), np.ones(3000, np.int64)
+    hit = 0
+    for q in range(0, 3000, 100):
+        order = np.lexsort((np.arange(3000), -(x * x[q]).sum(1)))
+        best = order[order != q][:20].tolist()
+        own, _ = nearest.best_of(x[q], q, 20, 100, np.arange(3000), one, x, quantiser, packed, errors if exact else None)
+        hit += len(set(best) & set(own.tolist()))
+        assert not exact or own.tolist() == best
+    assert hit >= 0.95 * 20 * 30
+
+
+def test_recall_of_the_codes_over_blocks_with_copies(spark, monkeypatch):
+    """Many blocks; a third of the rows are copies of one vector, a quarter near copies of another, more of these than are scored for other vectors."""
+    monkeypatch.setattr(nearest, "BLOCK", 700)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(nearest, "MOST_TASKS", 5)
+    r = np.random.default_rng(6)
+    x = r.normal(0, 1, (4000, 24))
+    x[r.permutation(4000)[:1300]] = x[7]
+    near = r.permutation(4000)[:1000]
+    x[near] = x[9] + r.normal(0, 1e-6, (1000, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for g in nearest.search(table, "id % 50 = 0 or id in (7, 9)", exact=False).collect():
+        got.setdefault(g.query_id, []).append((g.rank, g.vec_id))
+    hit = 0
+    for q in (*range(0, 4000, 50), 7, 9):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(4000), -s))[:20].tolist()
+        own = [v for _, v in sorted(got[q])]
+        assert len(own) == 20
+        hit += len(set(own) & set(best))
+    assert hit >= 0.98 * 20 * 82
+
+
 def test_recall_over_several_blocks(spark, monkeypatch):
     """Many blocks of vectors and of queries, so that their results are merged; copies over several blocks."""
     monkeypatch.setattr(nearest, "BLOCK", 128)
