@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import os
+import threading
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from stratalog.functions import paths, values
-from stratalog.operators import collisions, identity, similarity, streams, trees
+from stratalog.operators import collisions, dedup, identity, similarity, streams, trees
 from stratalog.plans import executor, oplog, renames
 from stratalog.plans.catalog import OP_ITEMS, Catalog
 from stratalog.plans.store import Store
 from stratalog.queries import _LEADERS, _PAGES, _VERSION_SQL, DISTANCE, _documents, _items, _page_paths, _signatures, _t, query
 from stratalog.scratch import folder, save
-from stratalog.sources import fswalk, images
-from stratalog.tree_queries import _FILES, _below, _tree
+from stratalog.sources import archives, fswalk, images
+from stratalog.tree_queries import _FILES, _below, _files, _tree, _zips
 
 # groups by keyed state
 
@@ -103,6 +105,114 @@ def tree_stream(spark, sf_dir):
     return _below(spark.read.parquet(f"{to}/out"), at).groupBy("path").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("times"))
 
 
+# progress, pauses and large groups
+
+
+@query("""WITH b AS (SELECT event_id % 3 AS batch, count(*) AS rows FROM events GROUP BY 1), t AS (SELECT count(*) AS total FROM events)
+SELECT batch, rows, CAST(sum(rows) OVER (ORDER BY batch) AS BIGINT) AS processed, total, round(sum(rows) OVER (ORDER BY batch) * 100.0 / total, 6) AS percent FROM b, t""")
+def stream_progress(spark, sf_dir):
+    """Three files, a trigger each; what each trigger has read and what is done by then."""
+    from stratalog.streaming import progressive
+
+    at = folder(spark, "progress")
+    events = _t(spark, sf_dir, "events").select("event_id")
+    for k in range(3):
+        events.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    sink = progressive.reporting(lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}"), f"{at}/progress")
+    progressive.start(progressive.read(spark, f"{at}/in", events.schema, 1), sink, f"{at}/state", "append").awaitTermination()
+    return progressive.progress(spark, f"{at}/progress", events.count()).withColumn("percent", F.round("percent", 6))
+
+
+@query("SELECT event_id, event_id % 3 AS batch FROM events")
+def stream_paused(spark, sf_dir):
+    """A task is paused before its second trigger and goes on when it is resumed; it is cancelled before its third, and a new one does that."""
+    from stratalog.streaming import progressive
+
+    at = folder(spark, "paused")
+    events = _t(spark, sf_dir, "events").select("event_id")
+    for k in range(3):
+        events.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{at}/in")
+
+    def go_on(after: dict) -> None:
+        task = progressive.Task.start()
+
+        def sink(batch, number):
+            batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+            after.get(number, lambda t: None)(task)
+
+        q = progressive.start(progressive.read(spark, f"{at}/in", events.schema, 1), task.guarded(sink), f"{at}/state", "append")
+        try:
+            q.awaitTermination()
+        except StreamingQueryException:
+            if task.state != "cancelled":
+                raise
+        finally:
+            task.end()
+
+    def rest(task) -> None:
+        task.pause()
+        threading.Timer(0.5, task.resume).start()
+
+    go_on({0: rest, 1: lambda task: task.cancel()})
+    go_on({})
+    return spark.read.parquet(f"{at}/out").select("event_id", F.col("batch").cast("long").alias("batch"))
+
+
+@query("""WITH f AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) DESC, lpad(CAST(event_id AS VARCHAR), 12, '0')) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_id, n AS n_files, k AS rank, k > 1 AS selected, k <> n AS oldest_selected FROM f WHERE n > 1""")
+def dedup_large_groups(spark, sf_dir):
+    """A handful of groups that hold all events, ranked over ranges; and by identity, all but the oldest."""
+    path = F.lpad(F.col("event_id").cast("string"), 12, "0")
+    events = _t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("hash"), path.alias("path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ctime"), F.lit(False).alias("from_history"))
+    found = dedup.duplicates(events, dedup.DedupConfig(keep="newest"), save)
+    files = events.select("event_id", F.col("hash").alias("group_id"), F.col("path").alias("file_path"), F.col("ctime").alias("mtime"))
+    oldest = identity.keep_duplicates(files, newest=False, save=save).select("event_id", F.col("selected").alias("oldest_selected"))
+    return found.join(oldest, "event_id").select("event_id", "n_files", "rank", "selected", "oldest_selected")
+
+
+# files that are deleted and archives that are rewritten
+
+
+@query("WITH " + _FILES + """ SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id % 5 <> 0 END AS success, NOT (page_id % 2 = 0 AND page_id % 5 <> 0) AS there FROM f""")
+def files_deleted(spark, sf_dir):
+    """Half of a tree's files are deleted, some that aren't there; the plan is carried out twice over one journal, then the tree is read."""
+    at = _tree(spark, sf_dir)
+    k = F.col("page_id")
+    own = _files(spark, sf_dir).select("page_id", "path")
+    plan = own.filter(k % 2 == 0).select(k.alias("ordinal"), F.concat(F.lit(at + "/"), F.when(k % 5 == 0, F.lit("none")).otherwise(F.col("path"))).alias("old_path"), F.lit("").alias("new_path"))
+    save(executor.carry_out(plan, journal=f"{at}-journal"))
+    done = save(executor.carry_out(plan, journal=f"{at}-journal")).select(F.col("ordinal").alias("page_id"), "success")
+    left = _below(fswalk.files(fswalk.walk(spark, [at])), at).select("path", F.lit(True).alias("there"))
+    return own.join(done, "page_id", "left").join(left, "path", "left").select("page_id", "success", F.coalesce("there", F.lit(False)).alias("there"))
+
+
+@query("""SELECT p_partkey, p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AS success, CASE WHEN p_partkey % 11 = 0 OR p_partkey % 7 = 0 OR p_partkey % 5 = 1 THEN '' ELSE 'g' || p_partkey % 5 END AS games,
+    CASE WHEN p_partkey % 11 = 0 OR p_partkey % 7 = 0 THEN '' ELSE p_type END AS guid FROM part""")
+def archives_rewritten(spark, sf_dir):
+    """Archives on disk, of which one game's tag is taken out of the manifest; then they are read again, all else as it was."""
+    at = folder(spark, "zips").removeprefix("file://").removeprefix("file:")
+
+    def put(frames):
+        os.makedirs(at, exist_ok=True)
+        for f in frames:
+            for k, content in zip(f.p_partkey, f.content):
+                with open(f"{at}/{k}.zip", "wb") as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(f)]})
+
+    def without_game(old: str, new: str) -> None:
+        entry = archives.read_entry(open(old, "rb").read())
+        executor.rewrite_archive(old, archives.ENTRY, entry.replace(b"<game>g1</game>", b""))
+
+    zips = _zips(spark, sf_dir)
+    zips.mapInPandas(put, "n long").agg(F.sum("n")).first()
+    plan = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit(at + "/"), F.col("p_partkey").cast("string"), F.lit(".zip")).alias("old_path"), F.lit("").alias("new_path"))
+    done = save(executor.carry_out(plan, without_game, journal=f"{at}-journal"))
+    content = spark.read.format("binaryFile").load(at).select(F.regexp_extract("path", r"([0-9]+)\.zip$", 1).cast("long").alias("p_partkey"), "content")
+    found = archives.with_manifest(content).select("p_partkey", F.array_join("games", "|").alias("games"), "guid")
+    return done.select(F.col("ordinal").alias("p_partkey"), "success").join(found, "p_partkey")
+
+
 # tables that are committed together
 
 _IDS = ["1e1", "10", "007", "2024-01-01", "gone"]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import paths
+from stratalog.operators import ranges
 
 
 PREFIX = 4
@@ -48,12 +50,13 @@ def reported(n_current: Column, n_history: Column, config: DedupConfig) -> Colum
     return (n_current + n_history >= 2) & ((n_current > 1) | crossed | alone)
 
 
-def duplicates(files: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
+def duplicates(files: DataFrame, config: DedupConfig = DedupConfig(), save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Files (hash, path, from_history, time_col, ...) of reported groups with group_id `G00001`, ..., n_files,
-    rank (1 is kept where history has no say) and selected (to be moved). Ties go by path."""
+    rank (1 is kept where history has no say) and selected (to be moved). Ties go by path. With save(df) -> df, which writes a table, a group
+    of any size is ranked over ranges; else one task has a group."""
     counts = files.groupBy("hash").agg(F.count_if(~F.col("from_history")).alias("n_current"), F.count_if("from_history").alias("n_history"))
     groups = counts.filter(reported(F.col("n_current"), F.col("n_history"), config)).select("hash", "n_current", "n_history")
-    return ranked(numbered(files.join(groups, "hash")), config)
+    return ranked(numbered(files.join(groups, "hash")), config, save)
 
 
 def numbered(files: DataFrame) -> DataFrame:
@@ -68,12 +71,16 @@ def numbered(files: DataFrame) -> DataFrame:
     return files.join(ids, "hash")
 
 
-def ranked(files: DataFrame, config: DedupConfig) -> DataFrame:
+def ranked(files: DataFrame, config: DedupConfig, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     newest = config.keep == "newest"
     t = F.col(config.time_col)
-    w = Window.partitionBy("hash").orderBy(t.desc() if newest else t.asc(), F.col("path").asc())
+    order = [t.desc() if newest else t.asc(), F.col("path").asc()]
     history = F.lit(config.use_history) & (F.col("n_history") > 0)
-    out = files.withColumn("rank", F.row_number().over(w)).withColumn("n_files", F.col("n_current") + F.col("n_history"))
+    if save is None:
+        out = files.withColumn("rank", F.row_number().over(Window.partitionBy("hash").orderBy(*order)))
+    else:
+        out = ranges.running_sum(files, ["hash"], order, F.lit(1).cast("long"), save, "rank").withColumn("rank", F.col("rank").cast("int"))
+    out = out.withColumn("n_files", F.col("n_current") + F.col("n_history"))
     return out.withColumn("selected", F.when(history, ~F.col("from_history")).otherwise(F.col("rank") > 1)).drop("n_current", "n_history")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import versions
+from stratalog.operators import ranges
 
 SEPARATOR = "\u001f"
 
@@ -44,8 +46,12 @@ def listed(groups: DataFrame, locale: str | None = None) -> DataFrame:
     return groups.orderBy("group_id") if locale is None else groups.orderBy(F.collate("group_id", locale), "group_id")
 
 
-def keep_duplicates(files: DataFrame, newest: bool = True) -> DataFrame:
-    """selected for all but the newest (or oldest) by mtime; equal times keep the order of paths."""
+def keep_duplicates(files: DataFrame, newest: bool = True, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """selected for all but the newest (or oldest) by mtime; equal times keep the order of paths. With save(df) -> df, which writes a table, a
+    group of any size is dealt over ranges; else one task has a group."""
+    if save is not None:
+        out = ranges.running_sum(files, ["group_id"], [F.desc("mtime"), F.col("file_path")], F.lit(1).cast("long"), save, "_place", "_all")
+        return out.withColumn("selected", F.col("_place") != (F.lit(1) if newest else F.col("_all"))).drop("_place", "_all")
     order = Window.partitionBy("group_id").orderBy(F.desc("mtime"), "file_path")
     place = F.row_number().over(order)
     n = F.count(F.lit(1)).over(Window.partitionBy("group_id"))

@@ -120,7 +120,7 @@ def _carried_out(old: str, new: str, action, begun: bool) -> tuple[bool, str | N
             os.makedirs(os.path.dirname(new), exist_ok=True)
         action(old, new)
         return True, None
-    except (OSError, zipfile.BadZipFile) as e:
+    except (OSError, LookupError, ValueError, zipfile.BadZipFile) as e:
         return False, str(e)
 
 

@@ -189,7 +189,7 @@ def walk_wide(spark: SparkSession, roots: list[str], save: Callable[[DataFrame],
         for f in frames:
             for root, top in zip(f.root, f.path):
                 rows, stack = [], [top]
-                if top == root:
+                if top == root and left > 0:  # listed now, so not dealt again
                     rows.append((*TreeReader._row(root, root, ordinal, True), False))
                     ordinal += 1
                 while stack and left > 0:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -91,6 +93,87 @@ class Progress(StreamingQueryListener):
         self.emit(self.names.pop(str(event.id), None), -1, 0)
 
 
+def reporting(sink: Callable[[DataFrame, int], None], path: str) -> Callable[[DataFrame, int], None]:
+    """sink, and a row of progress for each trigger: its number and rows. A trigger that is run again replaces its own."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        sink(batch, number)
+        batch.agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return run
+
+
+def progress(spark: SparkSession, path: str, total: int) -> DataFrame:
+    """Per trigger batch, rows, processed so far, total and percent (0 where total is). One row a trigger, so one task sorts them."""
+    rows = spark.read.parquet(path)
+    done = F.sum("rows").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
+    percent = F.when(F.lit(total) > 0, F.col("processed") / total * 100).otherwise(F.lit(0.0))
+    return rows.select(F.col("batch").cast("long").alias("batch"), "rows", done.alias("processed")).withColumn("total", F.lit(total).cast("long")).withColumn("percent", percent)
+
+
+class Cancelled(Exception):
+    """Raised before a trigger of a task that was cancelled."""
+
+
+class Task:
+    """A task that can be paused between two triggers, goes on where it was, and can be cancelled for good. A name is active from
+    start() to end(), whether or not it was cancelled; the caller may choose it."""
+
+    _active: dict[str, Task] = {}
+    _lock = threading.Lock()
+
+    def __init__(self, name: str):
+        self.name, self.state, self._changed = name, "running", threading.Condition()
+
+    @classmethod
+    def start(cls, name: str | None = None) -> Task:
+        task = cls(name or uuid.uuid4().hex)
+        with cls._lock:
+            if task.name in cls._active:
+                raise ValueError(f"{task.name} is active")
+            cls._active[task.name] = task
+        return task
+
+    @classmethod
+    def find(cls, name: str) -> Task | None:
+        return cls._active.get(name)
+
+    def end(self) -> None:
+        with self._lock:
+            self._active.pop(self.name, None)
+
+    def _become(self, state: str) -> None:
+        with self._changed:
+            if self.state != "cancelled":
+                self.state = state
+            self._changed.notify_all()
+
+    def pause(self) -> None:
+        self._become("paused")
+
+    def resume(self) -> None:
+        self._become("running")
+
+    def cancel(self) -> None:
+        self._become("cancelled")
+
+    def gate(self) -> None:
+        """Waits while the task is paused."""
+        with self._changed:
+            self._changed.wait_for(lambda: self.state != "paused")
+            if self.state == "cancelled":
+                raise Cancelled(self.name)
+
+    def guarded(self, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+        """sink, once the task lets a trigger through. A cancelled one isn't carried out, so the checkpoint has it still to come."""
+
+        def run(batch: DataFrame, number: int) -> None:
+            self.gate()
+            sink(batch, number)
+
+        return run
+
+
 def is_active(spark: SparkSession, name: str) -> bool:
     return any(q.name == name for q in spark.streams.active)
 

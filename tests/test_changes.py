@@ -216,6 +216,106 @@ def test_keyed_trigger_run_again(spark, tmp_path):
     assert sorted(x.id for x in keyed.members(spark, f"{at}/out", ["k"]).collect()) == list(range(6))
 
 
+def test_tasks_wait_and_end(spark, tmp_path):
+    """A paused task's trigger waits; a cancelled one's isn't carried out and comes again. A name is active until its end."""
+    task = progressive.Task.start("t")
+    with pytest.raises(ValueError):
+        progressive.Task.start("t")
+    seen, through = [], threading.Event()
+    sink = task.guarded(lambda batch, number: (seen.append(number), through.set()))
+    sink(None, 0)
+    task.pause()
+    through.clear()
+    t = threading.Thread(target=sink, args=(None, 1))
+    t.start()
+    assert not through.wait(0.3) and seen == [0]
+    task.resume()
+    t.join(5)
+    assert seen == [0, 1]
+    task.pause(), task.cancel(), task.resume()
+    assert task.state == "cancelled"  # for good
+    with pytest.raises(progressive.Cancelled):
+        sink(None, 2)
+    assert progressive.Task.find("t") is task
+    task.end()
+    assert progressive.Task.find("t") is None and progressive.Task.start("t").name == "t"
+    progressive.Task.find("t").end()
+    assert progressive.Task.start().name != progressive.Task.start().name
+
+
+# trees
+
+
+def test_tree_by_rounds(spark, tmp_path):
+    """A folder with many folders below it and a deep chain give the rows of the plain walk; unreadable folders are kept, several roots apart."""
+    for k in range(60):
+        os.makedirs(tmp_path / f"a/w{k}/x")
+        (tmp_path / f"a/w{k}/x/f").write_text("1" * k)
+    deep = tmp_path / "b"
+    for k in range(25):
+        deep = deep / f"d{k}"
+    os.makedirs(deep)
+    (deep / ".hidden").write_text("h")
+    os.symlink(tmp_path / "a", tmp_path / "b/link")
+    from stratalog.sources import fswalk
+
+    roots = [str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "none")]
+    rows = lambda df: sorted((r.path, r.is_dir, r.readable, r.size, r.mtime, r.root, r.error) for r in df.collect())
+    want = rows(fswalk.walk(spark, roots))
+    for budget in (7, 1000):
+        assert [str(x) for x in rows(fswalk.walk_wide(spark, roots, save, budget=budget))] == [str(x) for x in want]
+    assert fswalk.walk_wide(spark, [str(tmp_path / "none")], save).count() == 0
+
+
+def test_tree_stream_reads_files_once(spark, tmp_path):
+    """Files that come between triggers, also old ones moved in, and after a restart; a few a trigger."""
+    from stratalog.sources import fswalk
+
+    at, out = tmp_path / "t", str(tmp_path / "out")
+    os.makedirs(at / "s")
+
+    def go_on(**options) -> None:
+        stream = fswalk.stream(spark, [str(at)], settle_ms=1, **options).select("path", "size")
+        progressive.start(stream, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"), str(tmp_path / "state"), "append").awaitTermination()
+
+    for k in range(5):
+        (at / f"s/{k}").write_text("x" * k)
+    go_on()
+    (tmp_path / "old").write_text("old")
+    os.utime(tmp_path / "old", (5, 5))
+    os.rename(tmp_path / "old", at / "old")
+    go_on()
+    for k in range(5, 12):
+        (at / f"s/{k}").write_text("x" * k)
+    for _ in range(4):
+        go_on(files_per_trigger=2)
+    got = [os.path.basename(r.path) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == sorted(["old", *map(str, range(12))])
+
+
+def test_clusters_as_files_come(spark, tmp_path):
+    """Equal to the sequential rule in the order of arrival, over triggers of random, chained and equal signatures."""
+    from stratalog.streaming import clusters
+
+    r = random.Random(9)
+    x, own = r.getrandbits(64), []
+    for i in range(90):
+        x ^= sum(1 << b for b in r.sample(range(64), r.randint(0, 4)))
+        own.append((i, [_signed(x if r.random() < 0.7 else 77)]))
+    r.shuffle(own)
+    sink = clusters.clusters_into(str(tmp_path), 7, 64, ["place"], save)
+    for n in range(3):
+        batch = spark.createDataFrame([(place, name, words) for place, (name, words) in enumerate(own[n * 30 : n * 30 + 30])], "place long, name long, words array<long>")
+        sink(batch, n)
+        if n == 1:
+            sink(batch, n)  # run again
+    got = {x.name: (x.head, x.head_distance, x.ordinal) for x in clusters.clustered(spark, str(tmp_path)).collect()}
+    files = spark.createDataFrame([(i, w, 1) for i, (_, w) in enumerate(own)], "ordinal long, words array<long>, g int")
+    order = {o: i for i, o in enumerate(sorted(v[2] for v in got.values()))}
+    want = {own[x.ordinal][0]: (x.head, x.head_distance, x.ordinal) for x in similarity.exact_leaders(files, 7, "g").collect()}
+    assert {k: (order[h], d, order[o]) for k, (h, d, o) in got.items()} == want
+
+
 # collisions
 
 
