@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.batches import ALNUM, Words, slices, utf8
-from stratalog.llm.shared import discard, small_batches, written
+from stratalog.llm.batches import ALNUM, SLICE_BYTES, Words, slices, utf8
+from stratalog.llm.shared import discard, give_back, small_batches, written
 
 WINDOW = 10
 BLOCK_BYTES = 32_000_000
-#: text of documents in one suffix array
-SHARD_BYTES = 2_000_000
+#: text of documents in one suffix array: as a search goes through the whole block, a 16th of its size within these bounds
+LEAST_SHARD, MOST_SHARD = SLICE_BYTES, 2_000_000
 FOUND = "n_words long, spans array<bigint>, items array<bigint>, match_words long, match_item bigint, match_item_word long, match_word long"
 
 
@@ -43,7 +43,7 @@ class Items:
         ids, texts = [ids[k] for k in order], [texts[k] for k in order]
         raw, offsets = utf8(pa.array(texts, pa.large_string()))
         words = Words(raw, offsets, ALNUM)
-        self.item, self.first = words.doc, words.first
+        self.item, self.first, self.bytes = words.doc, words.first, len(raw)
         #: the distinct words, and which of them each word is
         self.distinct, self.which = np.unique(words.hash, return_inverse=True)
         self.names = np.array([0 if i is None else i for i in ids], np.int64)
@@ -173,7 +173,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
 def found_in(column: pa.Array, items: Items) -> Iterator[tuple[int, dict | None]]:
     """For each document: its number of words, and what was found in it, if anything."""
     raw, offsets = utf8(column)
-    for a, b in slices(offsets, SHARD_BYTES):
+    for a, b in slices(offsets, min(max(items.bytes // 16, LEAST_SHARD), MOST_SHARD)):
         words = Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
         pos, which, match = Shard(words).search(items) if len(items) else (np.zeros(0, np.int64),) * 3
         found: dict[int, dict] = {}
@@ -266,6 +266,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text",
         def run(batches, block=block, at=docs.columns.index(text_col)):
             for b in batches:
                 yield b.filter(pa.array([f is None for _, f in found_in(b.column(at), block.value)], pa.bool_()))
+            give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
         if not last:

@@ -380,6 +380,7 @@ def keep_languages(docs: DataFrame, model: Languages, text_col: str = "text", ex
             for texts, a, n in _texts(b.column(at)):
                 names, _, excess = model.value.judge(texts)
                 yield b.slice(a, n).filter(pa.array([k != UNKNOWN and x <= excess_bits for k, x in zip(names, excess)], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -180,5 +180,6 @@ def keep_good(docs: DataFrame, model: Classifier, text_col: str = "text", thresh
     def run(batches, at=docs.columns.index(text_col)):
         for b in batches:
             yield b.filter(pa.array(model.value.scores(b.column(at)) >= threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
