@@ -15,16 +15,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.llm import divergence, oracle, queries, spelling, warc
-from tests.oracle import differences, rows_of
+from tests.oracle import rows_of
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op11_warc", "op12_divergence"])
-def test_query_equals_sql(spark, name):
-    assert not differences(spark, queries.queries()[name], oracle.SQL[name], SF)
-
-
 # archives
 
 PAGES = "page_id long, url string, html string"

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import example, given
 from hypothesis import strategies as st
@@ -278,6 +280,80 @@ def test_pipeline_stages(spark):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count() > 50
 
 
+def _plain_pipeline(rows: list, labels: list, bench: list, models) -> list[int]:
+    """The first four stages over rows (doc_id, text, ...), one after another, each document by itself or against all others."""
+    judge, scores = models(None)
+    kept = [r for r in rows if (lambda found: found[0][0] != "und" and found[2][0] <= 4.0)(judge.judge([r.text]))]
+    quality_scores = scores(kept)
+    kept = [r for r, s in zip(kept, quality_scores) if s >= 0.3]
+    words = [re.findall(r"[^\x20\x09-\x0d]+", (r.text or "").translate({c: c + 32 for c in range(65, 91)})) for r in kept]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in words]
+    root = list(range(len(kept)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(kept)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                if kept[x].doc_id > kept[y].doc_id:
+                    x, y = y, x
+                root[y] = x
+    kept = [r for i, r in enumerate(kept) if find(i) == i]
+    split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    windows = {tuple(w[i : i + 10]) for t in bench if (w := split(t)) for i in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+    dirty = lambda w: any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+    return [r.doc_id for r in kept if not dirty(split(r.text))]
+
+
+def test_pipeline_equals_a_plain_one(spark):
+    import corpus_pipeline as p
+    import public_tokenizers
+    from stratalog.llm import language, quality
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+
+    def models(_):
+        judge = language.fit(docs, "crc32(cast(doc_id as string)) % 4 <> 2")
+
+        def scores(kept):
+            own = spark.createDataFrame(kept, docs.schema)
+            model = quality.fit(own, labels, "crc32(cast(doc_id as string)) % 5 <> 0")
+            return [model.scores(pa.array([r.text], pa.string()))[0] for r in kept]
+
+        return judge, scores
+
+    want = _plain_pipeline(docs.collect(), labels.collect(), [r.text for r in bench.collect()], models)
+    packed = p.run(spark, sf).collect()
+    assert sorted({r.doc_id for r in packed}) == sorted(want)
+    tokenizer, texts = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {r.doc_id: r.text for r in docs.collect()}
+    lengths, bins = {}, {}
+    for r in packed:
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert lengths == {d: len(tokenizer.encode(texts[d], add_special_tokens=False).ids) + 1 for d in want}
+    for own in bins.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:])) and sum(n for _, n in own) <= 1024
+    assert len(bins) <= -(-sum(lengths.values()) // 1024) + 1
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    for t in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{sf}/{t}.parquet")
+        (df.limit(0) if t == "documents" else df).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
 def test_queries_agree_with_sql(spark):
     from stratalog.llm import queries
     from tests.oracle import differences
