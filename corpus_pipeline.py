@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.llm import decontaminate, language, near_dup, packing, quality
-from stratalog.llm.shared import table, written
+from stratalog.llm.shared import discard, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -55,7 +55,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, name)
+            out = written(out, name)
+            discard(spark, docs)  # what the stage before had written
+        docs = out
     return docs
