@@ -15,7 +15,7 @@ from stratalog.plans import executor, oplog, renames
 from stratalog.plans.catalog import OP_ITEMS, Catalog
 from stratalog.plans.store import Store
 from stratalog.queries import _LEADERS, _PAGES, _VERSION_SQL, DISTANCE, _documents, _items, _page_paths, _signatures, _t, query
-from stratalog.scratch import folder, save
+from stratalog.scratch import folder, mounted, save
 from stratalog.sources import archives, fswalk, images
 from stratalog.tree_queries import _FILES, _below, _files, _tree, _zips
 
@@ -190,7 +190,7 @@ def files_deleted(spark, sf_dir):
     CASE WHEN p_partkey % 11 = 0 OR p_partkey % 7 = 0 THEN '' ELSE p_type END AS guid FROM part""")
 def archives_rewritten(spark, sf_dir):
     """Archives on disk, of which one game's tag is taken out of the manifest; then they are read again, all else as it was."""
-    at = folder(spark, "zips").removeprefix("file://").removeprefix("file:")
+    at = mounted(spark, "zips")
 
     def put(frames):
         os.makedirs(at, exist_ok=True)
@@ -436,7 +436,7 @@ def groups_by_locale(spark, sf_dir):
 SELECT dir AS path, NOT EXISTS (SELECT 1 FROM b WHERE b.dir = d.dir OR starts_with(b.dir, d.dir || '/')) AS success FROM d""")
 def dirs_removed(spark, sf_dir):
     """Some folders of a tree hold a file. All are removed, deepest first, and again: the journal gives the outcomes of the first time."""
-    at = folder(spark, "dirs").removeprefix("file://").removeprefix("file:")
+    at = mounted(spark, "dirs")
     pages = _page_paths(spark, sf_dir)
     full = lambda c: F.concat(F.lit(at + "/"), F.col(c))
     dirs = pages.select("dir").union(pages.select("host")).distinct()

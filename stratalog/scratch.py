@@ -16,6 +16,14 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def mounted(spark: SparkSession, name: str) -> str:
+    """A folder as a path of a file system that driver and executors have mounted; ValueError where the shared one is another kind."""
+    at = folder(spark, name)
+    if "://" in at and not at.startswith("file:/"):
+        raise ValueError(f"files on {at} can't be reached by path; share a mounted folder")
+    return "/" + at.removeprefix("file:").lstrip("/")
+
+
 def save(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a written table."""
     path = folder(df.sparkSession, name)

@@ -18,7 +18,7 @@ from stratalog.functions import names, paths, values
 from stratalog.operators import dedup, filters, identity, lookups, streams, trees
 from stratalog.plans import executor, oplog, renames, snapshots
 from stratalog.queries import _items, _page_paths, _t, query
-from stratalog.scratch import folder, save
+from stratalog.scratch import folder, mounted, save
 from stratalog.sources import archives, fswalk, images, previews
 
 KINDS = [".PNG", ".zipmod", ".txt", ".jpg"]
@@ -36,7 +36,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tree(spark: SparkSession, sf_dir: str) -> str:
     """Writes the files below a new folder and gives its path."""
-    at = folder(spark, "tree").removeprefix("file://").removeprefix("file:")
+    at = mounted(spark, "tree")
 
     def write(frames):
         for f in frames:
@@ -344,11 +344,11 @@ def group_headers(spark, sf_dir):
     SELECT 'largestResolution' AS policy, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size * (1 + p_partkey % 3) DESC, p_retailprice DESC, CAST(p_partkey AS VARCHAR)) AS rank FROM part
     UNION ALL SELECT 'largestFile', p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, CAST(p_partkey AS VARCHAR)) FROM part
     UNION ALL SELECT 'newest', p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 17 DESC, CAST(p_partkey AS VARCHAR)) FROM part
-    UNION ALL SELECT 'oldest', p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 17, CAST(p_partkey AS VARCHAR)) FROM part) WHERE rank <= 5""")
+    UNION ALL SELECT 'oldest', p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 17, CAST(p_partkey AS VARCHAR)) FROM part)""")
 def keep_policies(spark, sf_dir):
     c = F.col
     own = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", c("p_size").alias("width"), (1 + c("p_partkey") % 3).alias("height"), c("p_retailprice").alias("file_size"), (c("p_partkey") % 17).alias("mtime"), c("p_partkey").cast("string").alias("file_path"))
-    each = [identity.keep_by_policy(own, p, ["p_brand"]).filter("rank <= 5").select(F.lit(p).alias("policy"), "p_partkey", "rank") for p in ("largestResolution", "largestFile", "newest", "oldest")]
+    each = [identity.keep_by_policy(own, p, ["p_brand"]).select(F.lit(p).alias("policy"), "p_partkey", "rank") for p in ("largestResolution", "largestFile", "newest", "oldest")]
     return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
 
 
