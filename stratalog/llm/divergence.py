@@ -13,7 +13,8 @@ The first two need only how often each rate occurs in a source, the third is the
 
 Defined cases: null text, lang and source are empty texts; a document is a row, so repeated rows and ids count each; ties
 of value go by the item's UTF-8 bytes; a language without kept terms has value 0 for each pair and no terms; an
-empty table gives no rows; other columns, of whatever names, are not read. A task holds LIMIT counts, a shard
+empty table gives no rows; other columns, of whatever names, are not read. A text of more than _TEXT_BYTES is counted in pieces, cut between
+terms. A task holds LIMIT counts, a shard
 what Spark's partition holds, both in a DuckDB of MEMORY that spills to a folder of the task, deleted at its end.
 """
 
@@ -66,6 +67,33 @@ def _batches(con, sql: str) -> Iterator[pa.RecordBatch]:
     yield from con.sql(sql).to_arrow_reader(_ROWS)
 
 
+def _pieces(text: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in pieces of about a quarter of _TEXT_BYTES, cut between terms."""
+    a = 0
+    while a < len(text):
+        b = min(a + _TEXT_BYTES // 4, len(text))
+        while b < len(text) and text[b] != 0x20:
+            b += 1
+        yield text[a:b]
+        a = b
+
+
+def _texts(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(raw[offsets[0] : offsets[-1]]))
+
+
+def _long(con, text: np.ndarray, lang: str, source: str) -> int:
+    """Counts of one long text; how many."""
+    con.execute("CREATE OR REPLACE TABLE parts (term VARCHAR, n BIGINT)")
+    for piece in _pieces(text):
+        con.register("docs", pa.table({"text": _texts(piece, np.array([0, len(piece)], np.int64))}))
+        con.execute("INSERT INTO parts SELECT term, count(*) FROM (SELECT unnest(string_split(text, ' ')) AS term FROM docs) WHERE term <> '' GROUP BY ALL")
+        con.unregister("docs")
+    n = con.execute("INSERT INTO own SELECT ?, ?, term, sum(n), 1 FROM parts GROUP BY term", [lang, source]).fetchone()[0]
+    con.execute("DROP TABLE parts")
+    return n
+
+
 def _counted(limit: int, memory: str):
     """Counts of a task's documents: rows of _PARTIAL."""
 
@@ -76,14 +104,17 @@ def _counted(limit: int, memory: str):
             for b in batches:
                 raw, offsets = utf8(b.column("text"))
                 for x, y in slices(offsets, _TEXT_BYTES):
-                    text = pa.LargeStringArray.from_buffers(y - x, pa.py_buffer(offsets[x : y + 1] - offsets[x]), pa.py_buffer(_KEEP[raw[offsets[x] : offsets[y]]]))
-                    docs = pa.table({"d": np.arange(y - x), "lang": b.column("lang")[x:y], "source": b.column("source")[x:y], "text": text})
-                    con.register("docs", docs)
-                    held += con.execute("""
-                        INSERT INTO own SELECT lang, source, term, sum(n), count(*) FROM (
-                            SELECT d, term, count(*) AS n FROM (SELECT d, unnest(string_split(text, ' ')) AS term FROM docs) WHERE term <> '' GROUP BY ALL
-                        ) JOIN docs USING (d) GROUP BY ALL""").fetchone()[0]
-                    con.unregister("docs")
+                    kept, own = _KEEP[raw[offsets[x] : offsets[y]]], offsets[x : y + 1] - offsets[x]
+                    if len(kept) > _TEXT_BYTES:  # one text
+                        held += _long(con, kept, b.column("lang")[x].as_py(), b.column("source")[x].as_py())
+                    else:
+                        docs = pa.table({"d": np.arange(y - x), "lang": b.column("lang")[x:y], "source": b.column("source")[x:y], "text": _texts(kept, own)})
+                        con.register("docs", docs)
+                        held += con.execute("""
+                            INSERT INTO own SELECT lang, source, term, sum(n), count(*) FROM (
+                                SELECT d, term, count(*) AS n FROM (SELECT d, unnest(string_split(text, ' ')) AS term FROM docs) WHERE term <> '' GROUP BY ALL
+                            ) JOIN docs USING (d) GROUP BY ALL""").fetchone()[0]
+                        con.unregister("docs")
                     if held > limit:
                         yield from _batches(con, summed)
                         con.execute("DELETE FROM own")

@@ -155,7 +155,8 @@ def test_divergence_equals_sql(spark, limit):
 def test_divergence_of_an_empty_table_and_long_text(spark):
     assert _audited(spark, []) == _by_sql([])
     long = " ".join(random.Random(2).choices(["ab", "Cd", "éf", "gh9i", "j"], k=900_000))
-    rows = [(long, "en", "a")] + [("ab cd éf gh", "en", s) for s in "ab" * 6]
+    assert len(long) < divergence._TEXT_BYTES
+    rows = [(long, "en", "a"), ((long + " ") * 3 + "zé" * 3_000_000, "en", "b")] + [("ab cd éf gh", "en", s) for s in "ab" * 6]
     assert _audited(spark, rows) == _by_sql(rows)
 
 
