@@ -1,7 +1,7 @@
 """Batch collision resolution.
 
 Requests are served in order. A target is free if neither disk nor an earlier request has it (any case);
-otherwise the smallest i from 1 on gives ` (i)` before the suffix. Only names that differ by such numbers
+otherwise the smallest i from 1 on gives ` (i)` before the suffix (at the end, where names are said to have none). Only names that differ by such numbers
 can meet, so requests are dealt by folder, suffix and the stem without its numbers: a family. Requests without a target
 take no part in that.
 
@@ -31,13 +31,13 @@ from stratalog.scratch import save
 _SUFFIX = re.compile(r"^(.+)(\.[^.]*)$", re.S)
 
 
-def resolved(target: str, taken: set[str], next_free: dict[str, int]) -> tuple[str, bool]:
+def resolved(target: str, taken: set[str], next_free: dict[str, int], suffixed: bool = True) -> tuple[str, bool]:
     """The name that a request gets, and whether it isn't the one it asked for. taken: lower-case paths."""
     if target.lower() not in taken:
         taken.add(target.lower())
         return target, False
     folder, _, name = target.rpartition("/")
-    m = _SUFFIX.match(name)
+    m = _SUFFIX.match(name) if suffixed else None
     stem, suffix = (m[1], m[2]) if m else (name, "")
     lead = f"{folder}/" if "/" in target else ""
     i = next_free.get(target.lower(), 1)
@@ -54,34 +54,40 @@ HOT = 100_000
 _NUMBER = r" \([1-9][0-9]{0,17}\)"
 
 
-def resolve(requests: DataFrame, existing: DataFrame | None = None, target_col: str = "target", order_col: str = "ordinal", hot: int = HOT) -> DataFrame:
-    """requests with new_path and conflict. existing(path): what is on disk when the plan is made."""
+def resolve(requests: DataFrame, existing: DataFrame | None = None, target_col: str = "target", order_col: str = "ordinal", hot: int = HOT, suffixed: bool = True) -> DataFrame:
+    """requests with new_path and conflict. existing(path): what is on disk when the plan is made. Not suffixed: a dot in a name begins no
+    suffix, so numbers come at its end."""
     t = paths.slashed(target_col)
     columns = requests.columns
     none = requests.filter(t.isNull()).withColumns({"new_path": F.lit(None).cast("string"), "conflict": F.lit(False)})
-    own = requests.withColumn("_target", t).filter("_target is not null").withColumn("_family", _family("_target"))
+    own = requests.withColumn("_target", t).filter("_target is not null").withColumn("_family", _family("_target", suffixed))
     old = None
     if existing is not None:
         p = paths.slashed("path")
-        old = existing.filter(p.isNotNull()).select(p.alias("_target"), _family(p).alias("_family"))
+        old = existing.filter(p.isNotNull()).select(p.alias("_target"), _family(p, suffixed).alias("_family"))
         # names that no request can meet stay out of the shuffle's sort
         old = old.join(own.select("_family").distinct(), "_family", "left_semi")
     # at most a family for each `hot` requests
     large = save(own.groupBy("_family").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select("_family"))
     if large.limit(1).count():
         large = F.broadcast(large)
-        many = _together(own.join(large, "_family", "left_semi"), old.join(large, "_family", "left_semi") if old is not None else None, columns, order_col)
+        many = _together(own.join(large, "_family", "left_semi"), old.join(large, "_family", "left_semi") if old is not None else None, columns, order_col, suffixed)
         own, old = own.join(large, "_family", "left_anti"), old.join(large, "_family", "left_anti") if old is not None else None
-        return _streamed(own, old, columns, order_col).unionByName(many).unionByName(none)
-    return _streamed(own, old, columns, order_col).unionByName(none)
+        return _streamed(own, old, columns, order_col, suffixed).unionByName(many).unionByName(none)
+    return _streamed(own, old, columns, order_col, suffixed).unionByName(none)
 
 
-def _family(path: Column | str) -> Column:
-    name = paths.basename(path)
-    return F.lower(F.concat_ws("/", paths.parent(path), names.family(names.stem(name)), F.coalesce(names.suffix(name), F.lit(""))))
+def _parts(name: Column, suffixed: bool) -> tuple[Column, Column]:
+    """What stands before a number, and after it."""
+    return (names.stem(name), F.coalesce(names.suffix(name), F.lit(""))) if suffixed else (name, F.lit(""))
 
 
-def _streamed(own: DataFrame, old: DataFrame | None, columns: list[str], order_col: str) -> DataFrame:
+def _family(path: Column | str, suffixed: bool) -> Column:
+    stem, suffix = _parts(paths.basename(path), suffixed)
+    return F.lower(F.concat_ws("/", paths.parent(path), names.family(stem), suffix))
+
+
+def _streamed(own: DataFrame, old: DataFrame | None, columns: list[str], order_col: str, suffixed: bool) -> DataFrame:
     """Each family by one task."""
     own = own.withColumn("_kind", F.lit(1))
     if old is not None:
@@ -98,7 +104,7 @@ def _streamed(own: DataFrame, old: DataFrame | None, columns: list[str], order_c
                     taken.add(target.lower())
                     keep.append(False)
                     continue
-                new, other = resolved(target, taken, next_free)
+                new, other = resolved(target, taken, next_free, suffixed)
                 keep.append(True), found.append(new), conflict.append(other)
             rows = b.filter(pa.array(keep, pa.bool_())).select(columns)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.string()), pa.array(conflict, pa.bool_())], [*columns, "new_path", "conflict"])
@@ -110,10 +116,10 @@ def _streamed(own: DataFrame, old: DataFrame | None, columns: list[str], order_c
     return dealt.mapInArrow(run, schema)
 
 
-def _named(df: DataFrame) -> DataFrame:
+def _named(df: DataFrame, suffixed: bool) -> DataFrame:
     """_target in lower case as _key; where it ends in a number, that as _number and the target below which it lies as _above."""
     name = paths.basename("_target")
-    stem, suffix = names.stem(name), F.coalesce(names.suffix(name), F.lit(""))
+    stem, suffix = _parts(name, suffixed)
     trail = F.regexp_extract(stem, f"(?s)^.+?((?:{_NUMBER})+)$", 1)
     lead = F.substring(F.col("_target"), F.lit(1), F.length("_target") - F.length(name))
     number = F.when(trail != "", F.regexp_extract(stem, r"\(([0-9]+)\)$", 1).cast("long"))
@@ -138,13 +144,13 @@ def _skips(frames):
         yield f[keep][["_key", "_number"]]
 
 
-def _together(own: DataFrame, old: DataFrame | None, columns: list[str], order_col: str) -> DataFrame:
+def _together(own: DataFrame, old: DataFrame | None, columns: list[str], order_col: str, suffixed: bool) -> DataFrame:
     """Large families, by all tasks."""
     spark = own.sparkSession
-    asked = save(_named(numbered(own, [order_col, "_target"], save, 0, "_at")))
+    asked = save(_named(numbered(own, [order_col, "_target"], save, 0, "_at"), suffixed))
     narrow = asked.select("_at", "_key", "_above", "_number", "_depth")
     disk = old.select("_target").distinct() if old is not None else spark.createDataFrame([], "_target string")
-    disk = save(_named(disk).select("_key", "_above", "_number").distinct())
+    disk = save(_named(disk, suffixed).select("_key", "_above", "_number").distinct())
     beaten = spark.createDataFrame([], "_key string")
     results = []
     for depth in sorted(r[0] for r in narrow.select("_depth").distinct().collect()):

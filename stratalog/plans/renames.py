@@ -72,14 +72,15 @@ def with_failures(plan: DataFrame, failed: DataFrame) -> DataFrame:
     return out.withColumn("error_code", code).withColumn("error_message", F.col("_m")).withColumn("success", F.col("error_code").isNull()).drop("_m")
 
 
-def backup_plan(files: DataFrame, record_id: str, backup_root: str | None, roots: DataFrame | None = None, existing: DataFrame | None = None, order_col: str = "ordinal") -> DataFrame:
-    """files(old_path): to backup_root/record_id/folders/name; with no backup root new_path is empty, a real delete."""
+def backup_plan(files: DataFrame, record_id: str, backup_root: str | None, roots: DataFrame | None = None, existing: DataFrame | None = None, order_col: str = "ordinal", suffixed: bool = True) -> DataFrame:
+    """files(old_path): to backup_root/record_id/folders/name; with no backup root new_path is empty, a real delete.
+    Not suffixed: see resolve()."""
     if backup_root is None:
         return files.withColumn("new_path", F.lit("")).withColumn("conflict", F.lit(False))
     name = F.coalesce(F.nullif(paths.basename("old_path"), F.lit("")), F.lit("unknown.zipmod"))
     own = longest_root(files, roots, "old_path") if roots is not None else files.withColumn("relative", F.lit(None).cast("string"))
     own = own.withColumn("target", paths.join(F.lit(backup_root), F.lit(record_id), F.col("relative"), name))
-    return resolve(own, existing, order_col=order_col).drop("target", "relative", "root")
+    return resolve(own, existing, order_col=order_col, suffixed=suffixed).drop("target", "relative", "root")
 
 
 def tag_move_plan(files: DataFrame, out_dir: str, existing: DataFrame | None = None, order_col: str = "ordinal") -> DataFrame:
