@@ -54,15 +54,15 @@ def target_dir(argument: Column, setting: Column, default: Column, task_id: Colu
     return paths.join(F.coalesce(full(argument), full(setting), default), task_id)
 
 
-def move_plan(files: DataFrame, target: str, existing: DataFrame | None = None, roots: DataFrame | None = None, order_col: str = "ordinal") -> DataFrame:
+def move_plan(files: DataFrame, target: str, existing: DataFrame | None = None, roots: DataFrame | None = None, order_col: str = "ordinal", suffixed: bool = True) -> DataFrame:
     """files(src_path, size, found, readable): error_code NOT_FOUND, META_FAILED or BAD_FILE_NAME, or a target below
-    `target`, with the folders below a file's longest root where roots are given."""
+    `target`, with the folders below a file's longest root where roots are given. Not suffixed: see resolve()."""
     name = paths.basename("src_path")
     code = F.when(~F.col("found"), "NOT_FOUND").when(~F.col("readable"), "META_FAILED").when(F.coalesce(name, F.lit("")).isin("", ".", ".."), "BAD_FILE_NAME")
     own = files.withColumn("error_code", code)
     own = longest_root(own, roots, "src_path") if roots is not None else own.withColumn("relative", F.lit(None).cast("string"))
     own = own.withColumn("target", F.when(F.col("error_code").isNull(), paths.join(F.lit(target), F.col("relative"), name)))
-    return resolve(own, existing, order_col=order_col).withColumnRenamed("new_path", "dst_path").drop("target", "relative", "root")
+    return resolve(own, existing, order_col=order_col, suffixed=suffixed).withColumnRenamed("new_path", "dst_path").drop("target", "relative", "root")
 
 
 def with_failures(plan: DataFrame, failed: DataFrame) -> DataFrame:
