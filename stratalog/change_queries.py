@@ -281,7 +281,9 @@ def collision_family(spark, sf_dir):
     last = own.agg(F.max("ordinal").alias("last"))
     later = _t(spark, sf_dir, "orders").join(F.broadcast(last)).select((F.col("last") + F.col("o_orderkey")).alias("ordinal"), F.concat(F.lit("/out/f ("), F.col("o_orderkey").cast("string"), F.lit(").zip")).alias("target"))
     none = _t(spark, sf_dir, "events").select((-1 - F.col("event_id")).alias("ordinal"), F.lit(None).cast("string").alias("target"))
-    disk = spark.range(1, 100_001).select(F.concat(F.lit("/OUT/f ("), (F.col("id") * 7).cast("string"), F.lit(").zip")).alias("path"))
+    # the name's rows get numbers up to rows - 1 and those that disk has between; below the last of them disk has every seventh
+    k = max(own.count() - 1, 0)
+    disk = spark.range(1, max(100_000, (k + max(k - 1, 0) // 6) // 7) + 1).select(F.concat(F.lit("/OUT/f ("), (F.col("id") * 7).cast("string"), F.lit(").zip")).alias("path"))
     return collisions.resolve(own.unionByName(later).unionByName(none), disk, hot=1000).select("ordinal", "new_path", "conflict")
 
 
