@@ -186,6 +186,10 @@ def files_deleted(spark, sf_dir):
     return own.join(done, "page_id", "left").join(left, "path", "left").select("page_id", "success", F.coalesce("there", F.lit(False)).alias("there"))
 
 
+#: archives that a task writes, rewrites or reads
+_ARCHIVES = 2000
+
+
 @query("""SELECT p_partkey, p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AS success, CASE WHEN p_partkey % 11 = 0 OR p_partkey % 7 = 0 OR p_partkey % 5 = 1 THEN '' ELSE 'g' || p_partkey % 5 END AS games,
     CASE WHEN p_partkey % 11 = 0 OR p_partkey % 7 = 0 THEN '' ELSE p_type END AS guid FROM part""")
 def archives_rewritten(spark, sf_dir):
@@ -204,13 +208,15 @@ def archives_rewritten(spark, sf_dir):
         entry = archives.read_entry(open(old, "rb").read())
         executor.rewrite_archive(old, archives.ENTRY, entry.replace(b"<game>g1</game>", b""))
 
-    zips = _zips(spark, sf_dir)
+    part = _t(spark, sf_dir, "part")
+    tasks = part.count() // _ARCHIVES + 1
+    zips = _zips(spark, sf_dir, tasks)
     zips.mapInPandas(put, "n long").agg(F.sum("n")).first()
-    plan = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit(at + "/"), F.col("p_partkey").cast("string"), F.lit(".zip")).alias("old_path"), F.lit("").alias("new_path"))
-    done = save(executor.carry_out(plan, without_game, journal=f"{at}-journal"))
-    content = spark.read.format("binaryFile").load(at).select(F.regexp_extract("path", r"([0-9]+)\.zip$", 1).cast("long").alias("p_partkey"), "content")
-    found = archives.with_manifest(content).select("p_partkey", F.array_join("games", "|").alias("games"), "guid")
-    return done.select(F.col("ordinal").alias("p_partkey"), "success").join(found, "p_partkey")
+    plan = part.select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit(at + "/"), F.col("p_partkey").cast("string"), F.lit(".zip")).alias("old_path"), F.lit("").alias("new_path"))
+    done = save(executor.carry_out(plan, without_game, journal=f"{at}-journal", tasks=tasks))
+    # tasks open what they are dealt; listing the folder would be the driver's
+    found = archives.with_manifest_at(done.repartition(tasks, "ordinal"), "old_path")
+    return found.select(F.col("ordinal").alias("p_partkey"), "success", F.array_join("games", "|").alias("games"), "guid")
 
 
 # tables that are committed together

@@ -124,10 +124,11 @@ def _carried_out(old: str, new: str, action, begun: bool) -> tuple[bool, str | N
         return False, str(e)
 
 
-def carry_out(plan: DataFrame, action=move, journal: str | None = None) -> DataFrame:
+def carry_out(plan: DataFrame, action=move, journal: str | None = None, tasks: int | None = None) -> DataFrame:
     """plan(ordinal, old_path, new_path) with success and error of each row. An empty new_path deletes where action is move. With a
     journal's folder a task that is run again, or a plan that is gone on with after its driver was lost, repeats nothing and gives the outcomes of the
-    first time; without one, collect or write the result once: only moves are known as done."""
+    first time; without one, collect or write the result once: only moves are known as done.
+    A plan is a few bytes a row but its deeds take long: with `tasks` it is dealt out to so many."""
 
     def run(frames):
         kept = Journal(journal) if journal else None
@@ -145,7 +146,8 @@ def carry_out(plan: DataFrame, action=move, journal: str | None = None) -> DataF
                 ok.append(known[0]), errors.append(known[1])
             yield f.assign(success=ok, error=errors)[["ordinal", "old_path", "new_path", "success", "error"]]
 
-    return plan.select("ordinal", "old_path", "new_path").mapInPandas(run, OUTCOME)
+    own = plan.select("ordinal", "old_path", "new_path")
+    return (own.repartition(tasks, "ordinal") if tasks else own).mapInPandas(run, OUTCOME)
 
 
 def in_waves(plan: DataFrame, action, save: Callable[[DataFrame], DataFrame], depth_col: str = "depth", journal: str | None = None) -> DataFrame:
