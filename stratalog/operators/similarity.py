@@ -110,6 +110,12 @@ def _divided(rows: DataFrame, level: int, distance: int, bits: int) -> DataFrame
     return rows.withColumn("part", F.explode(chosen)).withColumn("band", F.struct(F.col("band").alias("of"), "part")).drop("part")
 
 
+def _big(rows: DataFrame) -> DataFrame:
+    """To be joined by shuffle and sort. Spark takes rows that are exploded for no larger than what they come from, and a written table for its compressed
+    size, so it would collect either in the driver to broadcast it."""
+    return rows.hint("merge")
+
+
 def _met(plain: DataFrame, probes: DataFrame, distance: int, bits: int, hot: int, save, level: int = 0) -> DataFrame:
     """(first, other, gap) of signatures that share a key and are within `distance`; a key of more than `hot` signatures is divided."""
     if save is not None and level < DIVIDED:
@@ -118,7 +124,7 @@ def _met(plain: DataFrame, probes: DataFrame, distance: int, bits: int, hot: int
             inner = _met(*(_divided(save(side.join(large, "band", "left_semi")), level, distance, bits) for side in (plain, probes)), distance, bits, hot, save, level + 1)
             return _met(plain.join(large, "band", "left_anti"), probes, distance, bits, hot, None).unionByName(inner).distinct()
     gap = values.hamming("words", "theirs")
-    both = plain.join(probes.select(F.col("first").alias("other"), F.col("words").alias("theirs"), "band"), "band")
+    both = plain.join(_big(probes.select(F.col("first").alias("other"), F.col("words").alias("theirs"), "band")), "band")
     return both.filter("first <> other").select("first", "other", gap.alias("gap")).filter(F.col("gap") <= distance).distinct()
 
 
@@ -138,9 +144,10 @@ def near_pairs(files: DataFrame, distance: int, bits: int, save=None) -> DataFra
     the result has all pairs of their files."""
     classes = _classes(files)
     same = classes.select("first", F.col("first").alias("other"), F.lit(0).alias("gap"))
-    members = files.join(classes, "words").select("first", "ordinal")
+    members = files.join(_big(classes), "words").select("first", "ordinal")
     found = near_classes(classes, distance, bits, save).unionByName(same)
-    pairs = found.join(members.select("first", F.col("ordinal").alias("a")), "first").join(members.select(F.col("first").alias("other"), F.col("ordinal").alias("b")), "other")
+    a, b = members.select("first", F.col("ordinal").alias("a")), members.select(F.col("first").alias("other"), F.col("ordinal").alias("b"))
+    pairs = found.join(_big(a), "first").join(_big(b), "other")
     return pairs.filter("a < b").select("a", "b", "gap")
 
 
