@@ -41,10 +41,14 @@ def exact_leaders(files: DataFrame, distance: int, group_col: str) -> DataFrame:
     return files.groupBy(group_col).applyInPandas(run, f"{kinds}, head long, head_distance long")
 
 
+#: signatures that one task explodes
+SHARE = 5_000
 #: a band should tell so many bits, so that few pairs meet in it; and by how many bits a band may differ to get there
 WIDE, RADIUS = 12, 2
 #: signatures that may share a band's value before it is divided, how often that is done, and sweeps before all pairs are looked at
 HOT, DIVIDED, SWEEPS = 200, 3, 8
+#: a sweep takes such a part of the signatures, or the values that are shared by many have so many pairs for each; else the sweeps end
+WORTH, PAIRS = 0.05, 1_000
 
 
 def _plan(distance: int, bits: int) -> tuple[int, int]:
@@ -128,6 +132,11 @@ def _met(plain: DataFrame, probes: DataFrame, distance: int, bits: int, hot: int
     return both.filter("first <> other").select("first", "other", gap.alias("gap")).filter(F.col("gap") <= distance).distinct()
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """A written table of signatures over as many tasks as there are thousands of them: its few bytes make one task, but each row is exploded."""
+    return rows.repartition(-(-rows.count() // SHARE) or 1)
+
+
 def _classes(files: DataFrame) -> DataFrame:
     return files.groupBy("words").agg(F.min("ordinal").alias("first"))
 
@@ -158,32 +167,36 @@ def leaders(files: DataFrame, distance: int, bits: int, save, hot: int = HOT, sw
     a band's value, those that are the first in all their bands are heads, as nothing before them can be near; what is
     near to them is taken, and goes. Pairs are made of what is left."""
     classes = save(_classes(files))
-    left, heads = classes, classes.limit(0)
+    left, heads, before = classes, classes.limit(0), None
     for _ in range(sweeps):
-        plain, probes = _bands(left, distance, bits)
-        if not plain.groupBy("band").count().filter(F.col("count") > hot).limit(1).count():
+        plain, probes = _bands(_dealt(left), distance, bits)
+        pairs = plain.groupBy("band").count().filter(F.col("count") > hot).agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+        n = left.count()
+        # a sweep that took few is not worth another, unless the pairs would be too many
+        if not pairs or (before and n > before * (1 - WORTH) and pairs < PAIRS * n):
             break
+        before = n
         least = plain.groupBy("band").agg(F.min("first").alias("least"))
-        sure = probes.select("first", "band").join(least, "band").groupBy("first").agg(F.min("least").alias("least")).filter("least = first").select("first")
-        new = save(left.join(sure, "first", "left_semi").select("words", "first"))
+        sure = probes.select("first", "band").join(_big(least), "band").groupBy("first").agg(F.min("least").alias("least")).filter("least = first").select("first")
+        new = save(left.join(_big(sure), "first", "left_semi").select("words", "first"))
         taken = _met(_bands(new, distance, bits)[0], probes, distance, bits, hot, save).select(F.col("other").alias("first"))
         heads = heads.unionByName(new)
-        left = save(left.join(new.select("first").unionByName(taken).distinct(), "first", "left_anti").select("words", "first"))
-    pairs = save(near_classes(left, distance, bits, save, hot).filter("first < other"))
+        left = save(left.join(_big(new.select("first").unionByName(taken).distinct()), "first", "left_anti").select("words", "first"))
+    pairs = save(near_classes(_dealt(left), distance, bits, save, hot).filter("first < other"))
     state = save(left.select(F.col("first").alias("ordinal")).withColumn("is_head", F.lit(None).cast("boolean")))
     while state.filter("is_head is null").limit(1).count():
-        before = pairs.join(state.select(F.col("ordinal").alias("first"), F.col("is_head").alias("a_head")), "first")
+        before = pairs.join(_big(state.select(F.col("ordinal").alias("first"), F.col("is_head").alias("a_head"))), "first")
         seen = before.groupBy(F.col("other").alias("ordinal")).agg(F.max(F.coalesce("a_head", F.lit(False))).alias("has_head"), F.max(F.col("a_head").isNull()).alias("has_open"))
-        now = state.join(seen, "ordinal", "left")
+        now = state.join(_big(seen), "ordinal", "left")
         decided = F.when(F.col("is_head").isNotNull(), F.col("is_head")).when(F.col("has_head"), F.lit(False)).when(~F.coalesce("has_open", F.lit(False)), F.lit(True))
         state = save(now.select("ordinal", decided.alias("is_head")))
-    late = left.join(state.filter("is_head").select(F.col("ordinal").alias("first")), "first", "left_semi").select("words", "first")
+    late = left.join(_big(state.filter("is_head").select(F.col("ordinal").alias("first"))), "first", "left_semi").select("words", "first")
     heads = save(heads.unionByName(late))
     # a signature with a head before it within range is no head itself
-    found = _met(_bands(heads, distance, bits)[0], _bands(classes, distance, bits)[1], distance, bits, hot, save).filter("first < other")
+    found = _met(_bands(heads, distance, bits)[0], _bands(_dealt(classes), distance, bits)[1], distance, bits, hot, save).filter("first < other")
     first = found.groupBy(F.col("other").alias("first")).agg(F.min(F.struct("first", "gap")).alias("m"))
-    own = classes.join(first, "first", "left").select("words", F.coalesce("m.first", "first").alias("head"), F.coalesce("m.gap", F.lit(0)).cast("long").alias("head_distance"))
-    out = files.join(own, "words", "left").withColumns({"head": F.coalesce("head", "ordinal"), "head_distance": F.coalesce("head_distance", F.lit(0).cast("long"))})
+    own = classes.join(_big(first), "first", "left").select("words", F.coalesce("m.first", "first").alias("head"), F.coalesce("m.gap", F.lit(0)).cast("long").alias("head_distance"))
+    out = files.join(_big(own), "words", "left").withColumns({"head": F.coalesce("head", "ordinal"), "head_distance": F.coalesce("head_distance", F.lit(0).cast("long"))})
     return out.select(*files.columns, "head", "head_distance")
 
 
@@ -194,8 +207,8 @@ def nearest_heads(files: DataFrame, heads: DataFrame, distance: int, bits: int,
     own = _bands(classes.select("words", (-1 - F.col("first")).alias("first")), distance, bits)[1]
     found = _met(_bands(heads.select("words", F.col("ordinal").alias("first")), distance, bits)[0], own, distance, bits, hot, save)
     first = found.groupBy((-1 - F.col("other")).alias("first")).agg(F.min(F.struct(F.col("first").alias("head"), "gap")).alias("m"))
-    near = classes.join(first, "first").select("words", "m.head", F.col("m.gap").cast("long").alias("head_distance"))
-    return files.select("ordinal", "words").join(near, "words").select("ordinal", "head", "head_distance")
+    near = classes.join(_big(first), "first").select("words", "m.head", F.col("m.gap").cast("long").alias("head_distance"))
+    return files.select("ordinal", "words").join(_big(near), "words").select("ordinal", "head", "head_distance")
 
 
 def groups(clustered: DataFrame, bits: int) -> DataFrame:
