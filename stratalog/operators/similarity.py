@@ -120,23 +120,23 @@ def _big(rows: DataFrame) -> DataFrame:
     return rows.hint("merge")
 
 
+def _dealt(rows: DataFrame, share: int = SHARE) -> DataFrame:
+    """A written table over as many tasks as it has times `share` rows: its few bytes make one task, but each row is exploded."""
+    return rows.repartition(-(-rows.count() // share) or 1)
+
+
 def _met(plain: DataFrame, probes: DataFrame, distance: int, bits: int, hot: int, save, level: int = 0) -> DataFrame:
     """(first, other, gap) of signatures that share a key and are within `distance`; a key of more than `hot` signatures is divided."""
     if save is not None and level < DIVIDED:
         large = save(plain.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select("band"))
         if large.limit(1).count():
-            inner = _met(*(_divided(save(side.join(large, "band", "left_semi")), level, distance, bits) for side in (plain, probes)), distance, bits, hot, save, level + 1)
+            inner = _met(*(_divided(_dealt(save(side.join(large, "band", "left_semi")), SHARE * 8), level, distance, bits) for side in (plain, probes)), distance, bits, hot, save, level + 1)
             return _met(plain.join(large, "band", "left_anti"), probes, distance, bits, hot, None).unionByName(inner).distinct()
     gap = values.hamming("words", "theirs")
     both = plain.join(_big(probes.select(F.col("first").alias("other"), F.col("words").alias("theirs"), "band")), "band")
     return both.filter("first <> other").select("first", "other", gap.alias("gap")).filter(F.col("gap") <= distance).distinct()
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """A written table of signatures over as many tasks as there are thousands of them: its few bytes make one task, but each row is exploded."""
-    return rows.repartition(-(-rows.count() // SHARE) or 1)
-
-
 def _classes(files: DataFrame) -> DataFrame:
     return files.groupBy("words").agg(F.min("ordinal").alias("first"))
 
