@@ -47,6 +47,8 @@ SHARE = 5_000
 WIDE, RADIUS = 12, 2
 #: signatures that may share a band's value before it is divided, how often that is done, and sweeps before all pairs are looked at
 HOT, DIVIDED, SWEEPS = 200, 3, 8
+#: values that many share, up to which Spark may broadcast them, some 200 bytes each; a level of dividing may have eight times those of the one before
+KEYS = 100_000
 #: a sweep takes such a part of the signatures, or the values that are shared by many have so many pairs for each; else the sweeps end
 WORTH, PAIRS = 0.05, 1_000
 
@@ -129,7 +131,8 @@ def _met(plain: DataFrame, probes: DataFrame, distance: int, bits: int, hot: int
     """(first, other, gap) of signatures that share a key and are within `distance`; a key of more than `hot` signatures is divided."""
     if save is not None and level < DIVIDED:
         large = save(plain.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select("band"))
-        if large.limit(1).count():
+        if n := large.count():
+            large = large if n <= KEYS else _big(large)
             inner = _met(*(_divided(_dealt(save(side.join(large, "band", "left_semi")), SHARE * 8), level, distance, bits) for side in (plain, probes)), distance, bits, hot, save, level + 1)
             return _met(plain.join(large, "band", "left_anti"), probes, distance, bits, hot, None).unionByName(inner).distinct()
     gap = values.hamming("words", "theirs")
